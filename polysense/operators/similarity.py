@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 from polysense.functions.vecmath import dot, norm
 
 BLOCK_ROWS = 32_768   # vectors of one side that one task holds
-SLICE_ROWS = 1_024    # queries scored at once inside a task
+SLICE_ROWS = 256       # queries scored at once inside a task
 SCORE_DIGITS = 9      # scores are compared at this precision, so equal vectors tie exactly
 
 
@@ -67,56 +67,63 @@ def top_scores(queries: DataFrame, vectors: DataFrame, query_key: list[str], key
     cores = vectors.sparkSession.sparkContext.defaultParallelism
     blocks = max(blocks, min(cores, blocks * query_blocks * 4) // query_blocks)
 
-    def spread(df: DataFrame, names: list[str], own: str, n_own: int, other: str, n_other: int) -> DataFrame:
-        return df.select(*names, "vec").withColumn(own, F.pmod(F.xxhash64(*names), F.lit(n_own))).withColumn(
-            other, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_other - 1).cast("bigint")))
+    def spread(df: DataFrame, names: list[str], prefix: str, n_own: int, n_other: int) -> DataFrame:
+        """Own block by hash, one copy of the row for each block of the other side."""
+        return df.select(
+            *[F.col(n).alias(prefix + n) for n in [*names, "vec"]],
+            F.pmod(F.xxhash64(*names), F.lit(n_own)).alias("_own"),
+            F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_other - 1).cast("bigint"))).alias("_other"),
         )
 
-    left = spread(queries, query_key, "_qb", query_blocks, "_vb", blocks)
-    right = spread(vectors, key, "_vb", blocks, "_qb", query_blocks)
+    left = spread(queries, query_key, "q_", query_blocks, blocks)
+    right = spread(vectors, key, "", blocks, query_blocks)
     fields = [T.StructField(f"q_{f}", queries.schema[f].dataType) for f in query_key]
     fields += [T.StructField(f, vectors.schema[f].dataType) for f in key]
     schema = T.StructType([*fields, T.StructField("score", T.DoubleType())])
     names = [f.name for f in schema]
 
-    def matrix(rows: pd.DataFrame) -> np.ndarray:
-        return np.array(rows["vec"].tolist(), dtype=np.float64)
+    query_names = [f"q_{f}" for f in query_key]
+
+    def matrix(column: pd.Series) -> np.ndarray:
+        return np.array(column.tolist(), dtype=np.float64)
 
     def best(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
         if q.empty or v.empty:
             return pd.DataFrame(columns=names)
         v = v.sort_values(key, ignore_index=True)
-        m = matrix(v)
+        m = matrix(v["vec"])
         length = np.linalg.norm(m, axis=1)
         v, m = v[length > 0].reset_index(drop=True), m[length > 0] / length[length > 0, None]
-        u = matrix(q)
+        u = matrix(q["q_vec"])
         if unit_query:
             size = np.linalg.norm(u, axis=1, keepdims=True)
             u = np.divide(u, size, out=np.zeros_like(u), where=size > 0)
-        own = {t: i for i, t in enumerate(v[key].itertuples(index=False, name=None))} if skip_self else {}
-        parts = []
-        for start in range(0, len(u), SLICE_ROWS):
-            scores = np.round(u[start : start + SLICE_ROWS] @ m.T, SCORE_DIGITS)
-            for i, row in enumerate(scores):
-                if skip_self:
-                    me = own.get(tuple(q[query_key].iloc[start + i]))
-                    if me is not None:
-                        row[me] = -np.inf
-                keep = min(k, len(row))
-                if keep == 0:
-                    continue
-                edge = np.partition(row, len(row) - keep)[len(row) - keep]
-                above = np.flatnonzero(row > edge)
-                pick = np.concatenate([above, np.flatnonzero(row == edge)[: keep - len(above)]])
-                pick = pick[np.isfinite(row[pick])]
-                part = v.loc[pick, key].assign(score=row[pick])
-                for name in query_key:
-                    part[f"q_{name}"] = q[name].iloc[start + i]
-                parts.append(part)
-        return pd.concat(parts)[names] if parts else pd.DataFrame(columns=names)
-
-    local = left.groupBy("_qb", "_vb").cogroup(right.groupBy("_qb", "_vb")).applyInPandas(best, schema)
-    order = Window.partitionBy(*[f"q_{f}" for f in query_key]).orderBy(F.col("score").desc(), *key)
+        mine = np.full(len(u), -1)
+        if skip_self:
+            place = {t: i for i, t in enumerate(v[key].itertuples(index=False, name=None))}
+            mine = np.array([place.get(t, -1) for t in q[query_names].itertuples(index=False, name=None)])
+        found = [pick(u[s : s + SLICE_ROWS], m, mine[s : s + SLICE_ROWS], s) for s in range(0, len(u), SLICE_ROWS)]
+        rows, cols, scores = (np.concatenate(x) for x in zip(*found, strict=True))
+        left_part = q[query_names].iloc[rows].reset_index(drop=True)
+        right_part = v[key].iloc[cols].reset_index(drop=True)
+        return pd.concat([left_part, right_part], axis=1).assign(score=scores)[names]
+
+    def pick(u: np.ndarray, m: np.ndarray, mine: np.ndarray, start: int):
+        """The k best columns of each row; among equal scores the lower key wins."""
+        scores = np.round(u @ m.T, SCORE_DIGITS)
+        scores[np.flatnonzero(mine >= 0), mine[mine >= 0]] = -np.inf
+        keep = min(k, scores.shape[1])
+        if keep == 0:
+            return np.empty(0, int), np.empty(0, int), np.empty(0)
+        edge = np.partition(scores, -keep, axis=1)[:, [-keep]]
+        above, ties = scores > edge, scores == edge
+        room = keep - above.sum(axis=1, keepdims=True)
+        rows, cols = np.nonzero((above | (ties & (ties.cumsum(axis=1) <= room))) & np.isfinite(scores))
+        return rows + start, cols, scores[rows, cols]
+
+    pairs = left.groupBy("_own", "_other").cogroup(right.groupBy("_other", "_own"))
+    local = pairs.applyInPandas(best, schema)
+    order = Window.partitionBy(*query_names).orderBy(F.col("score").desc(), *key)
     return local.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 

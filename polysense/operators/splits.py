@@ -2,26 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from polysense.functions.draws import SEED_SENSE, SEED_SHARD, SEED_SPLIT, below, unit, with_draw
 
 
-def _effective_ratio(lines: DataFrame, ratio: float, max_lines: int):
+def effective_ratio(lines: DataFrame, ratio: float, max_lines: int) -> Column:
     """``min(ratio, max_lines / number of lines)`` as a scalar subquery."""
-    return lines.agg(
-        F.least(F.lit(ratio), F.coalesce(F.try_divide(F.lit(float(max_lines)), F.count("*")), F.lit(ratio)))
-    ).scalar()
+    share = F.coalesce(F.try_divide(F.lit(float(max_lines)), F.count("*")), F.lit(ratio))
+    return lines.agg(F.least(F.lit(ratio), share)).scalar()
+
+
+def is_validation(rows: DataFrame, ratio: Column, seed: int, name: str = "held_out") -> DataFrame:
+    """Add a boolean per line; rows of a line agree, whatever table they are in."""
+    drawn = with_draw(rows, "_draw", seed + SEED_SPLIT, "line_id")
+    return drawn.withColumn(name, unit(F.col("_draw")) < ratio).drop("_draw")
 
 
 def train_validation_split(lines: DataFrame, ratio: float, max_lines: int, seed: int) -> DataFrame:
     """Add ``part``: each line is 'validation' or 'train'."""
-    chosen = unit(F.col("_draw")) < _effective_ratio(lines, ratio, max_lines)
-    return (
-        with_draw(lines, "_draw", seed + SEED_SPLIT, "line_id")
-        .withColumn("part", F.when(chosen, "validation").otherwise("train"))
-        .drop("_draw")
-    )
+    marked = is_validation(lines, effective_ratio(lines, ratio, max_lines), seed)
+    return marked.withColumn("part", F.when(F.col("held_out"), "validation").otherwise("train")).drop("held_out")
 
 
 def validation_subset(lines: DataFrame, ratio: float, max_lines: int, seed: int) -> DataFrame:

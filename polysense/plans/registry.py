@@ -52,7 +52,7 @@ def check_corpus(spark: SparkSession, sf_dir: str) -> Corpus:
 
 def long_vectors(df: DataFrame, keys: list[str], vec: str = "vec", digits: int = 6) -> DataFrame:
     """One row per component, for comparing."""
-    rows = df.select(*keys, F.posexplode(vec).alias("dim", "value"))
+    rows = df.select(*keys, F.posexplode_outer(vec).alias("dim", "value"))
     return rows.withColumn("value", F.round(F.col("value").cast("double"), digits))
 
 

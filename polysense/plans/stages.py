@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from polysense.config import TrainConfig
 from polysense.operators import loss, model, noise, splits, tokens, vocabulary
 from polysense.sources.corpus import corpus_lines, read_table
+from polysense.sources.store import materialize
 
 
 @dataclass
 class Corpus:
-    """Lazy DataFrames over the ``documents`` table; vocabulary and noise are written once."""
+    """Lazy DataFrames over the ``documents`` table; vocabulary, noise and start model are written once."""
 
     spark: SparkSession
     sf_dir: str
@@ -55,7 +56,7 @@ class Corpus:
 
     @cached_property
     def model(self) -> DataFrame:
-        return model.init_random(self.vocab, self.cfg.dim, self.cfg.seed, *self.init_sd)
+        return materialize(model.init_random(self.vocab, self.cfg.dim, self.cfg.seed, *self.init_sd), "model")
 
     def scored(self, occ: DataFrame | None = None) -> DataFrame:
         occ = self.occurrences if occ is None else occ

@@ -37,3 +37,32 @@ def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> Da
     writer = df.write.partitionBy(partition_by) if partition_by else df.write
     writer.parquet(path)
     return spark.read.parquet(path)
+
+
+class Versions:
+    """Named tables that are rewritten again and again, as in a training loop.
+
+    A new version goes to a fresh path, so it may read the one before; that one is
+    deleted once the new one is complete.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: dict[str, str] = {}
+
+    def put(self, name: str, df: DataFrame, partition_by: str | None = None) -> DataFrame:
+        path = scratch_path(self.spark, name)
+        (df.write.partitionBy(partition_by) if partition_by else df.write).parquet(path)
+        self.drop(name)
+        self.paths[name] = path
+        return self.spark.read.parquet(path)
+
+    def drop(self, name: str) -> None:
+        path = self.paths.pop(name, None)
+        if path:
+            location = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            location.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(location, True)
+
+    def drop_all(self) -> None:
+        for name in list(self.paths):
+            self.drop(name)
