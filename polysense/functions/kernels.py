@@ -57,8 +57,8 @@ def noise_scores(inputs, outputs, negatives, cand, ctx, slice_rows: int = 256):
     result = np.empty((len(cand), cand.shape[1], ctx.shape[1], k))
     for s in range(0, len(cand), slice_rows):
         part = slice(s, s + slice_rows)
-        u = inputs.vec[cand[part]]
-        n = outputs.vec[negatives[ctx[part]]].reshape(len(u), -1, u.shape[2])
+        u = inputs.vec[cand[part]].astype(np.float64)
+        n = outputs.vec[negatives[ctx[part]]].astype(np.float64).reshape(len(u), -1, u.shape[2])
         result[part] = (u @ n.transpose(0, 2, 1)).reshape(len(u), u.shape[1], ctx.shape[1], k)
     return result
 
@@ -97,10 +97,10 @@ def assign(words, senses, n_senses, first, last, own, negatives, inputs, outputs
             rows = rows[active[sentence[rows]]]
             if not len(rows):
                 continue
-            v = outputs.vec[outputs.at(words[ctx[rows]], senses[ctx[rows]])]
-            x = inputs.vec[cand[rows]] @ v.transpose(0, 2, 1)
+            v = outputs.vec[outputs.at(words[ctx[rows]], senses[ctx[rows]])].astype(np.float64)
+            x = inputs.vec[cand[rows]].astype(np.float64) @ v.transpose(0, 2, 1)
             if softmax:
-                every = np.concatenate([x[..., None], fixed[rows]], axis=3).astype(np.float64)
+                every = np.concatenate([x[..., None], fixed[rows]], axis=3)
                 top = every.max(axis=3)
                 pair = top + np.log(np.exp(every - top[..., None]).sum(axis=3)) - x
                 loss = (pair * inside[rows][:, None, :]).sum(axis=2)
@@ -131,9 +131,10 @@ def centre_losses(words, senses, first, last, own, negatives, inputs, outputs, w
     true = np.empty(ctx.shape)
     for s in range(0, len(todo), 4096):  # bounds the gathered vectors
         part = slice(s, s + 4096)
-        true[part] = (outputs.vec[out[part]] @ inputs.vec[cand[part, 0]][:, :, None])[:, :, 0]
+        u = inputs.vec[cand[part, 0]].astype(np.float64)
+        true[part] = (outputs.vec[out[part]].astype(np.float64) @ u[:, :, None])[:, :, 0]
     if softmax:
-        every = np.concatenate([true[..., None], noise], axis=2).astype(np.float64)
+        every = np.concatenate([true[..., None], noise], axis=2)
         top = every.max(axis=2)
         pair, per_pair = top + np.log(np.exp(every - top[..., None]).sum(axis=2)) - true, 1
     else:

@@ -254,6 +254,11 @@ QUERY_LIST = "[" + ", ".join(repr(1.0 / (i + 1)) + "::DOUBLE" for i in range(DIM
 PAIR_DOT = dot("i.vec", "o.vec")
 
 
+HELD_OUT_LOSS = f"""WITH {NEG} {MODEL_CTE} {SPLIT_CTE}, held AS (
+    SELECT occ.* FROM occ SEMI JOIN (FROM split WHERE part = 'validation') v ON occ.line_id = v.line_id)
+    {scored_cte('held')} {SENTENCES} {SUMMARY}"""
+
+
 def statements() -> dict[str, str]:
     keys = "tbl, word_id, sense"
     return {
@@ -315,9 +320,8 @@ def statements() -> dict[str, str]:
             SELECT word_id, sense, -ln(p) AS loss, 1 AS n FROM soft WHERE item = 0) {BY_WORD}""",
         "sentence_loss": f"WITH {SCORED} {SENTENCES} SELECT line_id, round(loss, 6) AS loss, n FROM sentences",
         "loss_summary": f"WITH {SCORED} {SENTENCES} {SUMMARY}",
-        "validation_loss": f"""WITH {NEG} {MODEL_CTE} {SPLIT_CTE}, held AS (
-            SELECT occ.* FROM occ SEMI JOIN (FROM split WHERE part = 'validation') v ON occ.line_id = v.line_id)
-            {scored_cte('held')} {SENTENCES} {SUMMARY}""",
+        "validation_loss": HELD_OUT_LOSS,
+        "validation_loss_by_group": HELD_OUT_LOSS,
         "candidate_sense_loss": f"""WITH {CANDIDATES}
             SELECT line_id, pos, word_id, sense, round(loss, 6) AS loss, n FROM candidates""",
         "assign_senses_sync": f"WITH {ASSIGNED} SELECT line_id, pos, word_id, old_sense, sense FROM assigned",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -18,18 +19,21 @@ from polysense.operators import (
     similarity,
     splits,
     tokens,
+    training,
     vectors,
     vocabulary,
 )
 from polysense.plans.stages import Corpus, hardest_words
+from polysense.plans.train import train
 from polysense.sources import corpus as source, models
-from polysense.sources.store import scratch_path
+from polysense.sources.store import materialize, scratch_path
 
 # start vectors in +-1, so that losses differ far above rounding noise
 CHECK = TrainConfig(min_count=20, num_negative=2, window=2, dim=8, sense_thresholds="100_400")
 CHECK_SD = (16.0, 16.0)
 EMBEDDING_DIM = 64
 RATIO, MAX_LINES, SHARDS, FLOOR, STEP = 0.1, 500, 4, 0.33, 0.001
+GROUPS = 32
 TOP_K, LIMIT_SQ, LIMIT_LEN, MIX = 5, 3.0, 0.9, 0.25
 SYNONYM_WORD = "the"
 
@@ -245,6 +249,22 @@ def validation_loss(spark, sf_dir):
     )
 
 
+@_register
+def validation_loss_by_group(spark, sf_dir):
+    """The same loss from the grouped tasks that validation in training uses."""
+    c = check_corpus(spark, sf_dir)
+    held = splits.train_validation_split(c.lines, RATIO, MAX_LINES, CHECK.seed)
+    held = held.filter(F.col("part") == "validation").select("line_id")
+    occ = c.occurrences.join(held, "line_id", "left_semi")
+    one = replace(CHECK, one_sense=True)
+    sample = training.grouped_sample(occ, c.negatives(occ), GROUPS, one)
+    found = training.assign_senses(sample, c.model, one, with_loss=True).filter(F.col("n") > 0)
+    by_line = found.groupBy("line_id").agg(F.sum("loss").alias("loss"), F.sum("n").alias("n"))
+    return loss.loss_summary(by_line).withColumn("loss", F.round("loss", 3)).withColumn(
+        "loss_per_prediction", F.round("loss_per_prediction", 6)
+    )
+
+
 @_register
 def candidate_sense_loss(spark, sf_dir):
     c = check_corpus(spark, sf_dir)
@@ -267,6 +287,17 @@ def adjust_rate(spark, sf_dir):
     return found.withColumn("rate", F.round("rate", 6))
 
 
+def _sample(c: Corpus, cfg: TrainConfig = CHECK) -> DataFrame:
+    return materialize(training.grouped_sample(c.occurrences, c.negatives(), GROUPS, cfg), "sample")
+
+
+@_register
+def assign_senses(spark, sf_dir):
+    """The sequential assignment; it has no SQL form."""
+    c = check_corpus(spark, sf_dir)
+    return training.assign_senses(_sample(c), c.model, CHECK).drop("loss", "n")
+
+
 # ---- sense statistics
 
 
@@ -419,6 +450,40 @@ def word_index_lines(spark, sf_dir):
     return models.index_lines(check_corpus(spark, sf_dir).vocab)
 
 
+# ---- training; sequential inside a group, so without SQL form
+
+
+def _learned(spark, sf_dir, cfg: TrainConfig) -> DataFrame:
+    c = check_corpus(spark, sf_dir)
+    return training.learn_shard(_sample(c, cfg), c.model, cfg.learn_rate, cfg)
+
+
+@_register
+def learn_shard_sigmoid(spark, sf_dir):
+    return _learned(spark, sf_dir, CHECK)
+
+
+@_register
+def learn_shard_softmax(spark, sf_dir):
+    return _learned(spark, sf_dir, replace(CHECK, softmax=True, lockstep=32))
+
+
+def _trained(spark, sf_dir):
+    cfg = replace(CHECK, num_shards=2, num_epochs=1, validate_every=1, lockstep=32)
+    return train(spark, check_corpus(spark, sf_dir).lines, cfg, scratch_path(spark, "run"))
+
+
+@_register
+def train_history(spark, sf_dir):
+    return _trained(spark, sf_dir).history
+
+
+@_register
+def train_vectors(spark, sf_dir):
+    done = _trained(spark, sf_dir)
+    return long_vectors(models.named_vectors(done.model, done.vocab), ["word", "sense"])
+
+
 # ---- similarity queries
 
 
