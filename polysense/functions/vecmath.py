@@ -1,7 +1,8 @@
 """Vector arithmetic as Column expressions.
 
-With a known ``dim`` the dot product is written out term by term, which stays in
-generated code; without it a higher-order function is used.
+With a known small ``dim`` the dot product is written out term by term, which stays in
+generated code. A long sum would push the method around it (a join loop, say) over the
+size the JVM compiles, so longer vectors use a higher-order function.
 """
 
 from __future__ import annotations
@@ -18,8 +19,11 @@ SIGMOID_SIZE = 100_000
 SIGMOID_FACTOR = 8333.0
 
 
+UNROLL = 16
+
+
 def dot(u: Column, v: Column, dim: int | None = None) -> Column:
-    if dim is None:
+    if dim is None or dim > UNROLL:
         return F.aggregate(
             F.zip_with(u, v, lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x
         )

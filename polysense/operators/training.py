@@ -92,11 +92,19 @@ class _Group:
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def _per_group(sample: DataFrame, params: DataFrame, run: Callable, schema: str) -> DataFrame:
+SLOTS_PER_GROUP = 4  # so that few groups share a task by hash and idle cores pick up the next
+
+
+def _per_group(sample: DataFrame, params: DataFrame, run: Callable, schema: str, groups: int | None) -> DataFrame:
+    if groups:
+        slots = SLOTS_PER_GROUP * groups
+        sample, params = sample.repartition(slots, "grp"), params.repartition(slots, "grp")
     return sample.groupBy("grp").cogroup(params.groupBy("grp")).applyInPandas(run, schema)
 
 
-def assign_senses(sample: DataFrame, model: DataFrame, cfg: TrainConfig, with_loss: bool = False) -> DataFrame:
+def assign_senses(
+    sample: DataFrame, model: DataFrame, cfg: TrainConfig, with_loss: bool = False, groups: int | None = None
+) -> DataFrame:
     """Sequential sense assignment -> ``(line_id, pos, word_id, n_senses, sense, passes, loss, n)``.
 
     ``passes`` stands at the first token of a sentence and counts the passes that changed
@@ -115,10 +123,12 @@ def assign_senses(sample: DataFrame, model: DataFrame, cfg: TrainConfig, with_lo
                                                           g.inputs, g.outputs, window, softmax)
         return out[g.own]
 
-    return _per_group(sample, touched_rows(sample, model, cfg, all_senses=True), run, ASSIGNED)
+    return _per_group(sample, touched_rows(sample, model, cfg, all_senses=True), run, ASSIGNED, groups)
 
 
-def learn_shard(sample: DataFrame, model: DataFrame, alpha: float, cfg: TrainConfig) -> DataFrame:
+def learn_shard(
+    sample: DataFrame, model: DataFrame, alpha: float, cfg: TrainConfig, groups: int | None = None
+) -> DataFrame:
     """One pass of gradient descent, each group on its own copy of the rows it touches.
 
     Returns the changes ``(tbl, word_id, sense, delta)`` and one row per group with ``tbl``
@@ -144,4 +154,4 @@ def learn_shard(sample: DataFrame, model: DataFrame, alpha: float, cfg: TrainCon
         rest = [None] * (len(tbl) - 1)
         return out.assign(loss=[loss, *rest], n=[n, *rest], words=[int(g.own.sum()), *rest])
 
-    return _per_group(sample, touched_rows(sample, model, cfg, all_senses=False), run, LEARNED)
+    return _per_group(sample, touched_rows(sample, model, cfg, all_senses=False), run, LEARNED, groups)

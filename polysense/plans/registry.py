@@ -258,7 +258,7 @@ def validation_loss_by_group(spark, sf_dir):
     occ = c.occurrences.join(held, "line_id", "left_semi")
     one = replace(CHECK, one_sense=True)
     sample = training.grouped_sample(occ, c.negatives(occ), GROUPS, one)
-    found = training.assign_senses(sample, c.model, one, with_loss=True).filter(F.col("n") > 0)
+    found = training.assign_senses(sample, c.model, one, with_loss=True, groups=GROUPS).filter(F.col("n") > 0)
     by_line = found.groupBy("line_id").agg(F.sum("loss").alias("loss"), F.sum("n").alias("n"))
     return loss.loss_summary(by_line).withColumn("loss", F.round("loss", 3)).withColumn(
         "loss_per_prediction", F.round("loss_per_prediction", 6)
@@ -295,7 +295,7 @@ def _sample(c: Corpus, cfg: TrainConfig = CHECK) -> DataFrame:
 def assign_senses(spark, sf_dir):
     """The sequential assignment; it has no SQL form."""
     c = check_corpus(spark, sf_dir)
-    return training.assign_senses(_sample(c), c.model, CHECK).drop("loss", "n")
+    return training.assign_senses(_sample(c), c.model, CHECK, groups=GROUPS).drop("loss", "n")
 
 
 # ---- sense statistics
@@ -455,7 +455,7 @@ def word_index_lines(spark, sf_dir):
 
 def _learned(spark, sf_dir, cfg: TrainConfig) -> DataFrame:
     c = check_corpus(spark, sf_dir)
-    return training.learn_shard(_sample(c, cfg), c.model, cfg.learn_rate, cfg)
+    return training.learn_shard(_sample(c, cfg), c.model, cfg.learn_rate, cfg, GROUPS)
 
 
 @_register

@@ -45,10 +45,12 @@ def num_groups(words: int, cfg: TrainConfig) -> int:
     return max(1, math.ceil(words / cfg.group_tokens))
 
 
-def validate(sample: DataFrame, model: DataFrame, cfg: TrainConfig, tables: Versions) -> tuple[float | None, float | None]:
+def validate(
+    sample: DataFrame, model: DataFrame, cfg: TrainConfig, tables: Versions, groups: int
+) -> tuple[float | None, float | None]:
     """Loss per prediction and changed passes per line of the held-out lines, whose noise
     words stay fixed and whose senses go on from the last validation."""
-    scored = tables.put("validated", training.assign_senses(sample, model, cfg, with_loss=True))
+    scored = tables.put("validated", training.assign_senses(sample, model, cfg, with_loss=True, groups=groups))
     row = scored.agg(F.sum("loss"), F.sum("n"), F.sum("passes"), F.count_if(F.col("pos") == 0)).first()
     return (row[0] / row[1] if row[1] else None), (row[2] / row[3] if row[3] else None)
 
@@ -94,7 +96,7 @@ def train(spark: SparkSession, lines: DataFrame, cfg: TrainConfig, out_dir: str,
 
         resets = 0
         if not cfg.one_sense:
-            assigned = training.assign_senses(sample(2 * it + 1, "assign-sample"), model, cfg)
+            assigned = training.assign_senses(sample(2 * it + 1, "assign-sample"), model, cfg, groups=groups)
             shards[shard] = tables.put(f"shard-{shard}", assigned.select("line_id", "pos", "word_id", "n_senses", "sense"))
             counts = senses.sense_counts(shards[shard], vocab)
             updated = senses.normalize_probs(senses.update_sense_probs(stats, counts, cfg.decay))
@@ -103,7 +105,8 @@ def train(spark: SparkSession, lines: DataFrame, cfg: TrainConfig, out_dir: str,
             model = tables.put("model", reset)
             resets = model.filter("was_reset AND tbl = 'in'").count()
         alpha = learning_rate(cfg, words_seen, total_words)
-        learned = tables.put("learned", training.learn_shard(sample(2 * it + 2, "learn-sample"), model, alpha, cfg))
+        learned = training.learn_shard(sample(2 * it + 2, "learn-sample"), model, alpha, cfg, groups)
+        learned = tables.put("learned", learned)
         done = learned.filter("tbl = 'group'").agg(F.count("*"), F.sum("loss"), F.sum("n"), F.sum("words")).first()
         deltas = learned.filter("tbl <> 'group'").select("tbl", "word_id", "sense", "delta")
         averaged = models.average_models(model, deltas, done[0], cfg.dim)
@@ -113,7 +116,7 @@ def train(spark: SparkSession, lines: DataFrame, cfg: TrainConfig, out_dir: str,
 
         vali_loss = vali_adjust = None
         if held_out is not None and (it % cfg.validate_every == 0 or last):
-            vali_loss, vali_adjust = validate(held_out, model, cfg, tables)
+            vali_loss, vali_adjust = validate(held_out, model, cfg, tables, num_groups(sizes[VALIDATION], cfg))
             if not cfg.one_sense:
                 scored = spark.read.parquet(tables.paths["validated"])
                 held_out = tables.put("held-out", with_senses(held_out, scored))
