@@ -27,7 +27,7 @@ SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
 # the reference's example parameters, with its smaller number of noise words
 CFG = TrainConfig(num_shards=10, min_count=10, num_negative=5, window=5, dim=50, sense_thresholds="20_30",
-                  learn_rate=0.025, group_tokens=12_000, lockstep=32)
+                  learn_rate=0.025, group_tokens=12_000, lockstep=128)
 
 
 def run(df: DataFrame) -> None:
@@ -74,6 +74,7 @@ def main() -> None:
     sample = timed("group_sample", lambda: materialize(training.grouped_sample(shard, neg, groups, CFG), "bench-sample"))
     one = replace(CFG, one_sense=True)
     timed("shard_loss_grouped", lambda: run(training.assign_senses(sample, c.model, one, with_loss=True, groups=groups)))
+    timed("shard_gradient_grouped", lambda: run(training.batch_gradient_by_group(sample, c.model, CFG, groups)))
     timed("assign_senses_shard", lambda: run(training.assign_senses(sample, c.model, CFG, groups=groups)))
     timed("learn_shard", lambda: run(training.learn_shard(sample, c.model, CFG.learn_rate, CFG, groups)))
     timed("learn_shard_sequential", lambda: run(training.learn_shard(sample, c.model, CFG.learn_rate, replace(CFG, lockstep=1), groups)))

@@ -147,15 +147,15 @@ def centre_losses(words, senses, first, last, own, negatives, inputs, outputs, w
 class _Sigmoid:
     """Weights ``label - sigma`` of the scores; column 0 is the true word."""
 
-    def __init__(self):
-        self.seen, self.total = [], 0.0
+    def __init__(self, negated: np.ndarray):
+        self.negated, self.seen, self.total = negated, [], 0.0
 
     def pull(self, x: np.ndarray) -> np.ndarray:
         at = bins(x)
         self.seen.append(at)
         if len(self.seen) == 4096:
             self.flush()
-        pull = NEGATED[at]
+        pull = self.negated[at]
         pull[..., 0] += 1.0
         return pull
 
@@ -171,17 +171,16 @@ class _Sigmoid:
 
 
 class _Softmax:
-    def __init__(self):
-        self.total = 0.0
+    def __init__(self, kind: type):
+        self.kind, self.total = kind, 0.0
 
     def pull(self, x: np.ndarray) -> np.ndarray:
         x = x.astype(np.float64)
         e = np.exp(x - x.max(axis=-1, keepdims=True))
         p = e / e.sum(axis=-1, keepdims=True)
         self.total -= float(np.log(p[..., 0]).sum())
-        pull = (-p).astype(np.float32)
-        pull[..., 0] += 1.0
-        return pull
+        p[..., 0] -= 1.0
+        return (-p).astype(self.kind)
 
     def loss(self) -> float:
         return self.total
@@ -205,7 +204,7 @@ def learn(words, senses, first, last, own, negatives, inputs, outputs, window, a
     """
     target = np.concatenate([outputs.at(words, senses)[:, None], negatives], axis=1)
     centre = inputs.at(words, senses)
-    act = _Softmax() if softmax else _Sigmoid()
+    act = _Softmax(np.float32) if softmax else _Sigmoid(NEGATED)
     ordered = np.sort(target, axis=1)
     repeats = (ordered[:, 1:] == ordered[:, :-1]).any(axis=1)
     ins, outs = inputs.vec, outputs.vec
@@ -249,3 +248,23 @@ def learn(words, senses, first, last, own, negatives, inputs, outputs, window, a
                     visit_many(now, ctx[now, j])
                     pairs += len(now)
     return act.loss(), pairs * (1 if softmax else target.shape[1])
+
+
+def gradient(words, senses, first, last, own, negatives, inputs, outputs, window, softmax, slice_rows=2048):
+    """Summed loss gradient of the own rows as centres -> arrays shaped like the two tables."""
+    target = np.concatenate([outputs.at(words, senses)[:, None], negatives], axis=1)
+    centre = inputs.at(words, senses)
+    act = _Softmax(np.float64) if softmax else _Sigmoid(-SIGMOID)
+    d_in, d_out = np.zeros(inputs.vec.shape), np.zeros(outputs.vec.shape)
+    todo = np.flatnonzero(own)
+    ctx, inside = context(todo, first, last, window)
+    for j in range(ctx.shape[1]):
+        keep = np.flatnonzero(inside[:, j])
+        for s in range(0, len(keep), slice_rows):
+            part = keep[s : s + slice_rows]
+            c, rows = centre[todo[part]], target[ctx[part, j]]
+            u, out = inputs.vec[c].astype(np.float64), outputs.vec[rows].astype(np.float64)
+            push = -act.pull((out @ u[:, :, None])[:, :, 0])
+            add_rows(d_out, rows.ravel(), (push[:, :, None] * u[:, None, :]).reshape(-1, u.shape[1]))
+            add_rows(d_in, c, (push[:, None, :] @ out)[:, 0, :])
+    return d_in, d_out

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-HEAD_BYTES = 64 << 20
+HEAD_BYTES = 8 << 20
 
 
 def head_size(row_bytes: int, rows_per_id: int = 1) -> int:

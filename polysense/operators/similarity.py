@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from polysense.functions.vecmath import dot, norm
 
-BLOCK_ROWS = 32_768   # vectors of one side that one task holds
+BLOCK_ROWS = 131_072  # vectors of one side that one task holds
 SLICE_ROWS = 256       # queries scored at once inside a task
 SCORE_DIGITS = 9      # scores are compared at this precision, so equal vectors tie exactly
 
@@ -110,16 +110,20 @@ def top_scores(queries: DataFrame, vectors: DataFrame, query_key: list[str], key
 
     def pick(u: np.ndarray, m: np.ndarray, mine: np.ndarray, start: int):
         """The k best columns of each row; among equal scores the lower key wins."""
-        scores = np.round(u @ m.T, SCORE_DIGITS)
+        scores = u @ m.T
         scores[np.flatnonzero(mine >= 0), mine[mine >= 0]] = -np.inf
         keep = min(k, scores.shape[1])
         if keep == 0:
             return np.empty(0, int), np.empty(0, int), np.empty(0)
         edge = np.partition(scores, -keep, axis=1)[:, [-keep]]
-        above, ties = scores > edge, scores == edge
-        room = keep - above.sum(axis=1, keepdims=True)
-        rows, cols = np.nonzero((above | (ties & (ties.cumsum(axis=1) <= room))) & np.isfinite(scores))
-        return rows + start, cols, scores[rows, cols]
+        # everything that may round up to the k-th score, then the exact choice among those
+        rows, cols = np.nonzero((scores >= edge - 2 * 10.0**-SCORE_DIGITS) & (scores > -np.inf))
+        near = np.round(scores[rows, cols], SCORE_DIGITS)
+        order = np.lexsort((cols, -near, rows))
+        rows, cols, near = rows[order], cols[order], near[order]
+        rank = np.arange(len(rows)) - np.searchsorted(rows, rows)
+        best_ones = rank < keep
+        return rows[best_ones] + start, cols[best_ones], near[best_ones]
 
     pairs = left.groupBy("_own", "_other").cogroup(right.groupBy("_other", "_own"))
     local = pairs.applyInPandas(best, schema)

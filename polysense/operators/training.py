@@ -1,6 +1,6 @@
-"""Sense assignment and gradient descent on groups of sentences.
+"""Sense assignment, gradient descent and exact gradients on groups of sentences.
 
-Both are sequential inside a sentence, so each group of sentences runs in one Arrow
+The first two are sequential inside a sentence, so each group of sentences runs in one Arrow
 task. Spark does the rest: it forms groups of bounded size, finds which model rows a
 group can touch, brings exactly those to it, and merges what comes out. Neither the
 model nor the corpus passes through the driver.
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 from polysense.config import TrainConfig
 from polysense.functions import kernels
 from polysense.functions.draws import SEED_GROUP, below, with_draw
-from polysense.operators.joins import head_size, rank_lookup
+from polysense.functions.vecmath import element_sums, packed
 
 cloudpickle.register_pickle_by_value(kernels)  # tasks need no copy of this package
 
@@ -50,12 +50,16 @@ def grouped_sample(occ: DataFrame, negatives: DataFrame, num_groups: int, cfg: T
 
 
 def touched_rows(sample: DataFrame, model: DataFrame, cfg: TrainConfig, all_senses: bool) -> DataFrame:
-    """Model rows each group can touch -> ``(grp, tbl, word_id, sense, vec)``."""
+    """Model rows each group can touch -> ``(grp, tbl, word_id, sense, vec)``.
+
+    A word is wanted at most once per group, so even the most frequent one cannot skew
+    this join.
+    """
     on = ["tbl", "word_id"] if all_senses else ["tbl", "word_id", "sense"]
     inputs = sample.filter(F.col("item") < 0).withColumn("tbl", F.lit("in"))
     outputs = sample.withColumn("tbl", F.lit("out"))
     needed = inputs.select("grp", *on).unionByName(outputs.select("grp", *on)).distinct()
-    found = rank_lookup(needed, model, on, "word_id", head_size(4 * cfg.dim + 64, 2 * cfg.max_senses))
+    found = needed.join(model, on)
     # fresh column identities, since both sides of the cogroup come from ``sample``
     return found.select(*[F.col(c).alias(c) for c in ("grp", "tbl", "word_id", "sense", "vec")])
 
@@ -155,3 +159,27 @@ def learn_shard(
         return out.assign(loss=[loss, *rest], n=[n, *rest], words=[int(g.own.sum()), *rest])
 
     return _per_group(sample, touched_rows(sample, model, cfg, all_senses=False), run, LEARNED, groups)
+
+
+def batch_gradient_by_group(sample: DataFrame, model: DataFrame, cfg: TrainConfig, groups: int | None = None) -> DataFrame:
+    """The full-batch gradient ``(tbl, word_id, sense, grad)`` summed inside each group first.
+
+    Equal to the relational gradients of ``gradients`` (with the table sigmoid), but a
+    group hands on one row per model row instead of one per scored pair.
+    """
+    window, dim, softmax = cfg.window, cfg.dim, cfg.softmax
+
+    def run(rows: pd.DataFrame, params: pd.DataFrame) -> pd.DataFrame:
+        g = _Group(rows, params, dim)
+        sums = kernels.gradient(g.words, g.senses, g.first, g.last, g.own, g.negatives, g.inputs, g.outputs, window, softmax)
+        parts = []
+        for table, r, grad in (("in", g.inputs, sums[0]), ("out", g.outputs, sums[1])):
+            code = r.code
+            parts.append(pd.DataFrame({"tbl": table, "word_id": code // kernels.SENSE_BASE,
+                                       "sense": code % kernels.SENSE_BASE, "grad": list(grad)}))
+        return pd.concat(parts, ignore_index=True)
+
+    params = touched_rows(sample, model, cfg, all_senses=False)
+    parts = _per_group(sample, params, run, "tbl string, word_id int, sense int, grad array<double>", groups)
+    keys = ["tbl", "word_id", "sense"]
+    return parts.groupBy(*keys).agg(*element_sums(F.col("grad"), dim)).select(*keys, packed(dim).alias("grad"))

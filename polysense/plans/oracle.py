@@ -261,10 +261,13 @@ HELD_OUT_LOSS = f"""WITH {NEG} {MODEL_CTE} {SPLIT_CTE}, held AS (
 
 def statements() -> dict[str, str]:
     keys = "tbl, word_id, sense"
+    table_gradient = f"WITH {SCORED} {gradient(f'p - {LABEL}')} {long('grads', keys, 'grad', 4)}"
+    soft_gradient = f"""WITH {SCORED} {SOFT_CTE} {gradient(f'p - {LABEL}', 'soft')} {long('grads', keys, 'grad', 4)}"""
     return {
         "corpus_lines": f"WITH {LINES} SELECT line_id, line FROM lines",
         "corpus_summary": f"""WITH {LINES} SELECT count(*) AS n_lines, sum(length(line))::BIGINT AS n_chars,
             min(line_id) AS first_line_id, arg_min(line, line_id) AS first_line FROM lines""",
+        "first_lines": f"WITH {LINES} SELECT line_id, line FROM lines ORDER BY line_id LIMIT 2",
         "tokenize": f"WITH {TOKENS} SELECT line_id, raw_pos, word FROM tokens",
         "word_count": f"WITH {COUNTS} SELECT word, cn FROM word_counts",
         "min_count": f"WITH {COUNTS} SELECT word, cn FROM word_counts WHERE cn >= {CHECK.min_count}",
@@ -337,9 +340,10 @@ def statements() -> dict[str, str]:
         "reset_summary": f"""WITH {STATS} {SHARES_CTE} SELECT count(*) AS multi_senses,
             count(*) FILTER (prob < {FLOOR}) AS resets FROM shares""",
         "batch_gradient_sigmoid": f"WITH {SCORED} {gradient(f'{EXACT_P} - {LABEL}')} {long('grads', keys, 'grad', 4)}",
-        "batch_gradient_sigmoid_table": f"WITH {SCORED} {gradient(f'p - {LABEL}')} {long('grads', keys, 'grad', 4)}",
-        "batch_gradient_softmax": f"""WITH {SCORED} {SOFT_CTE} {gradient(f'p - {LABEL}', 'soft')}
-            {long('grads', keys, 'grad', 4)}""",
+        "batch_gradient_sigmoid_table": table_gradient,
+        "batch_gradient_by_group": table_gradient,
+        "batch_gradient_softmax": soft_gradient,
+        "batch_gradient_softmax_by_group": soft_gradient,
         "gradient_step": f"""WITH {SCORED} {gradient(f'{EXACT_P} - {LABEL}')}, stepped AS (
             SELECT m.tbl, m.word_id, m.sense, i - 1 AS dim,
                    coalesce((m.vec[i]::DOUBLE - {STEP}::DOUBLE * g.grad[i])::FLOAT, m.vec[i]) AS value

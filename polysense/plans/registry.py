@@ -78,6 +78,11 @@ def corpus_summary(spark, sf_dir):
     return source.corpus_summary(check_corpus(spark, sf_dir).lines)
 
 
+@_register
+def first_lines(spark, sf_dir):
+    return source.first_lines(check_corpus(spark, sf_dir).lines)
+
+
 @_register
 def tokenize(spark, sf_dir):
     return check_corpus(spark, sf_dir).tokens
@@ -355,6 +360,24 @@ def batch_gradient_softmax(spark, sf_dir):
     return long_vectors(grad, ["tbl", "word_id", "sense"], "grad", 4)
 
 
+def _by_group(spark, sf_dir, cfg: TrainConfig) -> DataFrame:
+    c = check_corpus(spark, sf_dir)
+    grad = training.batch_gradient_by_group(_sample(c, cfg), c.model, cfg, GROUPS)
+    # rows that no pair reached have no gradient in the relational form
+    touched = F.exists("grad", lambda x: x != 0.0)
+    return long_vectors(grad.filter(touched), ["tbl", "word_id", "sense"], "grad", 4)
+
+
+@_register
+def batch_gradient_by_group(spark, sf_dir):
+    return _by_group(spark, sf_dir, CHECK)
+
+
+@_register
+def batch_gradient_softmax_by_group(spark, sf_dir):
+    return _by_group(spark, sf_dir, replace(CHECK, softmax=True))
+
+
 def _stepped(c: Corpus) -> DataFrame:
     return model.gradient_step(c.model, gradients.batch_gradient_sigmoid(c.scored(), CHECK.dim), STEP)
 

@@ -33,8 +33,13 @@ def text_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.monotonically_increasing_id().alias("line_id"), F.col("value").alias("line"))
 
 
+def first_lines(lines: DataFrame, n: int = 2) -> DataFrame:
+    """The sample that is printed when a corpus is opened."""
+    return lines.orderBy("line_id").limit(n)
+
+
 def corpus_summary(lines: DataFrame) -> DataFrame:
-    """Number of lines and the two first lines by id."""
+    """Number of lines and characters, and the first line by id."""
     first = F.struct("line_id", "line")
     return (
         lines.agg(
