@@ -25,7 +25,7 @@ from polysense.sources.store import materialize  # noqa: E402
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
-# the reference's example parameters, with its smaller number of noise words
+# an everyday parameter set
 CFG = TrainConfig(num_shards=10, min_count=10, num_negative=5, window=5, dim=50, sense_thresholds="20_30",
                   learn_rate=0.025, group_tokens=12_000, lockstep=128)
 

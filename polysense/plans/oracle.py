@@ -259,7 +259,28 @@ HELD_OUT_LOSS = f"""WITH {NEG} {MODEL_CTE} {SPLIT_CTE}, held AS (
     {scored_cte('held')} {SENTENCES} {SUMMARY}"""
 
 
+# rounded columns that can come out as negative zero, which Spark's round never returns
+SIGNED = {
+    "value": ("reset_low_prob_senses", "batch_gradient_sigmoid", "batch_gradient_sigmoid_table", "batch_gradient_by_group",
+              "batch_gradient_softmax", "batch_gradient_softmax_by_group", "gradient_step", "average_models", "init_random",
+              "limit_norm", "warm_start", "parameters_long", "parameters_wide", "save_load_model", "vectors_text_round_trip",
+              "get_vectors", "lookup_vector", "l2_normalize", "limit_length", "vector_sum", "vector_mean_by_label",
+              "center_vectors", "second_moment_matrix"),
+    "score": ("find_synonyms_vector", "find_synonyms", "find_synonyms_batch", "pairwise_cosine_top"),
+    "sum_dot": ("pair_vectors",),
+}
+
+
 def statements() -> dict[str, str]:
+    found = _statements()
+    for column, names in SIGNED.items():
+        for name in names:
+            zero = f"CASE WHEN {column} = 0 THEN 0.0::DOUBLE ELSE {column} END AS {column}"
+            found[name] = f"SELECT * REPLACE ({zero}) FROM ({found[name]})"
+    return found
+
+
+def _statements() -> dict[str, str]:
     keys = "tbl, word_id, sense"
     table_gradient = f"WITH {SCORED} {gradient(f'p - {LABEL}')} {long('grads', keys, 'grad', 4)}"
     soft_gradient = f"""WITH {SCORED} {SOFT_CTE} {gradient(f'p - {LABEL}', 'soft')} {long('grads', keys, 'grad', 4)}"""
