@@ -11,7 +11,7 @@ from polysense.config import TrainConfig
 from polysense.operators import model as models
 from polysense.operators import noise, senses, splits, tokens, training, vocabulary
 from polysense.sources import models as store
-from polysense.sources.store import Versions, materialize
+from polysense.sources.store import Versions
 
 VALIDATION = -1  # shard number of the held-out lines
 
@@ -69,7 +69,7 @@ def train(spark: SparkSession, lines: DataFrame, cfg: TrainConfig, out_dir: str,
     tables = Versions(spark)
     vocab = vocabulary.build_vocab(vocabulary.word_count(tokens.tokenize(lines)), cfg.min_count, cfg.thresholds)
     noise_table = noise.noise_distribution(vocab)
-    occ = materialize(encode_corpus(lines, vocab, cfg), "occurrences", partition_by="shard")
+    occ = tables.put("occurrences", encode_corpus(lines, vocab, cfg), partition_by="shard")
     sizes = {r["shard"]: r["count"] for r in occ.groupBy("shard").count().collect()}  # one row per shard
     shards = {s: occ.filter(F.col("shard") == s).drop("shard") for s in range(cfg.num_shards)}
     total_words = sum(n for s, n in sizes.items() if s >= 0) * cfg.num_epochs
@@ -122,7 +122,8 @@ def train(spark: SparkSession, lines: DataFrame, cfg: TrainConfig, out_dir: str,
                 held_out = tables.put("held-out", with_senses(held_out, scored))
         train_loss = done[1] / done[2] if done[2] else None
         store.append_history(spark, f"{path}/history", (
-            it, it // cfg.num_shards, shard, vali_loss, vali_adjust, train_loss, alpha, done[3] or 0, limited, resets))
+            it, it // cfg.num_shards, shard, vali_loss, vali_adjust, train_loss, alpha, done[3] or 0, limited, resets),
+            fresh=it == 0)
         if last or (it > 0 and it % cfg.snapshot_every == 0):
             store.save_model(model, vocab, f"{path}/it={it}")
     final = f"{path}/it={iterations - 1}"

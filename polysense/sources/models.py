@@ -68,9 +68,11 @@ def index_lines(vocab: DataFrame) -> DataFrame:
     return vocab.select(F.concat_ws("_", "word", F.col("word_id").cast("string"), F.col("n_senses").cast("string")).alias("value"))
 
 
-def append_history(spark: SparkSession, path: str, row: tuple) -> None:
-    """One row per iteration; values of iterations that were not validated are null."""
-    spark.createDataFrame([row], HISTORY_SCHEMA).coalesce(1).write.mode("append").parquet(path)
+def append_history(spark: SparkSession, path: str, row: tuple, fresh: bool = False) -> None:
+    """One row per iteration; values of iterations that were not validated are null.
+    ``fresh`` starts over, replacing the history of an earlier run of the same name."""
+    mode = "overwrite" if fresh else "append"
+    spark.createDataFrame([row], HISTORY_SCHEMA).coalesce(1).write.mode(mode).parquet(path)
 
 
 def load_history(spark: SparkSession, path: str) -> DataFrame:
