@@ -380,7 +380,7 @@ def test_quality_base_measures(docs, hard, empty, rows):
 def test_quality_lines(spark):
     good = "This is a sentence of the story that goes on for a while.\n"
     text = good + "Home | About | Contact\n" + "Privacy Policy and terms of use\n" + "and so it went on without any end\n" + good + "### $$$ ***\n" + "THIS IS ALL SHOUTING AND NOTHING ELSE\n"
-    body = "\n".join(f"Sentence number {i} tells of another day in town." for i in range(8))
+    body = "\n".join(" ".join(f"other{i * 10 + j}" for j in range(10)) + "." for i in range(8))
     row = quality.clean_lines(spark.createDataFrame([(1, text + body)], "doc_id long, text string")).first()
     assert row["clean_text"].split("\n") == [good.strip(), "and so it went on without any end", *body.split("\n")]
     assert row["n_lines_removed"] == 5 and row["kept"]
