@@ -9,7 +9,7 @@ are exact.
 Three steps keep the work near the amount of repetition. Wholly equal documents are
 settled by their digest. Each remaining document sends a winnowed choice of short word
 runs, its anchors, such that any window holds one; a document goes on with anchors that
-occur twice. Only windows that hold such an anchor are looked up, first in the index of
+occur twice. Only windows whose own anchor does are looked up, first in the index of
 the block at hand, then in that of all blocks.
 """
 
@@ -78,12 +78,11 @@ def run_hashes(words: np.ndarray, k: int, base: np.uint64 = _RUN) -> np.ndarray:
 
 
 def anchors(runs: np.ndarray, span: int) -> np.ndarray:
-    """Positions of the winnowed runs: the smallest hash of every ``span`` neighbours, the first of equals."""
+    """Place of the winnowed run of every window: the smallest hash of ``span`` neighbours, the first of equals."""
     if len(runs) < span:
         return np.zeros(0, np.int64)
     view = np.lib.stride_tricks.sliding_window_view(runs, span)
-    return np.unique(np.concatenate([view[at : at + 4096].argmin(axis=1) + np.arange(at, min(at + 4096, len(view)))
-                                     for at in range(0, len(view), 4096)]))
+    return np.concatenate([view[at : at + 4096].argmin(axis=1) + np.arange(at, min(at + 4096, len(view))) for at in range(0, len(view), 4096)])
 
 
 _PROFILE = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("sha", pa.binary()), ("anchors", pa.list_(pa.int64()))])
@@ -97,7 +96,7 @@ def _profile(window: int, k: int):
                 words = text.split()
                 joined = b" ".join(words)
                 runs = run_hashes(word_hashes(joined, len(words)), k)
-                found = runs[anchors(runs, window - k + 1)].view(np.int64)
+                found = runs[np.unique(anchors(runs, window - k + 1))].view(np.int64)
                 rows.append((doc, len(words), hashlib.sha256(joined).digest(), found))
             if rows:
                 yield batch_of(_PROFILE, *zip(*rows))
@@ -194,15 +193,10 @@ def _block_windows(window: int, k: int):
                 split = text.split()
                 words = word_hashes(b" ".join(split), len(split))
                 runs = run_hashes(words, k)
-                at = anchors(runs, window - k + 1)
-                at = at[np.isin(runs[at].view(np.int64), hits.values.to_numpy())]
-                n = len(words) - window + 1
-                if not len(at) or n <= 0:
+                own = anchors(runs, window - k + 1)  # equal windows have equal anchors
+                start = np.flatnonzero(np.isin(runs[own].view(np.int64), hits.values.to_numpy()))
+                if not len(start):
                     continue
-                edge = np.zeros(n + 1, np.int64)  # windows that hold a repeated anchor
-                np.add.at(edge, np.maximum(at - (window - k), 0), 1)
-                np.add.at(edge, np.minimum(at + 1, n), -1)
-                start = np.flatnonzero(np.cumsum(edge[:-1]))
                 w = run_hashes(words, window)[start].view(np.int64)
                 c = (run_hashes(words, window, _CHECK)[start] >> np.uint64(33)).astype(np.int64)
                 if buffer.add(w, c, np.full(len(start), doc, np.int64), start):
@@ -284,15 +278,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = rows_of(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     profile = materialize(profiles(texts, window, k), "profiles")
     named = profile.filter(F.col("doc_id").isNotNull())
-    groups = named.groupBy("sha").agg(F.min("doc_id").alias("first_id"))
-    settled = named.join(groups, "sha")
-    first = settled.filter("doc_id = first_id").select("doc_id", "anchors")
+    # joined on the id too, so that a large group of copies is spread
+    heads = named.groupBy("sha").agg(F.min("doc_id").alias("doc_id"))
+    first = named.join(heads, ["sha", "doc_id"], "left_semi").select("doc_id", "anchors")
     factors = window_factors(texts, first, window, k)
     spans = factors.groupBy("doc_id").agg(F.collect_list(F.struct("start", "length", "ref_doc", "ref_start")).alias("spans"))
     cut = texts.join(spans, "doc_id").select("doc_id", "text", "spans").mapInArrow(
         _cut(window, with_text), "doc_id long, sha binary, n_removed long, kept_sha binary, kept_text string").dropDuplicates(["doc_id", "sha"])
-    copy = (F.col("doc_id") > F.col("first_id")) & (F.col("n_words") >= window)
-    base = settled.select("doc_id", "n_words", "sha", copy.alias("copy"))
+    base = named.select("doc_id", "n_words", "sha").join(heads.withColumn("head", F.lit(True)), ["sha", "doc_id"], "left")
+    base = base.select("doc_id", "n_words", "sha", (F.col("head").isNull() & (F.col("n_words") >= window)).alias("copy"))
     nobody = profile.filter(F.col("doc_id").isNull()).select("doc_id", "n_words", "sha", F.lit(False).alias("copy"))
     done = base.join(cut, ["doc_id", "sha"], "left").unionByName(nobody, allowMissingColumns=True)
     sha = F.when(F.col("copy"), F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.lower(F.hex(F.coalesce("kept_sha", "sha"))))
