@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from hashlib import sha1
 
 
 def parse_thresholds(text: str) -> list[int]:
@@ -57,4 +58,4 @@ class TrainConfig:
         kind = "one" if self.one_sense else self.sense_thresholds
         return (f"shards{self.num_shards}-epochs{self.num_epochs}-min{self.min_count}"
                 f"-neg{self.num_negative}-win{self.window}-dim{self.dim}"
-                f"-senses{kind}-lr{self.learn_rate}")
+                f"-senses{kind}-lr{self.learn_rate}-{sha1(repr(self).encode()).hexdigest()[:8]}")

@@ -39,7 +39,10 @@ class Rows:
 
     def at(self, words: np.ndarray, senses: np.ndarray) -> np.ndarray:
         code = np.asarray(words, dtype=np.int64) * SENSE_BASE + senses
-        return np.searchsorted(self.code, code)
+        at = np.searchsorted(self.code, code)
+        if code.size and (not len(self.code) or (self.code[np.minimum(at, len(self.code) - 1)] != code).any()):
+            raise KeyError("a word sense has no model row")
+        return at
 
 
 def context(pos: np.ndarray, first: np.ndarray, last: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:

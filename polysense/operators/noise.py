@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from polysense.functions.draws import SEED_CHOICE, SEED_NEG_SENSE, SEED_NEG_WORD, below, present, unit, with_draw
+from polysense.functions.draws import SEED_CHOICE, SEED_NEG_SENSE, SEED_NEG_WORD, below, fine_unit, present, with_draw, with_second_draw
 from polysense.operators.joins import head_size, rank_lookup
 from polysense.sources.store import materialize
 
@@ -61,7 +61,8 @@ def negative_samples(occ: DataFrame, noise: DataFrame, k: int, seed: int, turn:
         "k", F.lit(0)).filter(F.lit(False))
     rows = with_draw(rows, "_dw", seed + SEED_NEG_WORD, "line_id", "pos", "k")
     rows = with_draw(rows, "_ds", seed + SEED_NEG_SENSE, "line_id", "pos", "k")
-    rows = rows.withColumn("_r", F.floor(unit(F.col("_dw")) * (F.col("total") - F.col("wt"))).cast("bigint"))
+    rows = with_second_draw(rows, "_dx", "_dw")  # one draw alone could not reach light words of a large total
+    rows = rows.withColumn("_r", F.floor(fine_unit(F.col("_dw"), F.col("_dx")) * (F.col("total") - F.col("wt"))).cast("bigint"))
     stepped = F.when(F.col("_r") >= F.col("lo"), F.col("_r") + F.col("wt")).otherwise(F.col("_r"))
     rows = rows.withColumn("_r", present(stepped))
     bucket = present(F.floor(F.col("_r") / F.col("width")).cast("bigint"))

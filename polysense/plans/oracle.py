@@ -6,6 +6,9 @@ operator, as range joins, windows and list functions rather than the plan Spark
 
 from __future__ import annotations
 
+import re
+from itertools import cycle
+
 from polysense.functions import draws
 from polysense.plans.registry import (
     CHECK,
@@ -25,6 +28,7 @@ from polysense.plans.registry import (
 from polysense.sources.corpus import LINES_PER_DOC
 
 P = draws.P
+BIGINT_KEYS = ("line_id", "doc_id")  # keys that enter a draw in two parts
 SEED, DIM, K, W = CHECK.seed, CHECK.dim, CHECK.num_negative, CHECK.window
 
 
@@ -32,7 +36,8 @@ def draw(source: str, name: str, seed: int, *keys: str) -> str:
     """``source`` with a column ``name``: the portable draw of the keys."""
     state = str(draws.start(seed))
     sql = f"(FROM {source})"
-    for i, (key, m) in enumerate(zip(keys, draws.MULTIPLIERS, strict=False)):
+    parts = [part for k in keys for part in ((f"(({k})::BIGINT >> 31)", f"(({k})::BIGINT & {P})") if k in BIGINT_KEYS else (k,))]
+    for i, (key, m) in enumerate(zip(parts, cycle(draws.MULTIPLIERS))):
         a, b, c, d = (f"{name}_{i}{x}" for x in "abcd")
         sql = f"(SELECT *, ({state} + (({key})::BIGINT % {P}) * {m}) % {P} AS {a} FROM {sql})"
         sql = f"(SELECT *, {a} * {a} % {P} AS {b} FROM {sql})"
@@ -42,6 +47,14 @@ def draw(source: str, name: str, seed: int, *keys: str) -> str:
     return f"(SELECT *, {state} AS {name} FROM {sql})"
 
 
+def second_draw(source: str, name: str, first: str) -> str:
+    """``source`` with the draw that follows draw ``first``."""
+    sql = f"(SELECT *, ({first} + {draws.MULTIPLIERS[0]}) % {P} AS {name}_a FROM {source})"
+    sql = f"(SELECT *, {name}_a * {name}_a % {P} AS {name}_b FROM {sql})"
+    sql = f"(SELECT *, {name}_b * {name}_b % {P} AS {name}_c FROM {sql})"
+    return f"(SELECT *, {name}_c * {name}_a % {P} AS {name} FROM {sql})"
+
+
 def u(col: str) -> str:
     return f"({col}::DOUBLE / {float(P)}::DOUBLE)"
 
@@ -86,9 +99,9 @@ _NEG_ROWS = "(SELECT o.line_id, o.pos, k, wt, lo, total FROM occ o JOIN noise US
 NEG_CTE = f""", neg AS (
   SELECT line_id, pos, k, n.word_id AS neg_word_id, (ds % n.n_senses)::INTEGER AS neg_sense FROM (
     SELECT *, CASE WHEN r >= lo THEN r + wt ELSE r END AS hit FROM (
-      SELECT line_id, pos, k, wt, lo, ds, floor({u('dw')} * (total - wt))::BIGINT AS r FROM
-        {draw(draw(_NEG_ROWS, 'dw', SEED + draws.SEED_NEG_WORD, 'line_id', 'pos', 'k'), 'ds',
-              SEED + draws.SEED_NEG_SENSE, 'line_id', 'pos', 'k')} WHERE total > wt)) d
+      SELECT line_id, pos, k, wt, lo, ds, floor((dw::DOUBLE + {u('dx')}) / {float(P)}::DOUBLE * (total - wt))::BIGINT AS r FROM
+        {second_draw(draw(draw(_NEG_ROWS, 'dw', SEED + draws.SEED_NEG_WORD, 'line_id', 'pos', 'k'), 'ds',
+              SEED + draws.SEED_NEG_SENSE, 'line_id', 'pos', 'k'), 'dx', 'dw')} WHERE total > wt)) d
   JOIN noise n ON n.lo <= d.hit AND d.hit < n.hi)"""
 NEG = OCC + NOISE_CTE + NEG_CTE
 SLOTS = ", slots AS (SELECT word_id, unnest(range(n_senses))::INTEGER AS sense FROM vocab)"
@@ -271,8 +284,12 @@ SIGNED = {
 }
 
 
+#: tables that a statement uses several times are computed once
+REUSED = re.compile(r"\b(vocab|occ|noise|neg|candidates) AS \(")
+
+
 def statements() -> dict[str, str]:
-    found = _statements()
+    found = {name: REUSED.sub(r"\1 AS MATERIALIZED (", sql) for name, sql in _statements().items()}
     for column, names in SIGNED.items():
         for name in names:
             zero = f"CASE WHEN {column} = 0 THEN 0.0::DOUBLE ELSE {column} END AS {column}"

@@ -62,6 +62,16 @@ def with_senses(sample: DataFrame, scored: DataFrame) -> DataFrame:
     return joined.withColumn("sense", F.coalesce("_new", "sense")).select(*sample.columns)
 
 
+def by_shard(occ: DataFrame, num_shards: int) -> DataFrame:
+    """Rows dealt out so that writing by shard makes few files, and no shard lands in one task."""
+    spread = max(1, 2 * occ.sparkSession.sparkContext.defaultParallelism // num_shards)
+    return occ.repartition("shard", F.pmod(F.xxhash64("line_id"), F.lit(spread)))
+
+
+#: between the seeds of two iterations' resets, far above the distance of the seeds of one
+RESET_STRIDE = 1_000_003
+
+
 def train(spark: SparkSession, lines: DataFrame, cfg: TrainConfig, out_dir: str,
           one_sense: DataFrame | None = None, iterations: int | None = None) -> Trained:
     """Learn vectors for all word senses; ``one_sense`` ``(tbl, word, sense, vec)`` warm-starts."""
@@ -69,7 +79,7 @@ def train(spark: SparkSession, lines: DataFrame, cfg: TrainConfig, out_dir: str,
     tables = Versions(spark)
     vocab = vocabulary.build_vocab(vocabulary.word_count(tokens.tokenize(lines)), cfg.min_count, cfg.thresholds)
     noise_table = noise.noise_distribution(vocab)
-    occ = tables.put("occurrences", encode_corpus(lines, vocab, cfg), partition_by="shard")
+    occ = tables.put("occurrences", by_shard(encode_corpus(lines, vocab, cfg), cfg.num_shards), partition_by="shard")
     sizes = {r["shard"]: r["count"] for r in occ.groupBy("shard").count().collect()}  # one row per shard
     shards = {s: occ.filter(F.col("shard") == s).drop("shard") for s in range(cfg.num_shards)}
     total_words = sum(n for s, n in sizes.items() if s >= 0) * cfg.num_epochs
@@ -101,7 +111,7 @@ def train(spark: SparkSession, lines: DataFrame, cfg: TrainConfig, out_dir: str,
             counts = senses.sense_counts(shards[shard], vocab)
             updated = senses.normalize_probs(senses.update_sense_probs(stats, counts, cfg.decay))
             stats = tables.put("stats", updated.select("word_id", "sense", "cnt", "prob"))
-            reset = senses.reset_low_prob_senses(model, stats, cfg.sense_prob_floor, cfg.dim, cfg.seed + it, cfg.sense_init_sd)
+            reset = senses.reset_low_prob_senses(model, stats, cfg.sense_prob_floor, cfg.dim, cfg.seed + RESET_STRIDE * (it + 1), cfg.sense_init_sd)
             model = tables.put("model", reset)
             resets = model.filter("was_reset AND tbl = 'in'").count()
         alpha = learning_rate(cfg, words_seen, total_words)

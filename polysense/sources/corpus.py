@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 LINES_PER_DOC = 1 << 24
+SMALL_SPLIT = 16 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A parquet table, spread over the cores when it has fewer files than cores."""
+    """A parquet table; one below ``SMALL_SPLIT`` bytes a core is dealt out over the cores, a larger one never moves."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * SMALL_SPLIT and len(df.inputFiles()) < cores else df
 
 
 def line_key(doc_id: Column, line_no: Column) -> Column:

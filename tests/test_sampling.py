@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from polysense.functions import draws
 from polysense.operators import noise, splits
+from polysense.sources.corpus import corpus_lines, text_lines
 
 
 def vocab_of(spark, rows):
@@ -13,10 +14,36 @@ def test_draws_match_plain_integers(spark):
     def mix(x):
         return pow(x, 5, draws.P)
 
-    rows = draws.with_draw(spark.range(50).withColumn("k", F.col("id") * 7), "d", 42, "id", "k").collect()
+    keys = ["id", "k", "id", "n"]  # more keys than multipliers, bigint keys above 2^31 among them
+    rows = draws.with_draw(spark.range(50).selectExpr("id * 5000000000 AS id", "cast(id * 7 AS int) AS k", "cast(id AS int) AS n"), "d", 42, *keys).collect()
     for r in rows:
-        state = mix((draws.start(42) + r["id"] % draws.P * draws.MULTIPLIERS[0]) % draws.P)
-        assert r["d"] == mix((state + r["k"] % draws.P * draws.MULTIPLIERS[1]) % draws.P)
+        state, parts = draws.start(42), [r["id"] >> 31, r["id"] & draws.P, r["k"], r["id"] >> 31, r["id"] & draws.P, r["n"]]
+        for i, part in enumerate(parts):
+            state = mix((state + part % draws.P * draws.MULTIPLIERS[i % 3]) % draws.P)
+        assert r["d"] == state
+
+
+def test_lines_of_documents_and_files_have_their_own_draws(spark, tmp_path):
+    docs = spark.range(600).selectExpr("id AS doc_id", "array_join(transform(sequence(1, 12), i -> concat('l', i)), '\n') AS text")
+    lines = corpus_lines(docs)
+    assert draws.with_draw(lines, "d", 3, "line_id").select("d").distinct().count() >= 7200 - 2
+    spark.range(20_000).selectExpr("cast(id AS string)").repartition(40).write.text(str(tmp_path / "t"))
+    lines = text_lines(spark, str(tmp_path / "t"))
+    assert draws.with_draw(lines, "d", 3, "line_id").select("d").distinct().count() >= 20_000 - 2
+
+
+def test_every_key_counts(spark):
+    rows = draws.with_draw(spark.range(2000).selectExpr("1 AS a", "2 AS b", "3 AS c", "cast(id AS int) AS item"), "d", 1, "a", "b", "c", "item")
+    assert rows.select("d").distinct().count() == 2000
+
+
+def test_light_words_of_a_large_total_are_drawn(spark):
+    wide = spark.range(40_000).selectExpr("id AS line_id", "0 AS pos")
+    drawn = draws.with_second_draw(draws.with_draw(wide, "a", 1, "line_id", "pos"), "b", "a")
+    at = drawn.select(F.floor(draws.fine_unit(F.col("a"), F.col("b")) * float(1 << 44)).cast("bigint").alias("r"))
+    assert at.select("r").distinct().count() == 40_000
+    assert 12_500 < at.filter("r % 3 = 1").count() < 14_200  # a lattice of 2^31 places would miss most remainders or favour some
+    assert at.select((F.col("r") % 8192).alias("m")).distinct().count() > 8000
 
 
 def test_draws_are_uniform(spark):
