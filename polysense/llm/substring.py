@@ -180,6 +180,7 @@ def _block_windows(window: int, k: int):
             later = np.flatnonzero((doc != doc[ref]) | (start != start[ref]))
             ask = np.flatnonzero((doc == doc[ref]) & (start == start[ref]))
             ask = ask[np.append(True, ref[ask][1:] != ref[ask][:-1])] if len(ask) else ask
+            ask = ask[np.lexsort((start[ask], doc[ask]))]  # rows of a document side by side compress well in the shuffle
             yield batch_of(_PROBE, w[ask], c[ask], doc[ask], start[ask].astype(np.int32), np.full(len(ask), window, np.int32),
                            pa.nulls(len(ask), pa.int64()), pa.nulls(len(ask), pa.int32()))
             if len(later):
@@ -198,7 +199,7 @@ def _block_windows(window: int, k: int):
                 if not len(start):
                     continue
                 w = run_hashes(words, window)[start].view(np.int64)
-                c = (run_hashes(words, window, _CHECK)[start] >> np.uint64(33)).astype(np.int64)
+                c = (run_hashes(words, window, _CHECK)[start] >> np.uint64(40)).astype(np.int64)
                 if buffer.add(w, c, np.full(len(start), doc, np.int64), start):
                     yield from out()
         if buffer.rows:
