@@ -1,9 +1,11 @@
 """Near-duplicate embeddings by spherical k-means cells.
 
 Unit vectors are assigned to the nearest of the cells' centres, which are fitted on a
-bounded sample; every vector also visits the next nearest cells. Inside a cell, blocks of
-vectors meet pairwise in matrix products, so tasks stay bounded whatever the size of a
-cell, and only counts and spanning edges leave them. One vector per group is kept.
+bounded sample; every vector also visits the next nearest cells. Equal vectors are one
+class, compared once by its smallest id and weighed by its copies, so a large group of
+copies costs no products. Inside a cell, blocks of classes meet pairwise in matrix
+products, so tasks stay bounded whatever the size of a cell, and only counts and spanning
+edges leave them. One vector per group is kept.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from polysense.llm.common import Forest, batch_of, components, rows_of
 from polysense.sources.store import materialize
@@ -65,24 +67,38 @@ def spherical_kmeans(sample: np.ndarray, cells: int, rounds: int = ROUNDS, seed:
     return centres
 
 
-ASSIGNED = "vec_id long, vec binary, cells array<int>"
-_ASSIGNED = pa.schema([("vec_id", pa.int64()), ("vec", pa.binary()), ("cells", pa.list_(pa.int32()))])
+def _unpacked(column: pa.ChunkedArray | pa.Array, kind: type, dim: int) -> np.ndarray:
+    """Unit rows in double precision of packed usable vectors."""
+    rows = np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, dim).astype(np.float64)
+    rows /= np.abs(rows).max(axis=1, keepdims=True)
+    return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
-def _assign(centres: np.ndarray, probes: int):
+def _pack(kind: type, dim: int):
+    """Usable vectors as bytes, in the precision they came in."""
+    schema = pa.schema([("vec_id", pa.int64()), ("vec", pa.binary())])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, good = unit_rows(batch.column(1).to_pylist(), centres.shape[1])
-            ids = np.array(batch.column(0).to_pylist(), object)
-            for at in range(0, len(rows), 4096):
-                part = np.flatnonzero(good[at : at + 4096]) + at
-                part = part[[ids[i] is not None for i in part]] if len(part) else part
-                if not len(part):
-                    continue
-                near = -(rows[part] @ centres.T)
+            values = batch.column(1).to_pylist()
+            good = np.flatnonzero(unit_rows(values, dim)[1])
+            yield batch_of(schema, batch.column(0).take(pa.array(good)), [np.array(values[i], kind).tobytes() for i in good])
+    return run
+
+
+ASSIGNED = "vec_id long, vec binary, copies long, cells array<int>"
+_ASSIGNED = pa.schema([("vec_id", pa.int64()), ("vec", pa.binary()), ("copies", pa.int64()), ("cells", pa.list_(pa.int32()))])
+
+
+def _assign(centres: np.ndarray, probes: int, kind: type):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                near = -(_unpacked(part.column(1), kind, centres.shape[1]) @ centres.T)
                 top = np.argpartition(near, probes - 1, axis=1)[:, :probes] if probes < near.shape[1] else np.argsort(near, axis=1)
                 top = np.take_along_axis(top, np.argsort(np.take_along_axis(near, top, axis=1), axis=1, kind="stable"), axis=1)
-                yield batch_of(_ASSIGNED, list(ids[part]), [rows[i].tobytes() for i in part], list(top.astype(np.int32)))
+                yield batch_of(_ASSIGNED, *part.columns, list(top.astype(np.int32)))
     return run
 
 
@@ -90,15 +106,18 @@ FOUND = "u long, v long, n long"
 _FOUND = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("n", pa.int64())])
 
 
-def _compare(min_cosine: float, dim: int):
+def _compare(min_cosine: float, kind: type, dim: int):
     """Counts and spanning edges of one pair of blocks of a cell; a row is at home or visits.
 
+    A row stands for its copies: it gives its partner that many links.
+
     A pair is counted in the smaller of the cells where it meets with one side at home.
     """
     def run(key, table):
         cell, low, high = (x.as_py() for x in key)
         ids = table.column("vec_id").to_numpy()
-        rows = np.frombuffer(b"".join(table.column("vec").to_pylist()), np.float64).reshape(-1, dim)
+        rows = _unpacked(table.column("vec"), kind, dim)
+        copies = table.column("copies").to_numpy()
         cells = np.stack(table.column("cells").to_numpy())
         block = table.column("block").to_numpy()
         left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
@@ -121,8 +140,8 @@ def _compare(min_cosine: float, dim: int):
                 there = home[y]
                 ok &= ~((there < cell) & (cells[x] == there[:, None]).any(axis=1))
                 x, y = x[ok], y[ok]
-                np.add.at(links, x, 1)
-                np.add.at(links, y, 1)
+                np.add.at(links, x, copies[y])
+                np.add.at(links, y, copies[x])
                 # per row, join the classes of its partners; a class is named by one of its rows
                 by = np.argsort(x, kind="stable")
                 x, y = x[by], y[by]
@@ -153,7 +172,6 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     result; of different vectors under one id, one is compared. An empty table gives an
     empty result.
     """
-    spark = vectors.sparkSession
     rows = rows_of(vectors, vec_id=id_col, vec=vec_col)
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("vec").cast("array<double>").alias("vec"))
     usable = rows.filter("vec IS NOT NULL AND vec_id IS NOT NULL")
@@ -162,24 +180,34 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     if not shape["n"] or not shape["dim"]:
         return base.select("vec_id", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(
             "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    cut = min(1.0, 1.1 * sample / shape["n"])
-    drawn = usable.filter(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int(cut * (1 << 30))).limit(sample)
-    points, good = unit_rows([r[0] for r in drawn.select("vec").toLocalIterator()], shape["dim"])
-    points = points[good] if good.any() else np.eye(1, shape["dim"])
-    cells = max(1, min(MAX_CELLS, -(-shape["n"] // cell), len(points) // 4 or 1))
-    centres = spherical_kmeans(points, cells)
+    element = vectors.schema[vec_col].dataType.elementType
+    kind, dim = (np.float32 if isinstance(element, T.FloatType) else np.float64), shape["dim"]
     one = usable.groupBy("vec_id").agg(F.min("vec").alias("vec"))
-    assigned = materialize(one.mapInArrow(_assign(centres, min(probes, cells)), ASSIGNED), "assigned")
+    packed = one.mapInArrow(_pack(kind, dim), "vec_id long, vec binary").withColumn("digest", F.unhex(F.sha2("vec", 256)))
+    packed = materialize(packed, "vectors")
+    first = F.min(F.struct("vec_id", "vec"))
+    classes = packed.groupBy("digest").agg(first.alias("first"), F.count("*").alias("copies"))
+    classes = materialize(classes.select("digest", "first.vec_id", "first.vec", "copies"), "classes")
+    n = classes.count()
+    cut = min(1.0, 1.1 * sample / max(n, 1))
+    drawn = classes.filter(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int(cut * (1 << 30))).limit(sample).select("vec").toArrow()
+    points = _unpacked(drawn.column("vec"), kind, dim) if drawn.num_rows else np.eye(1, dim)
+    cells = max(1, min(MAX_CELLS, -(-n // cell), len(points) // 4 or 1))
+    centres = spherical_kmeans(points, cells)
+    assigned = materialize(classes.select("vec_id", "vec", "copies").mapInArrow(_assign(centres, min(probes, cells), kind), ASSIGNED), "assigned")
     sizes = assigned.select(F.explode("cells").alias("cell")).groupBy("cell").count()  # at most MAX_CELLS rows, so it may be broadcast
     sizes = sizes.select("cell", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    met = assigned.select("vec_id", "vec", "cells", F.explode("cells").alias("cell")).join(F.broadcast(sizes), "cell")
+    met = assigned.select("*", F.explode("cells").alias("cell")).join(F.broadcast(sizes), "cell")
     met = met.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).drop("other", "blocks")
-    found = materialize(met.groupBy("cell", "low", "high").applyInArrow(_compare(min_cosine, shape["dim"]), FOUND), "cosines")
+    found = materialize(met.groupBy("cell", "low", "high").applyInArrow(_compare(min_cosine, kind, dim), FOUND), "cosines")
     counts = found.filter("n > 0").groupBy(F.col("u").alias("vec_id")).agg(F.sum("n").alias("n_links"))
     roots = components(found.filter("n = 0").select("u", "v")).select(F.col("node").alias("vec_id"), "root")
-    # the smallest id of a component is its root
-    out = rows.select("vec_id").join(counts, "vec_id", "left").join(roots, "vec_id", "left")
+    # the smallest id of a component is its root, as the smallest of a class stands for it
+    judged = classes.select("digest", "vec_id", "copies").join(counts, "vec_id", "left").join(roots, "vec_id", "left").select(
+        "digest", (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "vec_id").alias("root"))
+    members = packed.select("vec_id", "digest").join(judged, "digest").drop("digest")
+    out = rows.select("vec_id").join(members, "vec_id", "left")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("root", "vec_id").alias("component_id"),
                       (F.col("vec_id").isNotNull() & (F.coalesce("root", "vec_id") == F.col("vec_id"))).alias("kept"))

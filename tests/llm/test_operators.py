@@ -415,6 +415,18 @@ def test_embedding_links(spark, monkeypatch, cell, block):
         assert all(got[i]["n_links"] == count[i] and got[i]["component_id"] == root[i] for i in ids)
 
 
+def test_embedding_copies_are_compared_once(spark, monkeypatch):
+    monkeypatch.setattr(embed_dedup, "BLOCK", 8)
+    rng = np.random.default_rng(6)
+    hot, cold = rng.normal(size=(2, 16))
+    vectors = [hot] * 200 + [hot + 0.02 * rng.normal(size=16) for _ in range(5)] + [cold] * 30 + [-hot]
+    ids = [int(x) for x in rng.permutation(len(vectors))]
+    table = spark.createDataFrame([(i, [float(v) for v in x]) for i, x in zip(ids, vectors)], "vec_id long, embedding array<double>")
+    count, root = brute_cosine(ids, vectors)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embed_dedup.near_duplicates(table).collect()}
+    assert got == {i: (count[i], root[i]) for i in ids}
+
+
 def test_embedding_links_whole_table(spark):
     table = spark.read.parquet("/root/testdata/check_s/embeddings.parquet")
     got = {r["vec_id"]: r for r in embed_dedup.near_duplicates(table).collect()}
