@@ -2,7 +2,7 @@
 
 They work on what one Arrow task holds: the tokens of a bounded group of sentences and
 the model rows those tokens can touch. ``words``/``senses`` are aligned with the rows;
-``first``/``last`` bound the sentence piece of each row.
+``first``/``last`` bound the sentence of each row.
 """
 
 from __future__ import annotations
@@ -53,16 +53,17 @@ def context(pos: np.ndarray, first: np.ndarray, last: np.ndarray, window: int) -
     return np.where(inside, at, pos[:, None]), inside
 
 
-def noise_scores(inputs, outputs, negatives, cand, ctx, slice_rows: int = 256):
-    """Scores of every candidate against every context's noise words
-    -> (centres, candidates, contexts, negatives)."""
+def noise_part(inputs, outputs, negatives, cand, ctx, softmax, slice_rows: int = 256):
+    """What every context's noise words add to the loss of every candidate, or for softmax the
+    log of their summed exponentials -> (centres, candidates, contexts). Scores stay inside a slice."""
     k = negatives.shape[1]
-    result = np.empty((len(cand), cand.shape[1], ctx.shape[1], k))
+    result = np.empty((len(cand), cand.shape[1], ctx.shape[1]))
     for s in range(0, len(cand), slice_rows):
         part = slice(s, s + slice_rows)
         u = inputs.vec[cand[part]].astype(np.float64)
         n = outputs.vec[negatives[ctx[part]]].astype(np.float64).reshape(len(u), -1, u.shape[2])
-        result[part] = (u @ n.transpose(0, 2, 1)).reshape(len(u), u.shape[1], ctx.shape[1], k)
+        scores = (u @ n.transpose(0, 2, 1)).reshape(len(u), u.shape[1], ctx.shape[1], k)
+        result[part] = np.logaddexp.reduce(scores, axis=3, initial=-np.inf) if softmax else LOSS_NOISE[bins(scores)].sum(axis=3)
     return result
 
 
@@ -84,15 +85,14 @@ def assign(words, senses, n_senses, first, last, own, negatives, inputs, outputs
     real = options < sizes[:, None]
     cand = inputs.at(words[todo][:, None], np.where(real, options, 0))
     ctx, inside = context(todo, first, last, window)
-    scores = noise_scores(inputs, outputs, negatives, cand, ctx)
-    if softmax:
-        fixed = scores
-    else:
-        fixed = (LOSS_NOISE[bins(scores)].sum(axis=3) * inside[:, None, :]).sum(axis=2)
+    fixed = noise_part(inputs, outputs, negatives, cand, ctx, softmax)
+    if not softmax:
+        fixed = (fixed * inside[:, None, :]).sum(axis=2)
     _, sentence = np.unique(first[todo], return_inverse=True)
     starts = np.r_[True, sentence[1:] != sentence[:-1]]
     turn = np.arange(len(todo)) - np.flatnonzero(starts)[sentence]
-    by_turn = [np.flatnonzero(turn == t) for t in range(turn.max() + 1)]
+    order = np.argsort(turn, kind="stable")
+    by_turn = np.split(order, np.flatnonzero(np.diff(turn[order])) + 1)
     active = np.ones(sentence.max() + 1, dtype=bool)
     for _ in range(max_passes):
         changed = np.zeros(len(active), dtype=bool)
@@ -103,10 +103,7 @@ def assign(words, senses, n_senses, first, last, own, negatives, inputs, outputs
             v = outputs.vec[outputs.at(words[ctx[rows]], senses[ctx[rows]])].astype(np.float64)
             x = inputs.vec[cand[rows]].astype(np.float64) @ v.transpose(0, 2, 1)
             if softmax:
-                every = np.concatenate([x[..., None], fixed[rows]], axis=3)
-                top = every.max(axis=3)
-                pair = top + np.log(np.exp(every - top[..., None]).sum(axis=3)) - x
-                loss = (pair * inside[rows][:, None, :]).sum(axis=2)
+                loss = ((np.logaddexp(x, fixed[rows]) - x) * inside[rows][:, None, :]).sum(axis=2)
             else:
                 loss = fixed[rows] + (LOSS_TRUE[bins(x)] * inside[rows][:, None, :]).sum(axis=2)
             loss = np.where(real[rows] & ~np.isnan(loss), loss, np.inf)
@@ -129,7 +126,7 @@ def centre_losses(words, senses, first, last, own, negatives, inputs, outputs, w
         return loss, count
     ctx, inside = context(todo, first, last, window)
     cand = inputs.at(words[todo], senses[todo])[:, None]
-    noise = noise_scores(inputs, outputs, negatives, cand, ctx)[:, 0]
+    noise = noise_part(inputs, outputs, negatives, cand, ctx, softmax)[:, 0]
     out = outputs.at(words[ctx], senses[ctx])
     true = np.empty(ctx.shape)
     for s in range(0, len(todo), 4096):  # bounds the gathered vectors
@@ -137,11 +134,9 @@ def centre_losses(words, senses, first, last, own, negatives, inputs, outputs, w
         u = inputs.vec[cand[part, 0]].astype(np.float64)
         true[part] = (outputs.vec[out[part]].astype(np.float64) @ u[:, :, None])[:, :, 0]
     if softmax:
-        every = np.concatenate([true[..., None], noise], axis=2)
-        top = every.max(axis=2)
-        pair, per_pair = top + np.log(np.exp(every - top[..., None]).sum(axis=2)) - true, 1
+        pair, per_pair = np.logaddexp(true, noise) - true, 1
     else:
-        pair, per_pair = LOSS_TRUE[bins(true)] + LOSS_NOISE[bins(noise)].sum(axis=2), 1 + negatives.shape[1]
+        pair, per_pair = LOSS_TRUE[bins(true)] + noise, 1 + negatives.shape[1]
     loss[todo] = (pair * inside).sum(axis=1)
     count[todo] = inside.sum(axis=1) * per_pair
     return loss, count
@@ -153,11 +148,14 @@ class _Sigmoid:
     def __init__(self, negated: np.ndarray):
         self.negated, self.seen, self.total = negated, [], 0.0
 
-    def pull(self, x: np.ndarray) -> np.ndarray:
-        at = bins(x)
+    def record(self, at: np.ndarray) -> None:
         self.seen.append(at)
         if len(self.seen) == 4096:
             self.flush()
+
+    def pull(self, x: np.ndarray) -> np.ndarray:
+        at = bins(x)
+        self.record(at)
         pull = self.negated[at]
         pull[..., 0] += 1.0
         return pull
@@ -197,12 +195,22 @@ def add_rows(table: np.ndarray, rows: np.ndarray, change: np.ndarray) -> None:
     table[rows[starts]] += np.add.reduceat(change[order], starts, axis=0)
 
 
+def turns(rows: np.ndarray) -> list[np.ndarray]:
+    """Places of the first, second, .. occurrences of each row number."""
+    order = rows.argsort(kind="stable")
+    starts = np.flatnonzero(np.r_[True, np.diff(rows[order]) != 0])
+    nth = np.empty(len(rows), dtype=np.intp)
+    nth[order] = np.arange(len(rows)) - np.repeat(starts, np.diff(np.r_[starts, len(rows)]))
+    return [np.flatnonzero(nth == t) for t in range(nth.max() + 1)]
+
+
 def learn(words, senses, first, last, own, negatives, inputs, outputs, window, alpha, softmax, lockstep):
     """Gradient descent over the sentences in order, updating the rows in place.
 
     A centre visits its contexts from left to right; each visit moves the output rows of
-    the context and its noise words, then the centre's input row. With ``lockstep`` > 1
-    that many sentences advance side by side and their simultaneous visits see the same
+    the context and its noise words, then the centre's input row. A noise word that was drawn
+    twice is scored the second time after its first update (softmax needs all scores at
+    once and adds such changes up). With ``lockstep`` > 1 that many sentences advance side by side and their simultaneous visits see the same
     rows; 1 is strictly sequential. Returns the loss and the number of predictions.
     """
     target = np.concatenate([outputs.at(words, senses)[:, None], negatives], axis=1)
@@ -215,6 +223,22 @@ def learn(words, senses, first, last, own, negatives, inputs, outputs, window, a
     ctx, inside = context(every, first, last, window)
     starts = np.flatnonzero(first == every)
     pairs = 0
+    in_turn = {} if softmax or lockstep > 1 else {p: turns(target[p]) for p in np.flatnonzero(repeats).tolist()}
+
+    def visit_repeated(c: int, p: int) -> None:
+        rows, u = target[p], ins[centre[c]]
+        at, move = np.empty(len(rows), dtype=np.intp), np.zeros_like(u)
+        for places in in_turn[p]:  # rows of one turn differ, so their order does not matter
+            out = outs[rows[places]]
+            at[places] = bins(out @ u)
+            pull = act.negated[at[places]]
+            if places[0] == 0:
+                pull[0] += 1.0
+            pull = alpha * pull
+            move += pull @ out
+            outs[rows[places]] = out + pull[:, None] * u
+        act.record(at)
+        u += move
 
     def visit_one(c: int, p: int) -> None:
         rows, u = target[p], ins[centre[c]]
@@ -237,8 +261,8 @@ def learn(words, senses, first, last, own, negatives, inputs, outputs, window, a
     if lockstep == 1:
         for c in np.flatnonzero(own):
             near = ctx[c][inside[c]]
-            for p in near:
-                visit_one(c, p)
+            for p in near.tolist():
+                (visit_repeated if p in in_turn else visit_one)(c, p)
             pairs += len(near)
     else:
         for s in range(0, len(starts), lockstep):

@@ -141,5 +141,22 @@ def find_synonyms_batch(queries: DataFrame, vectors: DataFrame, n: int) -> DataF
 
 
 def find_synonyms(vectors: DataFrame, word: str, n: int) -> DataFrame:
-    """One list per sense of ``word``."""
-    return find_synonyms_batch(lookup_vector(vectors, word), vectors, n)
+    """One list per sense of ``word``, columns as of ``find_synonyms_batch``.
+
+    The word's few vectors (one per sense) become literals, so the table is scanned in place
+    and only each task's best rows are shuffled.
+    """
+    if n <= 0:
+        raise ValueError("n must be positive")
+    own = lookup_vector(vectors, word).select("sense", "vec").collect()
+    dim, sense_type = len(own[0]["vec"]), vectors.schema["sense"].dataType
+    length = norm(F.col("vec"), dim)
+    scores = [
+        F.struct(F.lit(r["sense"]).cast(sense_type).alias("q_sense"),
+                 F.round(dot(F.array(*[F.lit(float(x)) for x in r["vec"]]), F.col("vec"), dim) / length, SCORE_DIGITS).alias("score"))
+        for r in own
+    ]
+    rows = vectors.filter(length > 0).select(F.lit(word).alias("q_word"), "word", "sense", F.explode(F.array(*scores)).alias("_s"))
+    order = Window.partitionBy("q_sense").orderBy(F.col("score").desc(), "word", "sense")
+    ranked = rows.select("q_word", "_s.q_sense", "word", "sense", "_s.score").withColumn("rank", F.row_number().over(order))
+    return ranked.filter((F.col("rank") <= n + 1) & (F.col("rank") > 1)).withColumn("rank", F.col("rank") - 1)

@@ -23,29 +23,22 @@ from polysense.functions.vecmath import element_sums, packed
 
 cloudpickle.register_pickle_by_value(kernels)  # tasks need no copy of this package
 
-PIECE = 8192  # tokens of one line that a group takes at most; longer lines are cut
 ASSIGNED = "line_id bigint, pos int, word_id int, n_senses int, sense int, passes bigint, loss double, n bigint"
 LEARNED = "tbl string, word_id int, sense int, delta array<double>, loss double, n bigint, words bigint"
 
 
-def grouped_sample(occ: DataFrame, negatives: DataFrame, num_groups: int, cfg: TrainConfig, piece: int = PIECE) -> DataFrame:
-    """Tokens and noise words dealt to groups -> ``(grp, line_id, piece, pos, item, word_id,
+def grouped_sample(occ: DataFrame, negatives: DataFrame, num_groups: int, cfg: TrainConfig) -> DataFrame:
+    """Tokens and noise words dealt to groups -> ``(grp, line_id, pos, item, word_id,
     sense, n_senses, own)``; item -1 is the token itself, 0.. its noise words.
 
-    A line stays together up to ``piece`` tokens. A longer one is cut, and every piece
-    also gets the ``window`` tokens beside it as context (``own`` false), so no pair of
-    a cut line is lost and no single line decides the size of a task.
+    A line stays whole in one group whatever its length, since every step of it may depend
+    on the one before. ``own`` marks the tokens that are worked on as centres: all.
     """
     rows = occ.select("line_id", "pos", F.lit(-1).alias("item"), "word_id", "sense", "n_senses").unionByName(
         negatives.select("line_id", "pos", F.col("k").alias("item"), F.col("neg_word_id").alias("word_id"),
                          F.col("neg_sense").alias("sense"), F.lit(0).alias("n_senses"))
     )
-    home = F.floor(F.col("pos") / piece).cast("int")
-    before = F.floor(F.greatest(F.col("pos") - cfg.window, F.lit(0)) / piece).cast("int")
-    after = F.floor((F.col("pos") + cfg.window) / piece).cast("int")
-    rows = rows.withColumn("piece", F.explode(F.array_distinct(F.array(before, home, after))))
-    rows = rows.withColumn("own", F.col("piece") == home)
-    rows = with_draw(rows, "grp", cfg.seed + SEED_GROUP, "line_id", "piece")
+    rows = with_draw(rows.withColumn("own", F.lit(True)), "grp", cfg.seed + SEED_GROUP, "line_id")
     return rows.withColumn("grp", below(F.col("grp"), num_groups))
 
 
@@ -65,17 +58,17 @@ def touched_rows(sample: DataFrame, model: DataFrame, cfg: TrainConfig, all_sens
 
 
 class _Group:
-    """The arrays of one group, ordered by line, piece and position."""
+    """The arrays of one group, ordered by line and position."""
 
     def __init__(self, rows: pd.DataFrame, params: pd.DataFrame, dim: int):
-        rows = rows.sort_values(["line_id", "piece", "pos", "item"], ignore_index=True)
+        rows = rows.sort_values(["line_id", "pos", "item"], ignore_index=True)
         is_token = (rows["item"] < 0).to_numpy()
         self.tokens = rows[is_token]
         col = lambda name: self.tokens[name].to_numpy()
         self.words, self.senses, self.n_senses = col("word_id"), col("sense"), col("n_senses")
         self.own = col("own").astype(bool)
-        line, piece = col("line_id"), col("piece")
-        starts = np.r_[True, (line[1:] != line[:-1]) | (piece[1:] != piece[:-1])]
+        line = col("line_id")
+        starts = np.r_[True, line[1:] != line[:-1]]
         which = np.cumsum(starts) - 1
         at = np.flatnonzero(starts)
         self.first = at[which]

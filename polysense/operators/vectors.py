@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from polysense.functions.vecmath import dot, element_sums, norm, packed, scaled
 from polysense.operators.similarity import top_scores
+from polysense.sources.store import materialize
 
 AFFINITY_FLOOR = 1e-100
 
@@ -98,11 +99,10 @@ def pair_metrics(pairs: DataFrame, dim: int, t: float = 0.5) -> DataFrame:
 
 def affinity_normalize(edges: DataFrame) -> DataFrame:
     """``(i, j, p)``: no diagonal, symmetrized, summing to one, stored edges floored at 1e-100."""
-    off = edges.filter(F.col("i") != F.col("j"))
-    total = off.agg(F.sum("p")).scalar()
-    both = off.select(
+    both = edges.filter(F.col("i") != F.col("j")).select(
         F.explode(F.array(F.struct("i", "j", "p"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"), "p"))).alias("e")
     ).select("e.*")
-    return both.groupBy("i", "j").agg((F.sum("p") / 2.0).alias("_p")).select(
-        "i", "j", F.greatest(F.col("_p") / total, F.lit(AFFINITY_FLOOR)).alias("p")
-    )
+    # written once: the edges may be dear, and both their total and their rows are wanted
+    halves = materialize(both.groupBy("i", "j").agg((F.sum("p") / 2.0).alias("_p")), "affinities")
+    total = halves.agg(F.sum("_p")).scalar()
+    return halves.select("i", "j", F.greatest(F.col("_p") / total, F.lit(AFFINITY_FLOOR)).alias("p"))

@@ -15,7 +15,7 @@ from polysense.sources.store import materialize
 
 @dataclass
 class Corpus:
-    """Lazy DataFrames over the ``documents`` table; vocabulary, noise and start model are written once."""
+    """Lazy DataFrames over the ``documents`` table; vocabulary, occurrences, noise and start model are written once."""
 
     spark: SparkSession
     sf_dir: str
@@ -44,7 +44,8 @@ class Corpus:
 
     @cached_property
     def occurrences(self) -> DataFrame:
-        return splits.init_senses(tokens.filter_vocab(self.tokens, self.vocab), self.cfg.seed)
+        """Written once: lookups take it apart by rank and would tokenize the corpus again for each part."""
+        return materialize(splits.init_senses(tokens.filter_vocab(self.tokens, self.vocab), self.cfg.seed), "occurrences")
 
     @cached_property
     def noise(self) -> DataFrame:
