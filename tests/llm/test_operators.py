@@ -513,6 +513,11 @@ def test_personal_data_of_hard_cases(hard):
     check_spans(pii.find(hard, pii.fit(hard)).collect(), [r[:2] for r in hard_cases()])
 
 
+def test_cards_of_single_digits(spark):
+    spread = [(1, "no. " + " ".join("4111111111111111")), (2, "-".join("4111111111111111") + " a"), (3, "4 1 1 1"), (4, "+4 9 1 5 1 2 3 4 5")]
+    check_spans(pii.find(spark.createDataFrame(spread, "doc_id long, text string"), pii.PiiModel()).collect(), spread)
+
+
 def test_added_spans(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     model = pii.fit(docs)
