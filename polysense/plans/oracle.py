@@ -413,6 +413,9 @@ def _statements() -> dict[str, str]:
             SELECT word, sense, vec FROM model JOIN vocab USING (word_id) WHERE tbl = 'out') {long('saved', 'word, sense')}""",
         "vectors_text_round_trip": f"WITH {MODEL} {NAMED_CTE} {long('named', 'word, sense')}",
         "word_index_lines": f"WITH {VOCAB} SELECT word || '_' || word_id || '_' || n_senses AS value FROM vocab",
+        "word_index_round_trip": f"WITH {VOCAB} SELECT word, word_id, n_senses FROM vocab",
+        "word2vec_text_round_trip": f"""WITH {MODEL} {NAMED_CTE}, plain AS (FROM named WHERE sense = 0)
+            {long('plain', 'word')}""",
         "get_vectors": f"WITH {MODEL} {NAMED_CTE} {long('named', 'word, sense')}",
         "lookup_vector": f"""WITH {MODEL} {NAMED_CTE}, found AS (FROM named WHERE word = '{SYNONYM_WORD}')
             {long('found', 'word, sense')}""",

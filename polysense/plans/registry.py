@@ -473,6 +473,21 @@ def word_index_lines(spark, sf_dir):
     return models.index_lines(check_corpus(spark, sf_dir).vocab)
 
 
+@_register
+def word_index_round_trip(spark, sf_dir):
+    path = scratch_path(spark, "word-index")
+    models.index_lines(check_corpus(spark, sf_dir).vocab).write.text(path)
+    return models.load_word_index(spark, path)
+
+
+@_register
+def word2vec_text_round_trip(spark, sf_dir):
+    c = check_corpus(spark, sf_dir)
+    path = scratch_path(spark, "word2vec-text")
+    models.save_word2vec_text(models.named_vectors(c.model, c.vocab), path)
+    return long_vectors(models.load_word2vec_text(spark, path), ["word"])
+
+
 # ---- training; sequential inside a group, so without SQL form
 
 

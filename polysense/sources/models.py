@@ -68,6 +68,39 @@ def index_lines(vocab: DataFrame) -> DataFrame:
     return vocab.select(F.concat_ws("_", "word", F.col("word_id").cast("string"), F.col("n_senses").cast("string")).alias("value"))
 
 
+def load_word_index(spark: SparkSession, path: str) -> DataFrame:
+    """``(word, word_id, n_senses)`` of files of :func:`index_lines`."""
+    entry = "^(.*)_([0-9]+)_([0-9]+)$"
+    part = lambda i: F.regexp_extract("value", entry, i)
+    return spark.read.text(path).filter(F.col("value").rlike(entry)).select(
+        part(1).alias("word"), part(2).cast("int").alias("word_id"), part(3).cast("int").alias("n_senses"))
+
+
+def stored_vectors(spark: SparkSession, path: str) -> DataFrame:
+    """``(tbl, word, sense, vec)`` of a saved model, the form that a warm start takes."""
+    rows = load_model(spark, path).join(load_vocab(spark, path).select("word_id", "word"), "word_id")
+    return rows.select("tbl", "word", "sense", "vec")
+
+
+def save_word2vec_text(vectors: DataFrame, path: str) -> None:
+    """The plain text form of other tools: a header ``words dim``, then ``word v0 v1 ..``.
+
+    A word has one line, of its lowest sense. The header is the first part file, so the
+    parts in the order of their names make one file.
+    """
+    plain = vectors.groupBy("word").agg(F.min(F.struct("sense", "vec")).alias("_first")).select("word", F.col("_first.vec").alias("vec"))
+    size = vectors.agg(F.count_distinct("word").alias("n"), F.coalesce(F.max(F.size("vec")), F.lit(0)).alias("dim"))
+    header = size.select(F.concat_ws(" ", "n", "dim").alias("value")).coalesce(1)
+    numbers = F.array_join(F.transform("vec", lambda x: x.cast("string")), " ")
+    header.union(plain.select(F.concat_ws(" ", "word", numbers))).write.mode("overwrite").text(path)
+
+
+def load_word2vec_text(spark: SparkSession, path: str) -> DataFrame:
+    """``(word, vec)`` of the plain text form; a line of two whole numbers is its header."""
+    rows = spark.read.text(path).filter(~F.col("value").rlike("^[0-9]+ [0-9]+$")).select(F.split("value", " ", -1).alias("_p"))
+    return rows.select(F.col("_p")[0].alias("word"), as_floats(F.slice("_p", F.lit(2), F.size("_p") - 1)).alias("vec"))
+
+
 def append_history(spark: SparkSession, path: str, row: tuple, fresh: bool = False) -> None:
     """One row per iteration; values of iterations that were not validated are null.
     ``fresh`` starts over, replacing the history of an earlier run of the same name."""

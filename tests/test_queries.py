@@ -79,6 +79,26 @@ def test_text_export_round_trip(spark, tmp_path):
     assert key(models.load_vectors_text(spark, str(tmp_path / "v"))) == key(df)
 
 
+def test_word2vec_text_is_one_file_with_a_header(spark, tmp_path):
+    df = table(spark, [("don't", 1, [9.0, 9.0]), ("don't", 0, [0.1, -2.5e-7]), ("ß", 1, [3.0, 4.0])])
+    models.save_word2vec_text(df, str(tmp_path / "v"))
+    lines = "".join(p.read_text() for p in sorted((tmp_path / "v").glob("part-*"))).splitlines()
+    assert lines[0] == "2 2" and sorted(x.split()[0] for x in lines[1:]) == ["don't", "ß"]
+    got = {r["word"]: r["vec"] for r in models.load_word2vec_text(spark, str(tmp_path / "v")).collect()}
+    assert got["ß"] == [3.0, 4.0] and np.allclose(got["don't"], [0.1, -2.5e-7])
+
+
+def test_saved_runs_become_warm_starts(spark, tmp_path):
+    vocab = spark.createDataFrame([(0, "a", 9, 1), (1, "b_2", 5, 1)], "word_id int, word string, cn bigint, n_senses int")
+    vectors_ = [("in", 0, 0, [1.0]), ("in", 1, 0, [2.0]), ("out", 1, 0, [3.0])]
+    models.save_model(spark.createDataFrame(vectors_, "tbl string, word_id int, sense int, vec array<float>"), vocab, str(tmp_path / "m"))
+    stored = {(r["tbl"], r["word"], r["sense"]): r["vec"] for r in models.stored_vectors(spark, str(tmp_path / "m")).collect()}
+    assert stored == {("in", "a", 0): [1.0], ("in", "b_2", 0): [2.0], ("out", "b_2", 0): [3.0]}
+    models.index_lines(vocab).write.text(str(tmp_path / "i"))
+    index = models.load_word_index(spark, str(tmp_path / "i")).collect()
+    assert sorted(tuple(r) for r in index) == [("a", 0, 1), ("b_2", 1, 1)]
+
+
 def test_superseded_versions_are_deleted(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(store, "scratch_root", lambda _: str(tmp_path))
     versions = store.Versions(spark)
@@ -108,8 +128,7 @@ def test_training_lowers_the_held_out_loss_and_warm_starts(spark, sf_dir, tmp_pa
     one = train(spark, lines, cfg, str(tmp_path))
     history = [r.asDict() for r in one.history.orderBy("it").collect()]
     assert [h["shard"] for h in history] == [0, 1] and history[0]["lr"] > history[1]["lr"]
-    stored = models.load_vectors(spark, f"{one.path}/it=1").withColumn("tbl", F.lit("in"))
-    stored = stored.unionByName(models.load_vectors(spark, f"{one.path}/it=1", "out").withColumn("tbl", F.lit("out")))
+    stored = models.stored_vectors(spark, f"{one.path}/it=1")
     many = train(spark, lines, replace(cfg, one_sense=False, sense_thresholds="60_120", validation_is_subset=True),
                  str(tmp_path), one_sense=stored)
     later = [r.asDict() for r in many.history.orderBy("it").collect()]
@@ -127,7 +146,8 @@ def test_every_query_has_its_twin_or_is_sequential():
 
 @pytest.mark.parametrize("name", ["corpus_summary", "count_spectrum_thinned", "build_vocab", "negative_samples",
                                   "sentence_loss", "assign_senses_sync", "reset_low_prob_senses", "gradient_step",
-                                  "warm_start", "find_synonyms", "affinity_normalize"])
+                                  "warm_start", "find_synonyms", "affinity_normalize", "word_index_round_trip",
+                                  "word2vec_text_round_trip"])
 def test_query_equals_its_sql(spark, sf_dir, name):
     con = duckdb.connect()
     for t in ("documents", "embeddings"):
