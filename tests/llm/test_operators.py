@@ -527,6 +527,25 @@ def test_added_spans(spark):
     assert "card:18:34" in found[1] and "secret:" in found[1] and found[2] == ""
 
 
+def test_long_secrets_are_redacted_whole(spark):
+    model = pii.fit(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
+    rng = np.random.default_rng(8)
+    letters = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_")
+    secrets = {n: "".join(rng.choice(letters, n)) for n in (40, 128, 129, 200, 5000)}
+    token = "".join(rng.choice(letters, 194))
+    cases = [(n, f'So it was. token = "{t}" and more.', 'So it was. [SECRET]" and more.') for n, t in secrets.items()]
+    cases.append((1, f"So it was. token: eyJ.{token[:100]}.{token[100:]}z and more.", "So it was. [SECRET] and more."))
+    table = spark.createDataFrame([c[:2] for c in cases], "doc_id long, text string")
+    assert {tuple(r) for r in pii.redact(table, model).collect()} == {(n, after) for n, _, after in cases}
+
+
+def test_long_bare_runs_are_candidates(spark):
+    runs = {n: "0123456789abcdef" * (n // 16) + "7" * (n % 16) for n in (15, 16, 64, 65, 128, 5008)}
+    table = spark.createDataFrame([(n, f"key {t}, end") for n, t in runs.items()], "doc_id long, text string")
+    found = table.select("doc_id", F.explode(F.expr(pii.candidates("text"))).alias("c")).filter(f"c.kind = {pii.KINDS.index('secret')}").select("doc_id", "c.start", "c.end")
+    assert {tuple(r) for r in found.collect()} == {(n, 4, 4 + n) for n in runs if n >= 16}
+
+
 # ---- 10
 
 
