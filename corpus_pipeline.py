@@ -19,10 +19,12 @@ def toxic_documents_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest id of each SimHash component."""
-    found = simhash.near_duplicates(docs)
-    kept = found.filter("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi")
+    """Keeps one row of each SimHash component, the one of the smallest id.
+
+    A row without an id is kept if no row of its component has one; of rows that repeat an
+    id in one component a single one is kept, while other texts of that id count by their own components.
+    """
+    return simhash.one_per_component(docs)
 
 
 def personal_data_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from polysense.llm.common import EDGE, Forest, batch_of, byte_texts, components, edge_batch, rows_of
 from polysense.sources.store import materialize
@@ -54,16 +54,21 @@ def fingerprint(text: bytes, k: int = SHINGLE_WORDS) -> int:
 _FP = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 
 
-def _fingerprints(k: int):
+def _fingerprints(k: int, schema: pa.Schema = _FP):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch_of(_FP, batch.column(0).cast(pa.int64()), [fingerprint(t, k) for t in byte_texts(batch.column(1))])
+            yield batch_of(schema, batch.column(0).cast(pa.int64()), [fingerprint(t, k) for t in byte_texts(batch.column(1))], *batch.columns[2:])
     return run
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE_WORDS) -> DataFrame:
-    """``(doc_id, fp)`` per row; null and wordless texts have fingerprint 0. Repeated rows stay."""
-    return rows_of(docs, doc_id=id_col, text=text_col).mapInArrow(_fingerprints(k), "doc_id long, fp long")
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE_WORDS, **beside: str) -> DataFrame:
+    """``(doc_id, fp)`` per row; null and wordless texts have fingerprint 0. Repeated rows stay.
+
+    ``beside`` names bigint columns that are carried along.
+    """
+    schema = pa.schema([*_FP, *[(name, pa.int64()) for name in beside]])
+    return rows_of(docs, doc_id=id_col, text=text_col, **beside).mapInArrow(
+        _fingerprints(k, schema), ", ".join(f"{name} long" for name in schema.names))
 
 
 def _variant_keys(fp: str) -> Column:
@@ -164,6 +169,14 @@ def near_links(nodes: DataFrame, max_distance: int = MAX_DISTANCE, block: int =
             .mapInArrow(_verify(max_distance), EDGE))
 
 
+def _rooted(nodes: DataFrame, max_distance: int) -> DataFrame:
+    """``nodes`` of distinct fingerprints with ``root``, the same in every node of a component and in no other."""
+    if max_distance > 2 * len(SEGMENTS) - 1:
+        raise ValueError("the segments guarantee distances up to 5")
+    roots = components(near_links(nodes.select("fp"), max_distance))
+    return nodes.join(roots, F.col("fp") == F.col("node"), "left").select(*nodes.columns, F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE_WORDS,
                     max_distance: int = MAX_DISTANCE) -> DataFrame:
     """``(doc_id, fingerprint, component_id)``, one row per input row.
@@ -173,13 +186,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     share a fingerprint and a component. A null id never names a component, unless
     no member has an id (then it is null). An empty table gives an empty result.
     """
-    if max_distance > 2 * len(SEGMENTS) - 1:
-        raise ValueError("the segments guarantee distances up to 5")
     fps = materialize(fingerprints(docs, id_col, text_col, k), "fingerprints")
-    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    roots = components(near_links(nodes.select("fp"), max_distance))
-    rooted = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    rooted = _rooted(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), max_distance)
     names = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     labels = rooted.join(names, "root").select("fp", "component_id")
     return fps.join(labels, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE_WORDS,
+                      max_distance: int = MAX_DISTANCE) -> DataFrame:
+    """One row of ``docs`` for each component of ``near_duplicates``, with all its columns.
+
+    It is the row of the smallest id, and one without an id only if no member has one.
+    Rows of an id are told apart by a digest of their plain columns, then by their place,
+    which tells rows apart that are equal in all of them.
+    """
+    plain = [F.col(f"`{f.name}`") for f in docs.schema if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
+    rows = materialize(docs.select(F.struct("*").alias("row"), F.xxhash64(*plain).alias("digest"), F.monotonically_increasing_id().alias("place")), "rows")
+    fps = materialize(fingerprints(rows, f"row.{id_col}", f"row.{text_col}", k, digest="digest", place="place"), "fingerprints")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest", "place")
+    rooted = _rooted(fps.groupBy("fp").agg(F.min(order).alias("first")), max_distance)
+    kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.place").alias("place"))
+    return rows.join(kept, "place", "left_semi").select("row.*")

@@ -606,3 +606,25 @@ def test_pipeline_stages_of_hard_cases(spark, sf_dir, hard, empty):
             docs = stage(spark, docs, sf_dir)
             docs.count()
         assert isinstance(docs.toPandas(), pd.DataFrame)
+
+
+def test_pipeline_keeps_one_row_of_each_component(spark, sf_dir, hard, empty):
+    rng = np.random.default_rng(12)
+    texts = [" ".join(f"n{x}" for x in rng.integers(0, 5000, 80)) for _ in range(5)]
+    more = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (100, texts[2]), (100, texts[2]), (100, texts[3]), (101, texts[3]), (102, texts[4]), (None, texts[4])]
+    rows = hard_cases() + [(i, t, "en", "s", 1, "clash", 7, 3) for i, t in more]
+    table = spark.createDataFrame(rows, DOCS)
+    got = corpus_pipeline.one_of_near_duplicates(spark, table, sf_dir)
+    assert got.columns == table.columns
+    prints = [brute_fingerprint(r[1]) for r in rows]
+    distinct = sorted(set(prints))
+    root = brute_components(distinct, [(a, b) for i, a in enumerate(distinct) for b in distinct[i + 1:] if (a ^ b).bit_count() <= 4])
+    least = {}
+    for r, p in zip(rows, prints):
+        least.setdefault(root[p], []).append((r[0] is None, r[0] or 0))
+    found = got.collect()
+    assert collections.Counter((root[brute_fingerprint(r["text"])], (r["doc_id"] is None, r["doc_id"] or 0)) for r in found) == {(c, min(v)): 1 for c, v in least.items()}
+    assert set(map(tuple, found)) <= set(rows)
+    assert sorted((r["doc_id"] or -1, r["text"]) for r in found if r["text"] in texts) == sorted(
+        [(-1, texts[0]), (-1, texts[1]), (100, texts[2]), (100, texts[3]), (102, texts[4])])
+    assert corpus_pipeline.one_of_near_duplicates(spark, empty, sf_dir).count() == 0
