@@ -63,7 +63,7 @@ def op3_packing(spark, sf_dir):
 
 @_register
 def op4_warc(spark, sf_dir):
-    return warc.archive_round_trip(_table(spark, sf_dir, "pages")).drop("copies")
+    return warc.page_rows(warc.archive_round_trip(_table(spark, sf_dir, "pages")))
 
 
 @_register

@@ -199,6 +199,18 @@ def restored_index(spark: SparkSession, path: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "copies")
 
 
+def page_rows(index: DataFrame) -> DataFrame:
+    """``restored_index`` with one row for every row of the source, instead of ``copies``.
+
+    All rows of the page that stores a payload are responses: its records under other
+    addresses, which the archive writes as revisits, refer to no other page.
+    """
+    own = F.coalesce(F.col("refers_to") == F.col("page_id"), F.lit(False))
+    return index.select(
+        "page_id", "payload_bytes", "payload_digest", F.when(own, "response").otherwise(F.col("record_type")).alias("record_type"),
+        F.when(~own, F.col("refers_to")).alias("refers_to"), F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("copy")).drop("copy")
+
+
 def archive_round_trip(pages: DataFrame, path: str | None = None) -> DataFrame:
     """Write the archive of ``pages``, read it back, and return the restored index."""
     spark = pages.sparkSession

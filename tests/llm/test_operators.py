@@ -6,12 +6,14 @@ import hashlib
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F, types as T
 
+import __spark_entry__ as entry
 import corpus_pipeline
 from polysense.llm import common, embed_dedup, mixing, native, packing, pii, quality, queries, rollup, simhash, substring, toxicity, warc
 from polysense.sources.store import scratch_path
@@ -261,6 +263,17 @@ def test_warc_of_hard_cases(spark):
         list(warc.parse_records(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nshort\r\n\r\n"))
 
 
+def test_warc_query_of_repeated_rows(spark, tmp_path):
+    rows = [(1, "u", "x"), (1, "u", "x"), (1, "v", "x"), (1, "v", "x"), (2, "u", "x"), (2, "u", "x"), (2, "w", "x"), (3, "u", None), (3, "u", ""), (4, "u", "é"), (1, "u", "y")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    want = con.execute(entry.oracle_sql()["op4_warc"])
+    names = [c[0] for c in want.description]
+    got = queries.registered()["op4_warc"](spark, str(tmp_path)).select(*names).collect()
+    assert len(got) == len(rows) and collections.Counter(map(tuple, got)) == collections.Counter(want.fetchall())
+
+
 # ---- 5
 
 
