@@ -1,12 +1,12 @@
 """SQL forms of the queries that SQL expresses, for DuckDB, written from the contracts.
 
-SimHash, tokenized packing and rollups, toxicity, embeddings and boosted spans have no SQL
-form; tests hold them against brute force.
+SimHash, tokenized packing and rollups, toxicity, embeddings, boosted spans and fuzzy notices have
+no SQL form; tests hold them against brute force.
 """
 
 from __future__ import annotations
 
-from polysense.llm import mixing, quality, warc
+from polysense.llm import centroid, divergence, mixing, quality, warc
 
 # white space that separates words, and one word
 _SPACE = r"[\x20\x09-\x0D]"
@@ -101,5 +101,55 @@ def _mixing() -> str:
       FROM rows JOIN (SELECT {keys}, weight, CASE WHEN tokens > 0 THEN weight / tokens ELSE {mixing.KEEP} END AS p FROM w{step}) USING ({keys})"""
 
 
+def _centroids() -> str:
+    dim, k = centroid.DIM, centroid.CLUSTERS
+    sql = f"""
+      WITH t AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM embeddings WHERE len(embedding) = {dim}),
+      kept AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(x, lambda y: floor({centroid.SCALE} * y)::BIGINT) AS q FROM t
+        WHERE len(list_filter(x, lambda y: y IS NOT NULL AND isfinite(y))) = {dim}),
+      c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || coalesce(vec_id::VARCHAR, '')), q) - 1 AS c, q AS m
+        FROM kept ORDER BY c LIMIT {k})"""
+    for i in range(centroid.ROUNDS + 1):
+        sql += f""",
+      a{i} AS MATERIALIZED (SELECT r, min({{'d': list_sum(list_transform(range(1, {dim + 1}), lambda j: (q[j] - m[j]) * (q[j] - m[j]))), 'c': c}}) AS best
+        FROM kept, c{i} GROUP BY r)"""
+        if i < centroid.ROUNDS:
+            sql += f""",
+      s{i} AS (SELECT best.c AS c, j, sum(q[j])::BIGINT AS s, count(*) AS n FROM a{i} JOIN kept USING (r), range(1, {dim + 1}) AS u(j) GROUP BY ALL),
+      f{i} AS (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY j) AS moved FROM s{i} GROUP BY c),
+      c{i + 1} AS MATERIALIZED (SELECT c, coalesce(moved, m) AS m FROM c{i} LEFT JOIN f{i} USING (c))"""
+    last = centroid.ROUNDS
+    return sql + f"""
+      SELECT vec_id, best.c::INTEGER AS cluster, best.d::BIGINT AS distance, (sum(best.d) OVER (PARTITION BY best.c))::BIGINT AS cluster_inertia,
+             (sum(best.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(m, ',')) AS centroid_sha256
+      FROM a{last} JOIN kept USING (r) JOIN c{last} ON c = best.c"""
+
+
+def _divergence() -> str:
+    unit, prior = divergence.UNIT, divergence.PRIOR
+    p = lambda n, total: f"1 + ({unit} * ({n} + {prior})::HUGEINT) // ({total} + {prior} * v)"
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return rf"""
+      WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                 translate(coalesce(text, ''), '{upper}', '{upper.lower()}') AS text FROM documents),
+      w AS MATERIALIZED (SELECT r, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+      kept AS MATERIALIZED (SELECT lang, term FROM w GROUP BY lang, term HAVING count(DISTINCT r) >= {divergence.MIN_DOCUMENTS}),
+      langs AS (SELECT lang, count(term) AS v FROM (SELECT DISTINCT lang FROM d) LEFT JOIN kept USING (lang) GROUP BY lang),
+      g AS MATERIALIZED (SELECT DISTINCT lang, source FROM d),
+      n AS (SELECT lang, source, term, count(*) AS n FROM w JOIN kept USING (lang, term) GROUP BY ALL),
+      cells AS (SELECT lang, source, term, v, coalesce(n, 0) AS n FROM g JOIN kept USING (lang) JOIN langs USING (lang) LEFT JOIN n USING (lang, source, term)),
+      p AS MATERIALIZED (SELECT lang, source, term, n, {p("n", "sum(n) OVER (PARTITION BY lang, source)")} AS p FROM cells),
+      l AS (SELECT lang, term, {p("n", "sum(n) OVER (PARTITION BY lang)")} AS q FROM (SELECT lang, term, any_value(v) AS v, sum(n) AS n FROM cells GROUP BY lang, term)),
+      pairs AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+      pair AS (SELECT a.lang, a.source, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+               LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source),
+      term AS (SELECT lang, source, term AS item, p - q AS value FROM p JOIN l USING (lang, term) WHERE n > 0 AND p > q),
+      found AS (SELECT 'pair' AS part, * FROM pair UNION ALL SELECT 'term', * FROM term)
+      SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank
+      FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM found)
+      WHERE part = 'pair' OR rank <= {divergence.TOP}"""
+
+
 def statements() -> dict[str, str]:
-    return {"op4_warc": _warc(), "op5_substring": _substring(), "op7_quality": _quality(), "op10_mixing": _mixing()}
+    return {"op4_warc": _warc(), "op5_substring": _substring(), "op7_quality": _quality(), "op10_mixing": _mixing(),
+            "op12_centroids": _centroids(), "op13_divergence": _divergence()}

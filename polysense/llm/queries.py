@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from polysense.llm import embed_dedup, mixing, packing, pii, quality, rollup, simhash, substring, toxicity, warc
+from polysense.llm import centroid, divergence, embed_dedup, license_scan, mixing, packing, pii, quality, rollup, simhash, substring, toxicity, warc
 from polysense.sources.store import scratch_path
 
 #: the vocabulary of the token counts, the same in both files; its pattern comes with it
@@ -104,5 +104,20 @@ def op10_mixing(spark, sf_dir):
     return found.withColumn("weight", F.round("weight", 3)).withColumn("probability", F.round("probability", 9))
 
 
+@_register
+def op11_licenses(spark, sf_dir):
+    return license_scan.scan(_table(spark, sf_dir, "documents"))
+
+
+@_register
+def op12_centroids(spark, sf_dir):
+    return centroid.clusters(_table(spark, sf_dir, "embeddings"))
+
+
+@_register
+def op13_divergence(spark, sf_dir):
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
