@@ -64,14 +64,16 @@ def main() -> None:
     timed("skipgram_pairs", lambda: run(pairs.skipgram_pairs(occ, CFG.window)))
     shard = occ.filter("shard = 0").drop("shard")
     shard_words = shard.count()
-    neg = timed("negative_samples", lambda: materialize(
+    timed("negative_samples", lambda: materialize(
         noise.negative_samples(shard, c.noise, CFG.num_negative, CFG.seed), "bench-neg"))
+    drawn = timed("noise_words_packed", lambda: materialize(
+        noise.with_noise_words(shard, c.noise, CFG.num_negative, CFG.seed), "bench-drawn"))
     timed("init_model", lambda: c.model)
-    scored = loss.scored_pairs(shard, neg, c.model, CFG.dim, CFG.window)
+    scored = loss.scored_pairs(drawn, None, c.model, CFG.dim, CFG.window)
     timed("shard_loss_relational", lambda: run(loss.sentence_loss(scored)))
     timed("shard_gradient_relational", lambda: run(gradients.batch_gradient_sigmoid(scored, CFG.dim)))
     groups = max(1, -(-shard_words // CFG.group_tokens))
-    sample = timed("group_sample", lambda: materialize(training.grouped_sample(shard, neg, groups, CFG), "bench-sample"))
+    sample = timed("group_sample", lambda: materialize(training.grouped_sample(drawn, None, groups, CFG), "bench-sample"))
     one = replace(CFG, one_sense=True)
     timed("shard_loss_grouped", lambda: run(training.assign_senses(sample, c.model, one, with_loss=True, groups=groups)))
     timed("shard_gradient_grouped", lambda: run(training.batch_gradient_by_group(sample, c.model, CFG, groups)))

@@ -35,6 +35,7 @@ class TrainConfig:
     decay: float = 0.99
     sense_init_sd: float = 0.01
     group_tokens: int = 50_000      # tokens one training task holds at a time
+    chunk_tokens: int = 2048        # longer lines are cut into chunks for sense assignment
     lockstep: int = 1               # sentences advanced together in a task; 1 = strictly sequential
 
     @property

@@ -1,4 +1,4 @@
-"""Numpy helpers for the two steps that are sequential inside a sentence.
+"""Numpy helpers for loss, gradients and the two steps that are sequential inside a sentence.
 
 They work on what one Arrow task holds: the tokens of a bounded group of sentences and
 the model rows those tokens can touch. ``words``/``senses`` are aligned with the rows;
@@ -7,8 +7,11 @@ the model rows those tokens can touch. ``words``/``senses`` are aligned with the
 
 from __future__ import annotations
 
+from itertools import cycle
+
 import numpy as np
 
+from polysense.functions.draws import MULTIPLIERS, P
 from polysense.functions.vecmath import SIGMOID_FACTOR, SIGMOID_MAX, SIGMOID_SIZE
 
 _T = np.exp((np.arange(SIGMOID_SIZE) * 2.0 / SIGMOID_SIZE - 1.0) * SIGMOID_MAX)
@@ -29,63 +32,267 @@ def bins(x: np.ndarray) -> np.ndarray:
     return BIN_AT[((x + SIGMOID_MAX) * SIGMOID_FACTOR).astype(np.intp)]
 
 
+def mix(x: np.ndarray) -> np.ndarray:
+    """``x^5 mod P`` of the portable draws."""
+    square = x * x % P
+    return square * square % P * x % P
+
+
+def draw(state: np.ndarray | int, *keys: tuple[np.ndarray, int]) -> np.ndarray:
+    """A chain of draws continued with keys and their multipliers."""
+    for key, multiplier in keys:
+        state = mix((state + key % P * multiplier) % P)
+    return state
+
+
+def noise_words(keys, word, hi, n_senses, k: int, word_state: int, sense_state: int) -> np.ndarray:
+    """Codes of ``k`` noise words of each token, ``(tokens, k)``: the draws of ``negative_samples``.
+
+    ``keys`` name a token in its draws; ``hi`` and ``n_senses`` belong to all words by id,
+    ``hi`` being the running sum of their weights. The part of the chain that a token's
+    draws share is computed once.
+    """
+    item = (np.arange(k, dtype=np.int64), MULTIPLIERS[len(keys) % len(MULTIPLIERS)])
+    token = list(zip(keys, cycle(MULTIPLIERS)))
+    dw, ds = (draw(draw(state, *token)[:, None], item) for state in (word_state, sense_state))
+    dx = mix((dw + MULTIPLIERS[0]) % P)
+    lo = np.concatenate(([0], hi))[word]
+    wt = hi[word] - lo
+    rest = (hi[-1] - wt)[:, None]
+    fine = (dw.astype(np.float64) + dx.astype(np.float64) / float(P)) / float(P)
+    r = np.floor(fine * rest).astype(np.int64)
+    r += np.where(r >= lo[:, None], wt[:, None], 0)
+    drawn = np.searchsorted(hi, r, side="right")
+    return drawn * SENSE_BASE + ds % n_senses[drawn]
+
+
 class Rows:
     """Model rows of one table, found by word-sense code."""
 
-    def __init__(self, words: np.ndarray, senses: np.ndarray, vecs: np.ndarray):
-        code = words.astype(np.int64) * SENSE_BASE + senses
+    def __init__(self, code: np.ndarray, vecs: np.ndarray):
         order = np.argsort(code, kind="stable")
         self.code, self.vec = code[order], vecs[order]
 
-    def at(self, words: np.ndarray, senses: np.ndarray) -> np.ndarray:
-        code = np.asarray(words, dtype=np.int64) * SENSE_BASE + senses
+    def of(self, code: np.ndarray) -> np.ndarray:
         at = np.searchsorted(self.code, code)
         if code.size and (not len(self.code) or (self.code[np.minimum(at, len(self.code) - 1)] != code).any()):
             raise KeyError("a word sense has no model row")
         return at
 
+    def at(self, words: np.ndarray, senses: np.ndarray) -> np.ndarray:
+        return self.of(np.asarray(words, dtype=np.int64) * SENSE_BASE + senses)
+
+
+def offsets(window: int) -> list[int]:
+    return [d for d in range(-window, window + 1) if d]
+
 
 def context(pos: np.ndarray, first: np.ndarray, last: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Row numbers of each centre's contexts and which of them exist."""
-    offsets = np.array([d for d in range(-window, window + 1) if d])
-    at = pos[:, None] + offsets
+    at = pos[:, None] + np.array(offsets(window))
     inside = (at >= first[pos][:, None]) & (at <= last[pos][:, None])
     return np.where(inside, at, pos[:, None]), inside
 
 
-def noise_part(inputs, outputs, negatives, cand, ctx, softmax, slice_rows: int = 256):
-    """What every context's noise words add to the loss of every candidate, or for softmax the
-    log of their summed exponentials -> (centres, candidates, contexts). Scores stay inside a slice."""
-    k = negatives.shape[1]
-    result = np.empty((len(cand), cand.shape[1], ctx.shape[1]))
-    for s in range(0, len(cand), slice_rows):
-        part = slice(s, s + slice_rows)
-        u = inputs.vec[cand[part]].astype(np.float64)
-        n = outputs.vec[negatives[ctx[part]]].astype(np.float64).reshape(len(u), -1, u.shape[2])
-        scores = (u @ n.transpose(0, 2, 1)).reshape(len(u), u.shape[1], ctx.shape[1], k)
-        result[part] = np.logaddexp.reduce(scores, axis=3, initial=-np.inf) if softmax else LOSS_NOISE[bins(scores)].sum(axis=3)
-    return result
+# ---- scores of all pairs within a window
+
+
+#: context positions whose target vectors are held at a time
+BLOCK = 1024
+
+
+def windows(values: np.ndarray, window: int) -> np.ndarray:
+    """For each row a view of the rows around it, ``(n, dim, 2 * window + 1)``; zeros beyond the ends."""
+    padded = np.pad(values, ((window, window), (0, 0)))
+    return np.lib.stride_tricks.sliding_window_view(padded, 2 * window + 1, axis=0)
+
+
+def by_centre(at_context: np.ndarray, window: int) -> np.ndarray:
+    """Values by context and place of the centre around it -> by centre and offset of the context."""
+    n = len(at_context)
+    out = np.zeros((n, 2 * window))
+    for i, d in enumerate(offsets(window)):
+        low, high = max(0, -d), n - max(0, d)
+        if high > low:
+            out[low:high, i] = at_context[low + d : high + d, window - d]
+    return out
 
 
-def assign(words, senses, n_senses, first, last, own, negatives, inputs, outputs, window, max_passes, softmax):
+def pair_values(centre, target, inputs, outputs, window, reduce, wanted=None) -> np.ndarray:
+    """``reduce`` of the scores of each (centre, context) pair -> ``(n, 2 * window)`` by centre and offset.
+
+    The target vectors of a context position are fetched once and multiplied with all the
+    centres around it; scores of rows of other sentences come out too and are to be masked.
+    ``wanted`` marks the centres that matter.
+    """
+    near = windows(inputs.vec[centre].astype(np.float64), window)
+    at_context = np.zeros((len(centre), 2 * window + 1))
+    rows = np.arange(len(centre))
+    if wanted is not None:
+        rows = np.flatnonzero(np.convolve(wanted, np.ones(2 * window + 1), "full")[window : window + len(centre)] > 0)
+    for s in range(0, len(rows), BLOCK):
+        part = rows[s : s + BLOCK]
+        at_context[part] = reduce(outputs.vec[target[part]].astype(np.float64) @ near[part])
+    return by_centre(at_context, window)
+
+
+def noise_loss(x: np.ndarray) -> np.ndarray:
+    return LOSS_NOISE[bins(x)].sum(axis=1)
+
+
+def noise_log(x: np.ndarray) -> np.ndarray:
+    """Log of the summed exponentials of the noise scores, -inf without any."""
+    return np.logaddexp.reduce(x, axis=1, initial=-np.inf)
+
+
+def sigmoid_loss(x: np.ndarray) -> np.ndarray:
+    return LOSS_TRUE[bins(x[:, 0])] + noise_loss(x[:, 1:])
+
+
+def exact_loss(x: np.ndarray) -> np.ndarray:
+    return np.logaddexp(0.0, -x[:, 0]) + np.logaddexp(0.0, x[:, 1:]).sum(axis=1)
+
+
+def softmax_loss(x: np.ndarray) -> np.ndarray:
+    return np.logaddexp(x[:, 0], noise_log(x[:, 1:])) - x[:, 0]
+
+
+def targets(words, senses, negatives, outputs) -> np.ndarray:
+    """Output rows a context position asks for: its own word sense, then its noise words."""
+    return np.concatenate([outputs.at(words, senses)[:, None], negatives], axis=1)
+
+
+def pair_losses(words, senses, first, last, negatives, inputs, outputs, window, reduce, cand=None, wanted=None):
+    """Loss of each pair by centre and offset, the rows of the contexts, and which exist.
+
+    ``cand`` replaces the centres' own senses, ``wanted`` marks the centres that matter.
+    """
+    centre = inputs.at(words, senses if cand is None else cand)
+    loss = pair_values(centre, targets(words, senses, negatives, outputs), inputs, outputs, window, reduce, wanted)
+    ctx, inside = context(np.arange(len(words)), first, last, window)
+    return loss, ctx, inside if wanted is None else inside & wanted[:, None]
+
+
+def centre_losses(words, senses, first, last, own, negatives, inputs, outputs, window, reduce, per_pair):
+    """Loss and number of predictions of each own row as a centre."""
+    loss, _, inside = pair_losses(words, senses, first, last, negatives, inputs, outputs, window, reduce, wanted=own)
+    return (loss * inside).sum(axis=1), inside.sum(axis=1) * per_pair
+
+
+def gradient(words, senses, first, last, own, negatives, inputs, outputs, window, weight):
+    """Summed loss gradient of the own rows as centres -> arrays shaped like the two tables.
+
+    ``weight`` turns scores ``(n, targets, centres)`` into derivatives.
+    """
+    target, centre = targets(words, senses, negatives, outputs), inputs.at(words, senses)
+    d_in, d_out = np.zeros(inputs.vec.shape), np.zeros(outputs.vec.shape)
+    near = windows(inputs.vec[centre].astype(np.float64), window)
+    pulled = np.zeros((len(centre) + 2 * window, d_in.shape[1]))
+    n, places = len(centre), np.arange(2 * window + 1) - window
+    for s in range(0, n, BLOCK):
+        rows = np.arange(s, min(s + BLOCK, n))
+        around = rows[:, None] + places
+        real = (around >= first[rows][:, None]) & (around <= last[rows][:, None]) & (places != 0)
+        real &= own[np.clip(around, 0, n - 1)]
+        t, u = outputs.vec[target[rows]].astype(np.float64), near[rows]
+        push = weight(t @ u) * real[:, None, :]
+        add_rows(d_out, target[rows].ravel(), (push @ u.transpose(0, 2, 1)).reshape(-1, d_in.shape[1]))
+        back = push.transpose(0, 2, 1) @ t
+        for j in range(2 * window + 1):
+            pulled[s + j : s + j + len(rows)] += back[:, j]
+    add_rows(d_in, centre, pulled[window : window + n])
+    return d_in, d_out
+
+
+def reached(words, senses, first, last, own, negatives, inputs, outputs, window):
+    """Rows of the two tables that some pair of an own centre and its context touches."""
+    ctx, inside = context(np.flatnonzero(own), first, last, window)
+    centre = np.flatnonzero(own)[inside.any(axis=1)]
+    around = np.unique(ctx[inside])
+    target = targets(words, senses, negatives, outputs)
+    return np.unique(inputs.at(words[centre], senses[centre])), np.unique(target[around])
+
+
+def sigmoid_weight(x: np.ndarray) -> np.ndarray:
+    g = SIGMOID[bins(x)]
+    g[:, 0] -= 1.0
+    return g
+
+
+def exact_weight(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        g = 1.0 / (1.0 + np.exp(-x))
+    g[:, 0] -= 1.0
+    return g
+
+
+def softmax_weight(x: np.ndarray) -> np.ndarray:
+    e = np.exp(x - x.max(axis=1, keepdims=True))
+    g = e / e.sum(axis=1, keepdims=True)
+    g[:, 0] -= 1.0
+    return g
+
+
+# ---- sense assignment
+
+
+class Halo:
+    """Tokens of the neighbouring chunks of a long line, whose senses after each pass are given.
+
+    ``rows`` are their row numbers, ``history`` their senses after each pass. A pass goes from
+    left to right: it finds those on the left as the same pass left them, those on the
+    right as the pass before did.
+    """
+
+    def __init__(self, rows: np.ndarray, history: np.ndarray, start: np.ndarray, left: np.ndarray):
+        self.rows, self.left = rows, left
+        self.history = np.concatenate([start[:, None], history], axis=1)  # column p: after p passes
+
+    def enter(self, senses: np.ndarray, turn: int) -> None:
+        """Senses as pass ``turn`` finds them, counted from 0."""
+        senses[self.rows] = self.history[np.arange(len(self.rows)), turn + self.left]
+
+    def leave(self, senses: np.ndarray) -> None:
+        senses[self.rows] = self.history[:, -1]
+
+    def last_change(self) -> np.ndarray:
+        """Number of the last pass at which a row has a new sense to show, 0 if it never has."""
+        moved = self.history[:, 1:] != self.history[:, :-1]
+        late = np.where(moved.any(axis=1), moved.shape[1] - moved[:, ::-1].argmax(axis=1), 0) if moved.shape[1] else np.zeros(len(self.rows), int)
+        return np.where(late > 0, late - 1 + ~self.left, -1)
+
+
+def assign(words, senses, n_senses, first, last, own, negatives, inputs, outputs, window, max_passes, softmax, halo=None, watched=None):
     """Left-to-right sense assignment, repeated until a pass changes nothing.
 
     Sentences do not influence each other, so the i-th ambiguous token of all of them is
     decided together; within a sentence each decision sees the ones before it. The noise
     part of a candidate's loss does not depend on the senses of the context and is
     computed once. Returns the senses and, per row, the changing passes of its sentence.
+
+    With a ``halo``, sentences are chunks of long lines, a pass that changes nothing ends
+    them only if the halo brings nothing new, and the number of the last changing pass is
+    given in place of their count. The senses of the rows ``watched`` after each pass come third.
     """
     senses = senses.copy()
     changed_passes = np.zeros(len(words), dtype=np.int64)
+    seen = np.repeat(senses[watched][:, None], max_passes, axis=1) if watched is not None else None
     todo = np.flatnonzero(own & (n_senses > 1))
     if not len(todo):
-        return senses, changed_passes
+        if halo is not None:
+            halo.leave(senses)
+        return (senses, changed_passes) if watched is None else (senses, changed_passes, seen)
     sizes = n_senses[todo]
     options = np.arange(sizes.max())
     real = options < sizes[:, None]
     cand = inputs.at(words[todo][:, None], np.where(real, options, 0))
     ctx, inside = context(todo, first, last, window)
-    fixed = noise_part(inputs, outputs, negatives, cand, ctx, softmax)
+    fixed = np.empty((len(todo), len(options), 2 * window))
+    for option in options:
+        wanted = np.zeros(len(words), bool)
+        wanted[todo[real[:, option]]] = True
+        centre = inputs.at(words, np.minimum(option, n_senses - 1))
+        fixed[:, option] = pair_values(centre, negatives, inputs, outputs, window, noise_log if softmax else noise_loss, wanted)[todo]
     if not softmax:
         fixed = (fixed * inside[:, None, :]).sum(axis=2)
     _, sentence = np.unique(first[todo], return_inverse=True)
@@ -94,7 +301,15 @@ def assign(words, senses, n_senses, first, last, own, negatives, inputs, outputs
     order = np.argsort(turn, kind="stable")
     by_turn = np.split(order, np.flatnonzero(np.diff(turn[order])) + 1)
     active = np.ones(sentence.max() + 1, dtype=bool)
-    for _ in range(max_passes):
+    awaits = np.full(len(active), -1)  # the last pass at which a halo has something new
+    if halo is not None and len(halo.rows):
+        of = np.searchsorted(first[todo[starts]], first[halo.rows])
+        of = np.minimum(of, len(active) - 1)
+        here = first[todo[starts]][of] == first[halo.rows]  # a chunk without ambiguous words waits for nothing
+        np.maximum.at(awaits, of[here], halo.last_change()[here])
+    for turn in range(max_passes):
+        if halo is not None:
+            halo.enter(senses, turn)
         changed = np.zeros(len(active), dtype=bool)
         for rows in by_turn:
             rows = rows[active[sentence[rows]]]
@@ -111,35 +326,19 @@ def assign(words, senses, n_senses, first, last, own, negatives, inputs, outputs
             best = np.where(np.isfinite(loss).any(axis=1), loss.argmin(axis=1), old)
             senses[todo[rows]] = best
             changed[sentence[rows[best != old]]] = True
-        active = changed
+        begin = first[todo[starts][changed]]
+        changed_passes[begin] = turn + 1
+        if watched is not None:
+            seen[:, turn:] = senses[watched][:, None]
+        active = changed | (awaits > turn)
         if not active.any():
             break
-        changed_passes[first[todo[starts][active]]] += 1
-    return senses, changed_passes
+    if halo is not None:
+        halo.leave(senses)
+    return (senses, changed_passes) if watched is None else (senses, changed_passes, seen)
 
 
-def centre_losses(words, senses, first, last, own, negatives, inputs, outputs, window, softmax):
-    """Loss and number of predictions of each own row as a centre."""
-    loss, count = np.zeros(len(words)), np.zeros(len(words), dtype=np.int64)
-    todo = np.flatnonzero(own)
-    if not len(todo):
-        return loss, count
-    ctx, inside = context(todo, first, last, window)
-    cand = inputs.at(words[todo], senses[todo])[:, None]
-    noise = noise_part(inputs, outputs, negatives, cand, ctx, softmax)[:, 0]
-    out = outputs.at(words[ctx], senses[ctx])
-    true = np.empty(ctx.shape)
-    for s in range(0, len(todo), 4096):  # bounds the gathered vectors
-        part = slice(s, s + 4096)
-        u = inputs.vec[cand[part, 0]].astype(np.float64)
-        true[part] = (outputs.vec[out[part]].astype(np.float64) @ u[:, :, None])[:, :, 0]
-    if softmax:
-        pair, per_pair = np.logaddexp(true, noise) - true, 1
-    else:
-        pair, per_pair = LOSS_TRUE[bins(true)] + noise, 1 + negatives.shape[1]
-    loss[todo] = (pair * inside).sum(axis=1)
-    count[todo] = inside.sum(axis=1) * per_pair
-    return loss, count
+# ---- gradient descent
 
 
 class _Sigmoid:
@@ -213,8 +412,7 @@ def learn(words, senses, first, last, own, negatives, inputs, outputs, window, a
     once and adds such changes up). With ``lockstep`` > 1 that many sentences advance side by side and their simultaneous visits see the same
     rows; 1 is strictly sequential. Returns the loss and the number of predictions.
     """
-    target = np.concatenate([outputs.at(words, senses)[:, None], negatives], axis=1)
-    centre = inputs.at(words, senses)
+    target, centre = targets(words, senses, negatives, outputs), inputs.at(words, senses)
     act = _Softmax(np.float32) if softmax else _Sigmoid(NEGATED)
     ordered = np.sort(target, axis=1)
     repeats = (ordered[:, 1:] == ordered[:, :-1]).any(axis=1)
@@ -275,23 +473,3 @@ def learn(words, senses, first, last, own, negatives, inputs, outputs, window, a
                     visit_many(now, ctx[now, j])
                     pairs += len(now)
     return act.loss(), pairs * (1 if softmax else target.shape[1])
-
-
-def gradient(words, senses, first, last, own, negatives, inputs, outputs, window, softmax, slice_rows=2048):
-    """Summed loss gradient of the own rows as centres -> arrays shaped like the two tables."""
-    target = np.concatenate([outputs.at(words, senses)[:, None], negatives], axis=1)
-    centre = inputs.at(words, senses)
-    act = _Softmax(np.float64) if softmax else _Sigmoid(-SIGMOID)
-    d_in, d_out = np.zeros(inputs.vec.shape), np.zeros(outputs.vec.shape)
-    todo = np.flatnonzero(own)
-    ctx, inside = context(todo, first, last, window)
-    for j in range(ctx.shape[1]):
-        keep = np.flatnonzero(inside[:, j])
-        for s in range(0, len(keep), slice_rows):
-            part = keep[s : s + slice_rows]
-            c, rows = centre[todo[part]], target[ctx[part, j]]
-            u, out = inputs.vec[c].astype(np.float64), outputs.vec[rows].astype(np.float64)
-            push = -act.pull((out @ u[:, :, None])[:, :, 0])
-            add_rows(d_out, rows.ravel(), (push[:, :, None] * u[:, None, :]).reshape(-1, u.shape[1]))
-            add_rows(d_in, c, (push[:, None, :] @ out)[:, 0, :])
-    return d_in, d_out

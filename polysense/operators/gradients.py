@@ -2,47 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
-from polysense.functions.vecmath import element_sums, packed, sigmoid, sigmoid_table
-from polysense.operators.loss import PAIR
+from polysense.functions import kernels
+from polysense.operators.loss import Scored
+from polysense.operators.training import gradient_parts
 
 
-def _gather(weighted: DataFrame, dim: int) -> DataFrame:
-    """Sum ``g * vector`` per model row -> ``(tbl, word_id, sense, grad array<double>)``.
+def batch_gradient_sigmoid(scored: Scored, dim: int, exact: bool = True) -> DataFrame:
+    """Gradient of the sigmoid loss ``(tbl, word_id, sense, grad)``: weight ``sigma - 1`` on the true word, ``sigma`` on noise."""
+    weight = kernels.exact_weight if exact else kernels.sigmoid_weight
+    return gradient_parts(scored.rows, scored.model, dim, scored.window, weight)
 
-    Each scored row feeds its centre's input row and its target's output row. The
-    component sums combine before the shuffle: a hot word leaves one row per task.
-    """
-    sides = F.array(
-        F.struct(F.lit("in").alias("tbl"), F.col("word_id").alias("w"), F.col("sense").alias("s"), F.col("t_vec").alias("v")),
-        F.struct(F.lit("out").alias("tbl"), F.col("t_word").alias("w"), F.col("t_sense").alias("s"), F.col("vec").alias("v")),
-    )
-    rows = weighted.select("g", F.explode(sides).alias("side")).select(
-        "g", "side.tbl", F.col("side.w").alias("word_id"), F.col("side.s").alias("sense"), "side.v"
-    )
-    keys = ["tbl", "word_id", "sense"]
-    return rows.groupBy(*keys).agg(*element_sums(F.col("v"), dim, F.col("g"))).select(*keys, packed(dim).alias("grad"))
 
-
-def batch_gradient_sigmoid(scored: DataFrame, dim: int, exact: bool = True) -> DataFrame:
-    """Gradient of the sigmoid loss: weight ``sigma - 1`` on the true word, ``sigma`` on noise."""
-    p = sigmoid(F.col("x")) if exact else sigmoid_table(F.col("x"))
-    label = F.when(F.col("item") == 0, 1.0).otherwise(0.0)
-    return _gather(scored.withColumn("g", p - label), dim)
-
-
-def batch_gradient_softmax(scored: DataFrame, dim: int) -> DataFrame:
+def batch_gradient_softmax(scored: Scored, dim: int) -> DataFrame:
     """Gradient of the sampled-softmax loss: ``p - 1`` on the true word, ``p`` on noise."""
-    items = F.collect_list(F.struct("item", "t_word", "t_sense", "t_vec", "x"))  # 1 + negatives rows
-    pairs = scored.groupBy(*PAIR, "word_id", "sense").agg(F.first("vec").alias("vec"), items.alias("_items"))
-    top = F.aggregate("_items", F.lit(float("-inf")), lambda m, i: F.greatest(m, i["x"]))
-    total = F.aggregate("_items", F.lit(0.0), lambda s, i: s + F.exp(i["x"] - F.col("_top")))
-    rows = (
-        pairs.withColumn("_top", top)
-        .withColumn("_sum", total)
-        .select("word_id", "sense", "vec", "_top", "_sum", F.explode("_items").alias("_i"))
-        .select("word_id", "sense", "vec", "_top", "_sum", "_i.*")
-    )
-    label = F.when(F.col("item") == 0, 1.0).otherwise(0.0)
-    return _gather(rows.withColumn("g", F.exp(F.col("x") - F.col("_top")) / F.col("_sum") - label), dim)
+    return gradient_parts(scored.rows, scored.model, dim, scored.window, kernels.softmax_weight)

@@ -1,113 +1,107 @@
-"""Skip-gram loss with negative sampling, per pair, line and corpus."""
+"""Skip-gram loss with negative sampling, per pair, line and corpus.
 
-from __future__ import annotations
-
-from pyspark.sql import Column, DataFrame, functions as F
-
-from polysense.functions.vecmath import dot, log_softmax, sigmoid, sigmoid_table
-from polysense.operators.pairs import attach_vectors, offsets
-
-PAIR = ["line_id", "pos", "ctx_pos"]
-
-
-def targets(occ: DataFrame, negatives: DataFrame | None, model: DataFrame, dim: int) -> DataFrame:
-    """What a context position asks a centre to predict: item 0 is its own word sense,
-    items 1.. its noise words -> ``(line_id, ctx_pos, item, t_word, t_sense, t_vec)``."""
-    rows = occ.select("line_id", F.col("pos").alias("ctx_pos"), F.lit(0).alias("item"),
-                      F.col("word_id").alias("t_word"), F.col("sense").alias("t_sense"))
-    if negatives is not None:
-        rows = rows.unionByName(
-            negatives.select("line_id", F.col("pos").alias("ctx_pos"), (F.col("k") + 1).alias("item"),
-                             F.col("neg_word_id").alias("t_word"), F.col("neg_sense").alias("t_sense"))
-        )
-    return attach_vectors(rows, model, "out", dim, "t_word", "t_sense", "t_vec")
-
-
-def centres(occ: DataFrame, model: DataFrame, dim: int, window: int, all_senses: bool = False) -> DataFrame:
-    """Centres with their input vector, one row per context offset. ``all_senses`` takes
-    every candidate sense of the ambiguous words instead of the current one."""
-    rows = occ.select("line_id", "pos", "word_id", "sense")
-    if all_senses:
-        rows = occ.filter(F.col("n_senses") > 1).select(
-            "line_id", "pos", "word_id", F.explode(F.sequence(F.lit(0), F.col("n_senses") - 1)).alias("sense")
-        )
-    near = F.explode(F.array(*[F.lit(d) for d in offsets(window)]))
-    return (
-        attach_vectors(rows, model, "in", dim)
-        .withColumn("_off", near)
-        .withColumn("ctx_pos", F.col("pos") + F.col("_off"))
-        .filter(F.col("ctx_pos") >= 0)
-        .drop("_off")
-    )
+Tokens travel once, as rows of their word sense and the codes of their noise words, to groups
+of bounded size that overlap by the window; each group gets the vectors it can touch. In
+there a context's vectors are multiplied with all the centres around it at once.
+"""
 
+from __future__ import annotations
 
-def scored_pairs(
-    occ: DataFrame, negatives: DataFrame | None, model: DataFrame, dim: int, window: int, all_senses: bool = False
-) -> DataFrame:
-    """One row per (centre, context, target item) with the dot product ``x``.
+import sys
+from collections.abc import Callable
+from dataclasses import dataclass
 
-    Vectors are attached to tokens and noise words before pairing, so they are looked
-    up once per token; pairing is one equi-join on (line, context position), a key
-    with at most ``2 * window`` centres and ``1 + negatives`` targets.
-    """
-    left = centres(occ, model, dim, window, all_senses)
-    right = targets(occ, negatives, model, dim)
-    return left.join(right, ["line_id", "ctx_pos"]).withColumn("x", dot(F.col("vec"), F.col("t_vec"), dim))
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, functions as F
 
+from polysense.functions import kernels
+from polysense.operators.training import _Group, per_group, window_groups
 
-def item_loss(x: Column, item: Column, exact: bool = False) -> Column:
-    p = sigmoid(x) if exact else sigmoid_table(x)
-    return -F.log(F.when(item == 0, p).otherwise(1.0 - p))
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+#: tokens of a group, and positions of a chunk of a long line
+GROUP_TOKENS = 8192
 
-def pair_loss_sigmoid(scored: DataFrame, exact: bool = False) -> DataFrame:
-    """``(line_id, pos, ctx_pos, word_id, sense, loss, n)``; every item is one prediction."""
-    return scored.groupBy(*PAIR, "word_id", "sense").agg(
-        F.sum(item_loss(F.col("x"), F.col("item"), exact)).alias("loss"), F.count("*").alias("n")
-    )
+_PAIR = pa.schema([("line_id", pa.int64()), ("pos", pa.int32()), ("ctx_pos", pa.int32()), ("word_id", pa.int32()), ("sense", pa.int32()),
+                   ("loss", pa.float64()), ("n", pa.int64())])
+PAIR = "line_id bigint, pos int, ctx_pos int, word_id int, sense int, loss double, n bigint"
+_CENTRE = pa.schema([f for f in _PAIR if f.name != "ctx_pos"])
+CENTRE = "line_id bigint, pos int, word_id int, sense int, loss double, n bigint"
 
 
-def _pair_scores(scored: DataFrame) -> DataFrame:
-    """Per pair the true score ``px`` and the list of noise scores (bounded by their number)."""
-    return scored.groupBy(*PAIR, "word_id", "sense").agg(
-        F.max(F.when(F.col("item") == 0, F.col("x"))).alias("px"),
-        F.collect_list(F.when(F.col("item") > 0, F.col("x"))).alias("ys"),
-    )
+@dataclass(frozen=True)
+class Scored:
+    """What is needed to score every (centre, context, target) of a corpus.
 
+    ``rows`` are tokens in groups, as of ``training.window_groups``. A context position asks
+    its centres to predict its own word sense and its noise words. ``all_senses`` takes
+    every candidate sense of the ambiguous words as centres instead of the current one.
+    """
 
-def pair_loss_softmax(scored: DataFrame) -> DataFrame:
-    """Sampled-softmax loss; a pair is one prediction."""
-    return _pair_scores(scored).select(
-        *PAIR, "word_id", "sense", (-log_softmax(F.col("px"), F.col("ys"))).alias("loss"),
-        F.lit(1).cast("bigint").alias("n"),
-    )
+    rows: DataFrame
+    model: DataFrame
+    dim: int
+    window: int
+    all_senses: bool = False
 
+    def groups(self, run: Callable, schema: str) -> DataFrame:
+        return per_group(self.rows, self.model, self.all_senses, run, schema)
 
-def pair_loss(scored: DataFrame, softmax: bool = False) -> DataFrame:
-    return pair_loss_softmax(scored) if softmax else pair_loss_sigmoid(scored)
 
+def scored_pairs(
+    occ: DataFrame, negatives: DataFrame | None, model: DataFrame, dim: int, window: int, all_senses: bool = False,
+    group_tokens: int = GROUP_TOKENS,
+) -> Scored:
+    """Scores of ``occ``, whose noise words are its own column ``noise`` or the rows ``negatives``."""
+    return Scored(window_groups(occ, negatives, window, group_tokens), model, dim, window, all_senses)
+
+
+def _losses(scored: Scored, reduce: Callable, per_pair: int | None, pairs: bool) -> DataFrame:
+    """Losses of pairs or centres; a pair counts ``per_pair`` predictions, or one per target."""
+    dim, window, all_senses = scored.dim, scored.window, scored.all_senses
+
+    def run(tokens, params):
+        g = _Group(tokens, params, dim)
+        n = per_pair or 1 + g.negatives.shape[1]
+        out = []
+        for sense in range(int(g.n_senses.max()) if all_senses else 1):
+            wanted = g.own & (g.n_senses > max(sense, 1)) if all_senses else g.own
+            cand = np.minimum(sense, g.n_senses - 1) if all_senses else g.senses
+            loss, ctx, inside = kernels.pair_losses(g.words, g.senses, g.first, g.last, g.negatives, g.inputs, g.outputs,
+                                                    window, reduce, cand, wanted)
+            if pairs:
+                c, i = np.nonzero(inside)
+                columns = [g.line[c], g.pos[c], g.pos[ctx[c, i]], g.words[c], cand[c], loss[c, i], np.full(len(c), n)]
+            else:
+                c = np.flatnonzero(inside.any(axis=1))
+                columns = [g.line[c], g.pos[c], g.words[c], cand[c], (loss * inside)[c].sum(axis=1), inside[c].sum(axis=1) * n]
+            schema = _PAIR if pairs else _CENTRE
+            out.append(pa.table([pa.array(x, f.type) for x, f in zip(columns, schema)], schema=schema))
+        return pa.concat_tables(out)
+
+    return scored.groups(run, PAIR if pairs else CENTRE)
+
+
+def pair_loss_sigmoid(scored: Scored, exact: bool = False) -> DataFrame:
+    """``(line_id, pos, ctx_pos, word_id, sense, loss, n)``; every target is one prediction."""
+    return _losses(scored, kernels.exact_loss if exact else kernels.sigmoid_loss, None, pairs=True)
+
+
+def pair_loss_softmax(scored: Scored) -> DataFrame:
+    """Sampled-softmax loss; a pair is one prediction."""
+    return _losses(scored, kernels.softmax_loss, 1, pairs=True)
 
-def centre_loss(scored: DataFrame, softmax: bool = False) -> DataFrame:
-    """``(line_id, pos, word_id, sense, loss, n)`` summed over a centre's contexts.
 
-    The sigmoid loss is additive over items and skips the per-pair grouping.
-    """
-    if softmax:
-        summed = pair_loss_softmax(scored)
-        sums = [F.sum("loss").alias("loss"), F.sum("n").alias("n")]
-    else:
-        summed = scored
-        sums = [F.sum(item_loss(F.col("x"), F.col("item"))).alias("loss"), F.count("*").alias("n")]
-    return summed.groupBy("line_id", "pos", "word_id", "sense").agg(*sums)
+def centre_loss(scored: Scored, softmax: bool = False) -> DataFrame:
+    """``(line_id, pos, word_id, sense, loss, n)`` summed over a centre's contexts."""
+    return _losses(scored, kernels.softmax_loss, 1, False) if softmax else _losses(scored, kernels.sigmoid_loss, None, False)
 
 
-def sentence_loss(scored: DataFrame, softmax: bool = False) -> DataFrame:
+def sentence_loss(scored: Scored, softmax: bool = False) -> DataFrame:
     """``(line_id, loss, n)``."""
-    if softmax:
-        return pair_loss_softmax(scored).groupBy("line_id").agg(F.sum("loss").alias("loss"), F.sum("n").alias("n"))
-    return scored.groupBy("line_id").agg(
-        F.sum(item_loss(F.col("x"), F.col("item"))).alias("loss"), F.count("*").alias("n")
-    )
+    return centre_loss(scored, softmax).groupBy("line_id").agg(F.sum("loss").alias("loss"), F.sum("n").alias("n"))
 
 
 def loss_summary(losses: DataFrame) -> DataFrame:
@@ -120,14 +114,14 @@ def loss_summary(losses: DataFrame) -> DataFrame:
 
 
 def candidate_sense_loss(
-    occ: DataFrame, negatives: DataFrame, model: DataFrame, dim: int, window: int, softmax: bool = False
+    occ: DataFrame, negatives: DataFrame | None, model: DataFrame, dim: int, window: int, softmax: bool = False
 ) -> DataFrame:
     """Loss of every candidate sense of each ambiguous token, its context held fixed."""
     return centre_loss(scored_pairs(occ, negatives, model, dim, window, all_senses=True), softmax)
 
 
 def assign_senses_sync(
-    occ: DataFrame, negatives: DataFrame, model: DataFrame, dim: int, window: int, softmax: bool = False
+    occ: DataFrame, negatives: DataFrame | None, model: DataFrame, dim: int, window: int, softmax: bool = False
 ) -> DataFrame:
     """One synchronous pass: each ambiguous token takes its cheapest sense, lowest first
     on ties -> ``(line_id, pos, word_id, old_sense, sense)``."""

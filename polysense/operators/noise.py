@@ -2,15 +2,27 @@
 
 from __future__ import annotations
 
+import sys
+
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from polysense.functions.draws import SEED_CHOICE, SEED_NEG_SENSE, SEED_NEG_WORD, below, fine_unit, present, with_draw, with_second_draw
+from polysense.functions import kernels
+from polysense.functions.draws import P, SEED_CHOICE, SEED_NEG_SENSE, SEED_NEG_WORD, below, fine_unit, present, start, with_draw, with_second_draw
 from polysense.operators.joins import head_size, rank_lookup
+from polysense.operators.tokens import decode_ws, encode_ws
 from polysense.sources.store import materialize
 
+cloudpickle.register_pickle_by_value(kernels)  # tasks need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 POWER = 0.75
 WEIGHT_SCALE = 1000.0
 BLOCK = 65_536  # word ids per block of the two-level running sum
+TABLE_BYTES = 64 << 20  # bound of the intervals every task may hold, at 16 bytes a word
 
 
 def noise_distribution(vocab: DataFrame) -> DataFrame:
@@ -44,14 +56,67 @@ def noise_distribution(vocab: DataFrame) -> DataFrame:
     return materialize(noise, "noise")
 
 
+def with_noise_words(occ: DataFrame, noise: DataFrame, k: int, seed: int, turn: int = 0) -> DataFrame:
+    """``occ`` with ``noise``, the codes ``word_id * 100 + sense`` of ``k`` noise words per position.
+
+    Noise words are drawn as in :func:`negative_samples`. While the intervals of all words fit
+    ``TABLE_BYTES``, every task holds them and searches its draws in them, and no row moves;
+    a larger vocabulary goes through the bucketed join.
+    """
+    if noise.count() * 16 > TABLE_BYTES:
+        return with_words(occ, _bucketed_samples(occ, noise, k, seed, turn))
+    table = noise.orderBy("word_id").select("hi", "n_senses").toArrow()
+    hi, n_senses = (table.column(c).to_numpy() for c in ("hi", "n_senses"))
+    seed = seed + 101 * turn
+    states = start(seed + SEED_NEG_WORD), start(seed + SEED_NEG_SENSE)
+    wide = dict(occ.dtypes)["line_id"] == "bigint"
+
+    def run(batches):
+        for batch in batches:
+            line, pos, word = (batch.column(c).to_numpy().astype(np.int64) for c in ("line_id", "pos", "word_id"))
+            keys = [line >> 31, line & P, pos] if wide else [line, pos]
+            many = k if len(hi) > 1 else 0  # a one-word vocabulary has no negatives
+            codes = kernels.noise_words(keys, word, hi, n_senses, many, *states) if many else np.empty((len(word), 0), np.int64)
+            ends = np.arange(len(word) + 1, dtype=np.int32) * many
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(ends, pa.array(codes.ravel()))], [*batch.schema.names, "noise"])
+
+    schema = StructType([*occ.schema.fields, StructField("noise", ArrayType(LongType()))])
+    return occ.mapInArrow(run, schema)
+
+
+def with_words(occ: DataFrame, negatives: DataFrame | None) -> DataFrame:
+    """``occ`` with a column ``noise``: its own, or packed from rows of :func:`negative_samples`, or empty."""
+    if "noise" in occ.columns:
+        return occ
+    if negatives is None:
+        return occ.withColumn("noise", F.array().cast("array<bigint>"))
+    code = encode_ws(F.col("neg_word_id"), F.col("neg_sense"))
+    words = F.transform(F.sort_array(F.collect_list(F.struct("k", code.alias("code")))), lambda x: x["code"])
+    drawn = negatives.groupBy("line_id", "pos").agg(words.alias("noise"))
+    joined = occ.join(drawn, ["line_id", "pos"], "left")
+    return joined.withColumn("noise", F.coalesce("noise", F.array().cast("array<bigint>")))
+
+
 def negative_samples(occ: DataFrame, noise: DataFrame, k: int, seed: int, turn: int = 0) -> DataFrame:
     """``k`` noise words per position, never the position's own word
     -> ``(line_id, pos, k, neg_word_id, neg_sense)``.
 
     The draw runs over the total weight without the own word and steps over its
-    interval, which equals drawing again on a hit. A draw finds its word by a
-    bucketed equi-join: buckets have equal weight, so they get equal shares of the
-    draws, and a frequent word simply spans many of them.
+    interval, which equals drawing again on a hit.
+    """
+    if noise.count() * 16 > TABLE_BYTES:
+        return _bucketed_samples(occ, noise, k, seed, turn)
+    rows = with_noise_words(occ.select("line_id", "pos", "word_id"), noise, k, seed, turn)
+    word, sense = decode_ws(F.col("_code"))
+    return rows.select("line_id", "pos", F.posexplode("noise").alias("k", "_code")).select(
+        "line_id", "pos", "k", word.alias("neg_word_id"), sense.alias("neg_sense"))
+
+
+def _bucketed_samples(occ: DataFrame, noise: DataFrame, k: int, seed: int, turn: int) -> DataFrame:
+    """:func:`negative_samples` for vocabularies of any size.
+
+    A draw finds its word by a bucketed equi-join: buckets have equal weight, so they
+    get equal shares of the draws, and a frequent word simply spans many of them.
     """
     seed = seed + 101 * turn
     own = noise.select("word_id", "wt", "lo", "total", "width")

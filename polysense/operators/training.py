@@ -1,9 +1,10 @@
 """Sense assignment, gradient descent and exact gradients on groups of sentences.
 
 The first two are sequential inside a sentence, so each group of sentences runs in one Arrow
-task. Spark does the rest: it forms groups of bounded size, finds which model rows a
-group can touch, brings exactly those to it, and merges what comes out. Neither the
-model nor the corpus passes through the driver.
+task; for sense assignment, very long sentences are cut into chunks. Spark does the rest: it
+forms groups of bounded size, finds which model rows a group can touch, brings exactly
+those to it, and merges what comes out. Neither the model nor the corpus passes through
+the driver.
 """
 
 from __future__ import annotations
@@ -12,7 +13,8 @@ import sys
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
@@ -20,70 +22,111 @@ from polysense.config import TrainConfig
 from polysense.functions import kernels
 from polysense.functions.draws import SEED_GROUP, below, with_draw
 from polysense.functions.vecmath import element_sums, packed
+from polysense.operators.noise import with_words
+from polysense.operators.tokens import SENSE_BASE, encode_ws
+from polysense.sources.store import Versions, materialize
 
 cloudpickle.register_pickle_by_value(kernels)  # tasks need no copy of this package
 
+_ASSIGNED = pa.schema([("line_id", pa.int64()), ("pos", pa.int32()), ("word_id", pa.int32()), ("n_senses", pa.int32()), ("sense", pa.int32()),
+                       ("passes", pa.int64()), ("loss", pa.float64()), ("n", pa.int64())])
 ASSIGNED = "line_id bigint, pos int, word_id int, n_senses int, sense int, passes bigint, loss double, n bigint"
+_LEARNED = pa.schema([("tbl", pa.string()), ("word_id", pa.int32()), ("sense", pa.int32()), ("delta", pa.list_(pa.float64())),
+                      ("loss", pa.float64()), ("n", pa.int64()), ("words", pa.int64())])
 LEARNED = "tbl string, word_id int, sense int, delta array<double>, loss double, n bigint, words bigint"
+_GRADIENT = pa.schema([("tbl", pa.string()), ("word_id", pa.int32()), ("sense", pa.int32()), ("grad", pa.list_(pa.float64()))])
 
 
-def grouped_sample(occ: DataFrame, negatives: DataFrame, num_groups: int, cfg: TrainConfig) -> DataFrame:
-    """Tokens and noise words dealt to groups -> ``(grp, line_id, pos, item, word_id,
-    sense, n_senses, own)``; item -1 is the token itself, 0.. its noise words.
+def grouped_sample(occ: DataFrame, negatives: DataFrame | None, num_groups: int, cfg: TrainConfig) -> DataFrame:
+    """Tokens with their noise words, dealt to groups -> ``(grp, line_id, pos, word_id, sense, n_senses, noise, own)``.
 
-    A line stays whole in one group whatever its length, since every step of it may depend
-    on the one before. ``own`` marks the tokens that are worked on as centres: all.
+    ``noise`` holds the codes of a token's noise words: a token is one row, whatever their
+    number. They come with ``occ`` (``noise.with_noise_words``) or as rows of ``negatives``.
+    A line stays whole in one group, since every step of it may depend on the one before;
+    sense assignment cuts very long ones itself. ``own`` marks the tokens that are worked
+    on as centres: all.
     """
-    rows = occ.select("line_id", "pos", F.lit(-1).alias("item"), "word_id", "sense", "n_senses").unionByName(
-        negatives.select("line_id", "pos", F.col("k").alias("item"), F.col("neg_word_id").alias("word_id"),
-                         F.col("neg_sense").alias("sense"), F.lit(0).alias("n_senses"))
-    )
-    rows = with_draw(rows.withColumn("own", F.lit(True)), "grp", cfg.seed + SEED_GROUP, "line_id")
-    return rows.withColumn("grp", below(F.col("grp"), num_groups))
+    rows = with_words(occ, negatives).select("line_id", "pos", "word_id", "sense", "n_senses", "noise", F.lit(True).alias("own"))
+    return with_draw(rows, "grp", cfg.seed + SEED_GROUP, "line_id").withColumn("grp", below(F.col("grp"), num_groups))
 
 
-def touched_rows(sample: DataFrame, model: DataFrame, cfg: TrainConfig, all_senses: bool) -> DataFrame:
-    """Model rows each group can touch -> ``(grp, tbl, word_id, sense, vec)``.
+def window_groups(occ: DataFrame, negatives: DataFrame | None, window: int, group_tokens: int) -> DataFrame:
+    """Tokens dealt to groups of about ``group_tokens``, for work that looks ``window`` tokens around.
 
-    A word is wanted at most once per group, so even the most frequent one cannot skew
-    this join.
+    As :func:`grouped_sample`, but lines are cut into chunks of ``group_tokens`` positions:
+    a ``chunk`` holds its tokens, which are ``own``, and the ``window`` tokens on each side, which are
+    not. So no line, however long, lies in one task.
     """
-    on = ["tbl", "word_id"] if all_senses else ["tbl", "word_id", "sense"]
-    inputs = sample.filter(F.col("item") < 0).withColumn("tbl", F.lit("in"))
-    outputs = sample.withColumn("tbl", F.lit("out"))
-    needed = inputs.select("grp", *on).unionByName(outputs.select("grp", *on)).distinct()
-    found = needed.join(model, on)
+    rows = with_words(occ, negatives)
+    own = F.col("own") if "own" in rows.columns else F.lit(True)
+    rows = _cut(rows.select("line_id", "pos", "word_id", "sense", "n_senses", "noise", own.alias("own")), window, group_tokens)
+    groups = occ.agg(F.greatest(F.ceil(F.count("*") / group_tokens), F.lit(1))).scalar()
+    return rows.withColumn("grp", F.pmod(F.xxhash64("line_id", "chunk"), groups))
+
+
+def _cut(rows: DataFrame, window: int, chunk_tokens: int) -> DataFrame:
+    """Each row in its own chunk and, not ``own``, in the next ones it is a neighbour of."""
+    size = max(chunk_tokens, window)
+    home, place = F.floor(F.col("pos") / size).cast("int"), F.col("pos") % size
+    before = F.when((place < window) & (home > 0), home - 1)
+    after = F.when(place >= size - window, home + 1)
+    cut = rows.withColumn("_home", home).withColumn("chunk", F.explode(F.array_compact(F.array(before, home, after))))
+    return cut.withColumn("own", F.col("own") & (F.col("chunk") == F.col("_home"))).drop("_home")
+
+
+def touched_rows(sample: DataFrame, model: DataFrame, all_senses: bool) -> DataFrame:
+    """Model rows each group can touch -> ``(grp, tbl, code, vec)``.
+
+    A word sense is wanted at most once per group, so even the most frequent one cannot
+    skew this join. ``all_senses`` brings those of tokens, whose sense may change.
+    """
+    own = F.array(encode_ws(F.col("word_id"), F.col("sense")))
+    if all_senses:
+        own = F.transform(F.sequence(F.lit(0), F.col("n_senses") - 1), lambda s: encode_ws(F.col("word_id"), s))
+    wanted = F.array(F.struct(F.lit("in").alias("tbl"), own.alias("codes")), F.struct(F.lit("out").alias("tbl"), F.concat(own, "noise").alias("codes")))
+    needed = sample.select("grp", F.explode(wanted).alias("_w")).select("grp", "_w.tbl", F.explode("_w.codes").alias("code")).distinct()
+    rows = model.select("tbl", encode_ws(F.col("word_id"), F.col("sense")).alias("code"), "vec")
+    found = needed.join(rows, ["tbl", "code"])
     # fresh column identities, since both sides of the cogroup come from ``sample``
-    return found.select(*[F.col(c).alias(c) for c in ("grp", "tbl", "word_id", "sense", "vec")])
+    return found.select(*[F.col(c).alias(c) for c in ("grp", "tbl", "code", "vec")])
+
+
+def _lists(column: pa.ChunkedArray, width: int) -> np.ndarray:
+    """Lists of one length as a matrix."""
+    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+
+
+def _as_lists(rows: np.ndarray) -> pa.Array:
+    ends = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
+    return pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(rows).ravel()))
 
 
 class _Group:
-    """The arrays of one group, ordered by line and position."""
-
-    def __init__(self, rows: pd.DataFrame, params: pd.DataFrame, dim: int):
-        rows = rows.sort_values(["line_id", "pos", "item"], ignore_index=True)
-        is_token = (rows["item"] < 0).to_numpy()
-        self.tokens = rows[is_token]
-        col = lambda name: self.tokens[name].to_numpy()
-        self.words, self.senses, self.n_senses = col("word_id"), col("sense"), col("n_senses")
-        self.own = col("own").astype(bool)
+    """The arrays of one group, ordered by line and position; chunks of a line stand as lines."""
+
+    def __init__(self, tokens: pa.Table, params: pa.Table, dim: int):
+        col = lambda name: tokens.column(name).to_numpy()
         line = col("line_id")
-        starts = np.r_[True, line[1:] != line[:-1]]
-        which = np.cumsum(starts) - 1
+        chunk = col("chunk") if "chunk" in tokens.column_names else np.zeros(len(line), np.int64)
+        tokens = tokens.take(np.lexsort((col("pos"), chunk, line)))
+        self.line, self.pos, self.words, self.senses, self.n_senses, self.own = (
+            col(c) for c in ("line_id", "pos", "word_id", "sense", "n_senses", "own"))
+        self.chunk = col("chunk") if "chunk" in tokens.column_names else np.zeros(len(line), np.int64)
+        self.tokens = tokens
+        starts = np.r_[True, (self.line[1:] != self.line[:-1]) | (self.chunk[1:] != self.chunk[:-1])]
         at = np.flatnonzero(starts)
+        which = np.cumsum(starts) - 1
         self.first = at[which]
         self.last = np.r_[at[1:], len(line)][which] - 1
         self.inputs, self.outputs = (self._table(params, t, dim) for t in ("in", "out"))
-        noise = rows[~is_token]
-        k = len(noise) // len(self.words)
-        self.negatives = self.outputs.at(noise["word_id"].to_numpy(), noise["sense"].to_numpy()).reshape(-1, k) if k \
-            else np.empty((len(self.words), 0), dtype=np.int64)
+        noise = tokens.column("noise").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        k = len(noise) // max(1, len(line))
+        self.negatives = self.outputs.of(noise).reshape(len(line), k)
 
     @staticmethod
-    def _table(params: pd.DataFrame, table: str, dim: int) -> kernels.Rows:
-        rows = params[params["tbl"] == table]
-        vecs = np.array(rows["vec"].tolist(), dtype=np.float32).reshape(-1, dim)
-        return kernels.Rows(rows["word_id"].to_numpy(), rows["sense"].to_numpy(), vecs)
+    def _table(params: pa.Table, table: str, dim: int) -> kernels.Rows:
+        rows = params.filter(pc.equal(params.column("tbl"), table))
+        return kernels.Rows(rows.column("code").to_numpy(), _lists(rows.column("vec"), dim))
 
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -92,11 +135,18 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 SLOTS_PER_GROUP = 4  # so that few groups share a task by hash and idle cores pick up the next
 
 
-def _per_group(sample: DataFrame, params: DataFrame, run: Callable, schema: str, groups: int | None) -> DataFrame:
+def per_group(sample: DataFrame, model: DataFrame, all_senses: bool, run: Callable, schema: str, groups: int | None = None) -> DataFrame:
+    """``run(tokens, model rows)`` of each group, as Arrow tables."""
+    params = touched_rows(sample, model, all_senses)
     if groups:
         slots = SLOTS_PER_GROUP * groups
         sample, params = sample.repartition(slots, "grp"), params.repartition(slots, "grp")
-    return sample.groupBy("grp").cogroup(params.groupBy("grp")).applyInPandas(run, schema)
+    return sample.groupBy("grp").cogroup(params.groupBy("grp")).applyInArrow(run, schema)
+
+
+def _loss_of(cfg: TrainConfig) -> tuple[Callable, int]:
+    """The loss of a pair's scores, and its predictions."""
+    return (kernels.softmax_loss, 1) if cfg.softmax else (kernels.sigmoid_loss, 0)
 
 
 def assign_senses(
@@ -105,22 +155,94 @@ def assign_senses(
     """Sequential sense assignment -> ``(line_id, pos, word_id, n_senses, sense, passes, loss, n)``.
 
     ``passes`` stands at the first token of a sentence and counts the passes that changed
-    it; ``loss`` and ``n`` are filled with ``with_loss``, from the senses found.
+    it; ``loss`` and ``n`` are filled with ``with_loss``, from the senses found. Lines above
+    ``cfg.chunk_tokens`` tokens are cut into chunks, with the same result.
     """
     window, dim, softmax = cfg.window, cfg.dim, cfg.softmax
     passes = 0 if cfg.one_sense else cfg.max_passes
 
-    def run(rows: pd.DataFrame, params: pd.DataFrame) -> pd.DataFrame:
-        g = _Group(rows, params, dim)
+    def run(tokens, params):
+        g = _Group(tokens, params, dim)
         senses, changed = kernels.assign(g.words, g.senses, g.n_senses, g.first, g.last, g.own, g.negatives,
                                          g.inputs, g.outputs, window, passes, softmax)
-        out = g.tokens[["line_id", "pos", "word_id", "n_senses"]].assign(sense=senses, passes=changed, loss=None, n=None)
-        if with_loss:
-            out["loss"], out["n"] = kernels.centre_losses(g.words, senses, g.first, g.last, g.own, g.negatives,
-                                                          g.inputs, g.outputs, window, softmax)
-        return out[g.own]
+        out = [g.line, g.pos, g.words, g.n_senses, senses, changed, *_losses(g, senses, cfg, with_loss)]
+        return pa.table([pa.array(c, f.type) for c, f in zip(out, _ASSIGNED)], schema=_ASSIGNED).filter(pa.array(g.own))
+
+    long_lines = sample.filter(F.col("pos") >= cfg.chunk_tokens).select("line_id").distinct()
+    if long_lines.isEmpty():
+        return per_group(sample, model, True, run, ASSIGNED, groups)
+    long_lines = materialize(long_lines, "longlines")
+    rest = sample.join(long_lines, "line_id", "left_anti")
+    cut = _cut(sample.join(long_lines, "line_id", "left_semi").drop("grp"), window, cfg.chunk_tokens)
+    return per_group(rest, model, True, run, ASSIGNED, groups).unionByName(_assign_chunks(cut, model, cfg, with_loss))
+
 
-    return _per_group(sample, touched_rows(sample, model, cfg, all_senses=True), run, ASSIGNED, groups)
+def _losses(g: _Group, senses: np.ndarray, cfg: TrainConfig, wanted: bool) -> tuple:
+    """Loss and predictions of the own tokens, or nulls."""
+    if not wanted:
+        return [None] * len(senses), [None] * len(senses)
+    reduce, per_pair = _loss_of(cfg)
+    return kernels.centre_losses(g.words, senses, g.first, g.last, g.own, g.negatives, g.inputs, g.outputs, cfg.window,
+                                 reduce, per_pair or 1 + g.negatives.shape[1])
+
+
+CHUNK_ASSIGNED = f"{ASSIGNED}, chunk int, history array<int>"
+_CHUNK_ASSIGNED = pa.schema([*_ASSIGNED, ("chunk", pa.int32()), ("history", pa.list_(pa.int32()))])
+_EDGE = ["line_id", "chunk", "pos"]
+
+
+def _assign_chunks(cut: DataFrame, model: DataFrame, cfg: TrainConfig, with_loss: bool) -> DataFrame:
+    """Sense assignment of long lines, all chunks at once; those of a group go side by side, a token of each at a time.
+
+    A chunk needs the senses of its halo after each pass. At first they are taken to stay as
+    they are; then every chunk whose neighbours showed something else is done again, until none
+    is. What a token does in a pass depends only on earlier passes and on tokens to its left,
+    so the result is that of one run through the whole line. Influence fades within a few
+    tokens, so few chunks are done more than twice.
+    """
+    window, dim, softmax = cfg.window, cfg.dim, cfg.softmax
+    passes = 0 if cfg.one_sense else cfg.max_passes
+    size = max(cfg.chunk_tokens, window)
+
+    def run(tokens, params):
+        g = _Group(tokens, params, dim)
+        around = np.flatnonzero(~g.own)
+        told = np.array(g.tokens.column("history").take(around).to_pylist(), dtype=np.int64).reshape(len(around), passes)
+        halo = kernels.Halo(around, told, g.senses[around], g.pos[around] < g.chunk[around] * size)
+        edge = np.flatnonzero(g.own & ((g.pos % size < window) | (g.pos % size >= size - window)))
+        senses, changed, seen = kernels.assign(g.words, g.senses, g.n_senses, g.first, g.last, g.own, g.negatives,
+                                               g.inputs, g.outputs, window, passes, softmax, halo, edge)
+        history: list = [None] * len(senses)
+        for row, after in zip(edge.tolist(), seen.tolist()):
+            history[row] = after
+        out = [g.line, g.pos, g.words, g.n_senses, senses, changed[g.first], *_losses(g, senses, cfg, with_loss), g.chunk, history]
+        return pa.table([pa.array(c, f.type) for c, f in zip(out, _CHUNK_ASSIGNED)], schema=_CHUNK_ASSIGNED).filter(pa.array(g.own))
+
+    tables = Versions(cut.sparkSession)
+    cut = tables.put("chunks", cut)
+    groups = -(-cut.count() // cfg.group_tokens)
+    cut = cut.withColumn("grp", F.pmod(F.xxhash64("line_id", "chunk"), F.lit(groups)))
+    halos = cut.filter("NOT own")
+    told = tables.put("told", halos.select(*_EDGE, F.array_repeat("sense", passes).alias("history")))
+    again, done = cut.filter("own").select("line_id", "chunk").distinct(), None
+    while True:
+        rows = cut.join(again, ["line_id", "chunk"], "left_semi").join(told, _EDGE, "left")
+        fresh = per_group(rows, model, True, run, CHUNK_ASSIGNED)
+        if done is not None:
+            fresh = done.join(again, ["line_id", "chunk"], "left_anti").unionByName(fresh)
+        done = tables.put("done", fresh)
+        shown = done.filter("history IS NOT NULL").select("line_id", "pos", "history")
+        new = halos.select(*_EDGE).join(shown, ["line_id", "pos"]).select(*_EDGE, "history")
+        other = new.join(told.withColumnRenamed("history", "_told"), _EDGE).filter("history <> _told").select("line_id", "chunk").distinct()
+        again = tables.put("again", other)
+        if again.isEmpty():
+            break
+        told = tables.put("told", new)
+    for name in ("chunks", "told", "again"):
+        tables.drop(name)
+    counted = done.select("line_id", "chunk", "passes").distinct().groupBy("line_id").agg(F.max("passes").alias("_passes"))
+    return done.join(counted, "line_id").select(
+        "line_id", "pos", "word_id", "n_senses", "sense", F.when(F.col("pos") == 0, F.col("_passes")).otherwise(0).alias("passes"), "loss", "n")
 
 
 def learn_shard(
@@ -133,46 +255,48 @@ def learn_shard(
     """
     window, dim, softmax, lockstep = cfg.window, cfg.dim, cfg.softmax, cfg.lockstep
 
-    def run(rows: pd.DataFrame, params: pd.DataFrame) -> pd.DataFrame:
-        g = _Group(rows, params, dim)
-        before = {t: r.vec.copy() for t, r in (("in", g.inputs), ("out", g.outputs))}
+    def run(tokens, params):
+        g = _Group(tokens, params, dim)
+        before = [r.vec.copy() for r in (g.inputs, g.outputs)]
+        for r in (g.inputs, g.outputs):
+            r.vec = r.vec.copy()  # what Arrow holds cannot be written
         loss, n = kernels.learn(g.words, g.senses, g.first, g.last, g.own, g.negatives, g.inputs, g.outputs,
                                 window, np.float32(alpha), softmax, lockstep)
-        tbl, words, senses, deltas = ["group"], [-1], [-1], [None]
-        for table, r in (("in", g.inputs), ("out", g.outputs)):
-            delta = r.vec.astype(np.float64) - before[table]
+        out = [pa.table([["group"], [-1], [-1], [None], [loss], [n], [int(g.own.sum())]], schema=_LEARNED)]
+        for table, r, old in zip(("in", "out"), (g.inputs, g.outputs), before):
+            delta = r.vec.astype(np.float64) - old
             moved = np.flatnonzero(delta.any(axis=1))
-            code = r.code[moved]
-            tbl += [table] * len(moved)
-            words += list(code // kernels.SENSE_BASE)
-            senses += list(code % kernels.SENSE_BASE)
-            deltas += list(delta[moved])
-        out = pd.DataFrame({"tbl": tbl, "word_id": words, "sense": senses, "delta": deltas})
-        rest = [None] * (len(tbl) - 1)
-        return out.assign(loss=[loss, *rest], n=[n, *rest], words=[int(g.own.sum()), *rest])
+            none = pa.nulls(len(moved))
+            out.append(pa.table([pa.array([table] * len(moved), pa.string()), *_words(r.code[moved]), _as_lists(delta[moved]),
+                                 *[none.cast(f.type) for f in list(_LEARNED)[4:]]], schema=_LEARNED))
+        return pa.concat_tables(out)
 
-    return _per_group(sample, touched_rows(sample, model, cfg, all_senses=False), run, LEARNED, groups)
+    return per_group(sample, model, False, run, LEARNED, groups)
 
 
-def batch_gradient_by_group(sample: DataFrame, model: DataFrame, cfg: TrainConfig, groups: int | None = None) -> DataFrame:
-    """The full-batch gradient ``(tbl, word_id, sense, grad)`` summed inside each group first.
+def _words(code: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    return pa.array((code // SENSE_BASE).astype(np.int32)), pa.array((code % SENSE_BASE).astype(np.int32))
 
-    Equal to the relational gradients of ``gradients`` (with the table sigmoid), but a
-    group hands on one row per model row instead of one per scored pair.
-    """
-    window, dim, softmax = cfg.window, cfg.dim, cfg.softmax
 
-    def run(rows: pd.DataFrame, params: pd.DataFrame) -> pd.DataFrame:
-        g = _Group(rows, params, dim)
-        sums = kernels.gradient(g.words, g.senses, g.first, g.last, g.own, g.negatives, g.inputs, g.outputs, window, softmax)
-        parts = []
-        for table, r, grad in (("in", g.inputs, sums[0]), ("out", g.outputs, sums[1])):
-            code = r.code
-            parts.append(pd.DataFrame({"tbl": table, "word_id": code // kernels.SENSE_BASE,
-                                       "sense": code % kernels.SENSE_BASE, "grad": list(grad)}))
-        return pd.concat(parts, ignore_index=True)
-
-    params = touched_rows(sample, model, cfg, all_senses=False)
-    parts = _per_group(sample, params, run, "tbl string, word_id int, sense int, grad array<double>", groups)
+def gradient_parts(sample: DataFrame, model: DataFrame, dim: int, window: int, weight: Callable, groups: int | None = None) -> DataFrame:
+    """The full-batch gradient ``(tbl, word_id, sense, grad)``, summed inside each group first.
+
+    A group hands on one row per model row that a pair reached, not one per scored pair.
+    """
+    def run(tokens, params):
+        g = _Group(tokens, params, dim)
+        sums = kernels.gradient(g.words, g.senses, g.first, g.last, g.own, g.negatives, g.inputs, g.outputs, window, weight)
+        reached = kernels.reached(g.words, g.senses, g.first, g.last, g.own, g.negatives, g.inputs, g.outputs, window)
+        out = []
+        for table, r, grad, some in zip(("in", "out"), (g.inputs, g.outputs), sums, reached):
+            out.append(pa.table([pa.array([table] * len(some), pa.string()), *_words(r.code[some]), _as_lists(grad[some])], schema=_GRADIENT))
+        return pa.concat_tables(out)
+
+    parts = per_group(sample, model, False, run, "tbl string, word_id int, sense int, grad array<double>", groups)
     keys = ["tbl", "word_id", "sense"]
     return parts.groupBy(*keys).agg(*element_sums(F.col("grad"), dim)).select(*keys, packed(dim).alias("grad"))
+
+
+def batch_gradient_by_group(sample: DataFrame, model: DataFrame, cfg: TrainConfig, groups: int | None = None) -> DataFrame:
+    """The gradient over the groups that descent uses, with the table sigmoid or softmax."""
+    return gradient_parts(sample, model, cfg.dim, cfg.window, kernels.softmax_weight if cfg.softmax else kernels.sigmoid_weight, groups)

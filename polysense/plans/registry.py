@@ -24,7 +24,7 @@ from polysense.operators import (
     vocabulary,
 )
 from polysense.plans.stages import Corpus, hardest_words
-from polysense.plans.train import train
+from polysense.plans.train import num_groups, train
 from polysense.sources import corpus as source, models
 from polysense.sources.store import materialize, scratch_path
 
@@ -33,7 +33,6 @@ CHECK = TrainConfig(min_count=20, num_negative=2, window=2, dim=8, sense_thresho
 CHECK_SD = (16.0, 16.0)
 EMBEDDING_DIM = 64
 RATIO, MAX_LINES, SHARDS, FLOOR, STEP = 0.1, 500, 4, 0.33, 0.001
-GROUPS = 32
 TOP_K, LIMIT_SQ, LIMIT_LEN, MIX = 5, 3.0, 0.9, 0.25
 SYNONYM_WORD = "the"
 
@@ -262,8 +261,9 @@ def validation_loss_by_group(spark, sf_dir):
     held = held.filter(F.col("part") == "validation").select("line_id")
     occ = c.occurrences.join(held, "line_id", "left_semi")
     one = replace(CHECK, one_sense=True)
-    sample = training.grouped_sample(occ, c.negatives(occ), GROUPS, one)
-    found = training.assign_senses(sample, c.model, one, with_loss=True, groups=GROUPS).filter(F.col("n") > 0)
+    groups = num_groups(occ.count(), CHECK)
+    sample = training.grouped_sample(c.with_noise_words(occ), None, groups, one)
+    found = training.assign_senses(sample, c.model, one, with_loss=True, groups=groups).filter(F.col("n") > 0)
     by_line = found.groupBy("line_id").agg(F.sum("loss").alias("loss"), F.sum("n").alias("n"))
     return loss.loss_summary(by_line).withColumn("loss", F.round("loss", 3)).withColumn(
         "loss_per_prediction", F.round("loss_per_prediction", 6)
@@ -273,12 +273,12 @@ def validation_loss_by_group(spark, sf_dir):
 @_register
 def candidate_sense_loss(spark, sf_dir):
     c = check_corpus(spark, sf_dir)
-    found = loss.candidate_sense_loss(c.occurrences, c.negatives(), c.model, CHECK.dim, CHECK.window)
+    found = loss.candidate_sense_loss(c.with_noise_words(), None, c.model, CHECK.dim, CHECK.window)
     return found.withColumn("loss", F.round("loss", 6))
 
 
 def _assigned(c: Corpus) -> DataFrame:
-    return loss.assign_senses_sync(c.occurrences, c.negatives(), c.model, CHECK.dim, CHECK.window)
+    return loss.assign_senses_sync(c.with_noise_words(), None, c.model, CHECK.dim, CHECK.window)
 
 
 @_register
@@ -292,15 +292,18 @@ def adjust_rate(spark, sf_dir):
     return found.withColumn("rate", F.round("rate", 6))
 
 
-def _sample(c: Corpus, cfg: TrainConfig = CHECK) -> DataFrame:
-    return materialize(training.grouped_sample(c.occurrences, c.negatives(), GROUPS, cfg), "sample")
+def _sample(c: Corpus, cfg: TrainConfig = CHECK) -> tuple[DataFrame, int]:
+    """The corpus dealt to groups of about ``group_tokens``, and their number."""
+    groups = num_groups(c.occurrences.count(), cfg)
+    return materialize(training.grouped_sample(c.with_noise_words(), None, groups, cfg), "sample"), groups
 
 
 @_register
 def assign_senses(spark, sf_dir):
     """The sequential assignment; it has no SQL form."""
     c = check_corpus(spark, sf_dir)
-    return training.assign_senses(_sample(c), c.model, CHECK, groups=GROUPS).drop("loss", "n")
+    sample, groups = _sample(c)
+    return training.assign_senses(sample, c.model, CHECK, groups=groups).drop("loss", "n")
 
 
 # ---- sense statistics
@@ -362,10 +365,9 @@ def batch_gradient_softmax(spark, sf_dir):
 
 def _by_group(spark, sf_dir, cfg: TrainConfig) -> DataFrame:
     c = check_corpus(spark, sf_dir)
-    grad = training.batch_gradient_by_group(_sample(c, cfg), c.model, cfg, GROUPS)
-    # rows that no pair reached have no gradient in the relational form
-    touched = F.exists("grad", lambda x: x != 0.0)
-    return long_vectors(grad.filter(touched), ["tbl", "word_id", "sense"], "grad", 4)
+    sample, groups = _sample(c, cfg)
+    grad = training.batch_gradient_by_group(sample, c.model, cfg, groups)
+    return long_vectors(grad, ["tbl", "word_id", "sense"], "grad", 4)
 
 
 @_register
@@ -493,7 +495,8 @@ def word2vec_text_round_trip(spark, sf_dir):
 
 def _learned(spark, sf_dir, cfg: TrainConfig) -> DataFrame:
     c = check_corpus(spark, sf_dir)
-    return training.learn_shard(_sample(c, cfg), c.model, cfg.learn_rate, cfg, GROUPS)
+    sample, groups = _sample(c, cfg)
+    return training.learn_shard(sample, c.model, cfg.learn_rate, cfg, groups)
 
 
 @_register

@@ -59,9 +59,13 @@ class Corpus:
     def model(self) -> DataFrame:
         return materialize(model.init_random(self.vocab, self.cfg.dim, self.cfg.seed, *self.init_sd), "model")
 
-    def scored(self, occ: DataFrame | None = None) -> DataFrame:
+    def with_noise_words(self, occ: DataFrame | None = None) -> DataFrame:
+        """Written once: groups and the rows they touch are both made of it."""
         occ = self.occurrences if occ is None else occ
-        return loss.scored_pairs(occ, self.negatives(occ), self.model, self.cfg.dim, self.cfg.window)
+        return materialize(noise.with_noise_words(occ, self.noise, self.cfg.num_negative, self.cfg.seed), "drawn")
+
+    def scored(self, occ: DataFrame | None = None) -> loss.Scored:
+        return loss.scored_pairs(self.with_noise_words(occ), None, self.model, self.cfg.dim, self.cfg.window)
 
 
 def hardest_words(corpus: Corpus, n: int) -> DataFrame:

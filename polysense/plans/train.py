@@ -11,6 +11,7 @@ from polysense.config import TrainConfig
 from polysense.operators import model as models
 from polysense.operators import noise, senses, splits, tokens, training, vocabulary
 from polysense.sources import models as store
+from polysense.sources.runs import Run, digest
 from polysense.sources.store import Versions
 
 VALIDATION = -1  # shard number of the held-out lines
@@ -57,8 +58,8 @@ def validate(
 
 def with_senses(sample: DataFrame, scored: DataFrame) -> DataFrame:
     """The sample with the tokens' newest senses."""
-    newest = scored.select("line_id", "pos", F.lit(-1).alias("item"), F.col("sense").alias("_new"))
-    joined = sample.join(newest, ["line_id", "pos", "item"], "left")
+    newest = scored.select("line_id", "pos", F.col("sense").alias("_new"))
+    joined = sample.join(newest, ["line_id", "pos"], "left")
     return joined.withColumn("sense", F.coalesce("_new", "sense")).select(*sample.columns)
 
 
@@ -72,71 +73,102 @@ def by_shard(occ: DataFrame, num_shards: int) -> DataFrame:
 RESET_STRIDE = 1_000_003
 
 
-def train(spark: SparkSession, lines: DataFrame, cfg: TrainConfig, out_dir: str,
-          one_sense: DataFrame | None = None, iterations: int | None = None) -> Trained:
-    """Learn vectors for all word senses; ``one_sense`` ``(tbl, word, sense, vec)`` warm-starts."""
-    path = f"{out_dir}/{cfg.run_name}"
-    tables = Versions(spark)
-    vocab = vocabulary.build_vocab(vocabulary.word_count(tokens.tokenize(lines)), cfg.min_count, cfg.thresholds)
-    noise_table = noise.noise_distribution(vocab)
-    occ = tables.put("occurrences", by_shard(encode_corpus(lines, vocab, cfg), cfg.num_shards), partition_by="shard")
-    sizes = {r["shard"]: r["count"] for r in occ.groupBy("shard").count().collect()}  # one row per shard
-    shards = {s: occ.filter(F.col("shard") == s).drop("shard") for s in range(cfg.num_shards)}
-    total_words = sum(n for s, n in sizes.items() if s >= 0) * cfg.num_epochs
+#: tables that are made anew in each iteration
+PASSING = ("assign-sample", "learn-sample", "learned", "validated")
+
 
+def _identity(lines: DataFrame, cfg: TrainConfig, one_sense: DataFrame | None, iterations: int) -> dict:
+    """What must be equal for a run to be the same run: corpus, start vectors, parameters, length."""
+    start = None if one_sense is None else digest(one_sense, "tbl", "word", "sense", "vec")
+    return {"corpus": digest(lines, "line_id", "line"), "start": start, "config": repr(cfg), "iterations": iterations}
+
+
+def _prepare(run: Run, lines: DataFrame, cfg: TrainConfig, one_sense: DataFrame | None) -> dict:
+    """The tables a run starts from, and the tokens of each shard."""
+    vocab = run.put("vocab", vocabulary.build_vocab(vocabulary.word_count(tokens.tokenize(lines)), cfg.min_count, cfg.thresholds))
+    noise_table = run.put("noise", noise.noise_distribution(vocab))
+    occ = run.put("occurrences", by_shard(encode_corpus(lines, vocab, cfg), cfg.num_shards), partition_by="shard")
+    sizes = {r["shard"]: r["count"] for r in occ.groupBy("shard").count().collect()}  # one row per shard
     start = models.init_random(vocab, cfg.dim, cfg.seed) if one_sense is None else models.warm_start(
         one_sense, vocab, cfg.dim, cfg.seed, cfg.sense_init_sd)
-    model = tables.put("model", start)
-    stats = tables.put("stats", senses.uniform_sense_probs(vocab))
-    held_out = None
+    run.put("model", start)
+    run.put("stats", senses.uniform_sense_probs(vocab))
     if sizes.get(VALIDATION):
         rows = occ.filter(F.col("shard") == VALIDATION).drop("shard")
-        negatives = noise.negative_samples(rows, noise_table, cfg.num_negative, cfg.seed)
-        held_out = tables.put("held-out", training.grouped_sample(rows, negatives, num_groups(sizes[VALIDATION], cfg), cfg))
+        drawn = noise.with_noise_words(rows, noise_table, cfg.num_negative, cfg.seed)
+        run.put("held-out", training.grouped_sample(drawn, None, num_groups(sizes[VALIDATION], cfg), cfg))
+    return {"sizes": sorted(sizes.items()), "next": 0, "words_seen": 0}
 
-    iterations = cfg.iterations if iterations is None else iterations
-    words_seen = 0
-    for it in range(iterations):
-        shard, last = it % cfg.num_shards, it == iterations - 1
-        groups = num_groups(sizes.get(shard, 0), cfg)
 
-        def sample(turn: int, name: str, shard: int = shard, groups: int = groups) -> DataFrame:
-            negatives = noise.negative_samples(shards[shard], noise_table, cfg.num_negative, cfg.seed, turn)
-            return tables.put(name, training.grouped_sample(shards[shard], negatives, groups, cfg))
-
-        resets = 0
+def _iterate(run: Run, cfg: TrainConfig, facts: dict, iterations: int) -> tuple:
+    """One iteration on the run's tables; returns its row of the history."""
+    it, sizes = facts["next"], dict(map(tuple, facts["sizes"]))
+    shard, last = it % cfg.num_shards, it == iterations - 1
+    groups = num_groups(sizes.get(shard, 0), cfg)
+    total_words = sum(n for s, n in sizes.items() if s >= 0) * cfg.num_epochs
+    vocab, noise_table, model, stats = (run.get(name) for name in ("vocab", "noise", "model", "stats"))
+    mine = f"shard-{shard}"
+
+    def rows() -> DataFrame:
+        """The shard's tokens with the senses of its last turn, or of the start."""
+        return run.get(mine) if mine in run.paths else run.get("occurrences").filter(F.col("shard") == shard).drop("shard")
+
+    def sample(turn: int, name: str) -> DataFrame:
+        drawn = noise.with_noise_words(rows(), noise_table, cfg.num_negative, cfg.seed, turn)
+        return run.put(name, training.grouped_sample(drawn, None, groups, cfg))
+
+    resets = 0
+    if not cfg.one_sense:
+        assigned = training.assign_senses(sample(2 * it + 1, "assign-sample"), model, cfg, groups=groups)
+        run.put(mine, assigned.select("line_id", "pos", "word_id", "n_senses", "sense"))
+        counts = senses.sense_counts(rows(), vocab)
+        updated = senses.normalize_probs(senses.update_sense_probs(stats, counts, cfg.decay))
+        stats = run.put("stats", updated.select("word_id", "sense", "cnt", "prob"))
+        reset = senses.reset_low_prob_senses(model, stats, cfg.sense_prob_floor, cfg.dim, cfg.seed + RESET_STRIDE * (it + 1), cfg.sense_init_sd)
+        model = run.put("model", reset)
+        resets = model.filter("was_reset AND tbl = 'in'").count()
+    alpha = learning_rate(cfg, facts["words_seen"], total_words)
+    learned = run.put("learned", training.learn_shard(sample(2 * it + 2, "learn-sample"), model, alpha, cfg, groups))
+    done = learned.filter("tbl = 'group'").agg(F.count("*"), F.sum("loss"), F.sum("n"), F.sum("words")).first()
+    deltas = learned.filter("tbl <> 'group'").select("tbl", "word_id", "sense", "delta")
+    averaged = models.average_models(model, deltas, done[0], cfg.dim)
+    model = run.put("model", models.limit_norm(averaged, cfg.max_sq_norm, cfg.dim))
+    limited = model.filter("limited").count()
+    facts["words_seen"] += done[3] or 0
+
+    vali_loss = vali_adjust = None
+    if "held-out" in run.paths and (it % cfg.validate_every == 0 or last):
+        held_out = run.get("held-out")
+        vali_loss, vali_adjust = validate(held_out, model, cfg, run, num_groups(sizes[VALIDATION], cfg))
         if not cfg.one_sense:
-            assigned = training.assign_senses(sample(2 * it + 1, "assign-sample"), model, cfg, groups=groups)
-            shards[shard] = tables.put(f"shard-{shard}", assigned.select("line_id", "pos", "word_id", "n_senses", "sense"))
-            counts = senses.sense_counts(shards[shard], vocab)
-            updated = senses.normalize_probs(senses.update_sense_probs(stats, counts, cfg.decay))
-            stats = tables.put("stats", updated.select("word_id", "sense", "cnt", "prob"))
-            reset = senses.reset_low_prob_senses(model, stats, cfg.sense_prob_floor, cfg.dim, cfg.seed + RESET_STRIDE * (it + 1), cfg.sense_init_sd)
-            model = tables.put("model", reset)
-            resets = model.filter("was_reset AND tbl = 'in'").count()
-        alpha = learning_rate(cfg, words_seen, total_words)
-        learned = training.learn_shard(sample(2 * it + 2, "learn-sample"), model, alpha, cfg, groups)
-        learned = tables.put("learned", learned)
-        done = learned.filter("tbl = 'group'").agg(F.count("*"), F.sum("loss"), F.sum("n"), F.sum("words")).first()
-        deltas = learned.filter("tbl <> 'group'").select("tbl", "word_id", "sense", "delta")
-        averaged = models.average_models(model, deltas, done[0], cfg.dim)
-        model = tables.put("model", models.limit_norm(averaged, cfg.max_sq_norm, cfg.dim))
-        limited = model.filter("limited").count()
-        words_seen += done[3] or 0
-
-        vali_loss = vali_adjust = None
-        if held_out is not None and (it % cfg.validate_every == 0 or last):
-            vali_loss, vali_adjust = validate(held_out, model, cfg, tables, num_groups(sizes[VALIDATION], cfg))
-            if not cfg.one_sense:
-                scored = spark.read.parquet(tables.paths["validated"])
-                held_out = tables.put("held-out", with_senses(held_out, scored))
-        train_loss = done[1] / done[2] if done[2] else None
-        store.append_history(spark, f"{path}/history", (
-            it, it // cfg.num_shards, shard, vali_loss, vali_adjust, train_loss, alpha, done[3] or 0, limited, resets),
-            fresh=it == 0)
+            run.put("held-out", with_senses(held_out, run.get("validated")))
+    train_loss = done[1] / done[2] if done[2] else None
+    return it, it // cfg.num_shards, shard, vali_loss, vali_adjust, train_loss, alpha, done[3] or 0, limited, resets
+
+
+def train(spark: SparkSession, lines: DataFrame, cfg: TrainConfig, out_dir: str,
+          one_sense: DataFrame | None = None, iterations: int | None = None, resume: bool = True) -> Trained:
+    """Learn vectors for all word senses; ``one_sense`` ``(tbl, word, sense, vec)`` warm-starts.
+
+    Each iteration is committed whole. With ``resume``, a run of the same corpus, start
+    vectors, parameters and length goes on after its last committed iteration, and a complete
+    one is read back; any other run of that name, or one without ``resume``, starts over.
+    """
+    path = f"{out_dir}/{cfg.run_name}"
+    iterations = cfg.iterations if iterations is None else iterations
+    run = Run(spark, path, _identity(lines, cfg, one_sense, iterations))
+    facts = run.recover() if resume else run.clear()
+    if facts is None:
+        facts = _prepare(run, lines, cfg, one_sense)
+        run.commit(facts)
+    while facts["next"] < iterations:
+        row = _iterate(run, cfg, facts, iterations)
+        it, last = row[0], row[0] == iterations - 1
+        store.write_history(spark, f"{path}/history", row)
         if last or (it > 0 and it % cfg.snapshot_every == 0):
-            store.save_model(model, vocab, f"{path}/it={it}")
+            store.save_model(run.get("model"), run.get("vocab"), f"{path}/it={it}")
+        facts["next"] += 1
+        run.commit(facts, tuple(run.paths) if last else PASSING)
     final = f"{path}/it={iterations - 1}"
-    tables.drop_all()
     return Trained(store.load_vocab(spark, final), store.load_model(spark, final),
                    store.load_history(spark, f"{path}/history"), path)

@@ -101,12 +101,12 @@ def load_word2vec_text(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("_p")[0].alias("word"), as_floats(F.slice("_p", F.lit(2), F.size("_p") - 1)).alias("vec"))
 
 
-def append_history(spark: SparkSession, path: str, row: tuple, fresh: bool = False) -> None:
-    """One row per iteration; values of iterations that were not validated are null.
-    ``fresh`` starts over, replacing the history of an earlier run of the same name."""
-    mode = "overwrite" if fresh else "append"
-    spark.createDataFrame([row], HISTORY_SCHEMA).coalesce(1).write.mode(mode).parquet(path)
+def write_history(spark: SparkSession, path: str, row: tuple) -> None:
+    """One row per iteration, in a partition of its own, so that an iteration done again replaces
+    its row; values of iterations that were not validated are null."""
+    spark.createDataFrame([row], HISTORY_SCHEMA).coalesce(1).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic").partitionBy("it").parquet(path)
 
 
 def load_history(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(HISTORY_SCHEMA).parquet(path)
+    return spark.read.schema(HISTORY_SCHEMA).parquet(path).select(*[c.split()[0] for c in HISTORY_SCHEMA.split(", ")])

@@ -3,6 +3,7 @@
 from dataclasses import replace
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -151,6 +152,46 @@ def test_sequential_assignment_matches_brute_force(spark, softmax):
             assert losses[line, p] == pytest.approx(centre_loss(vec, want, noise[line], p, w, s, softmax), abs=1e-6)
 
 
+@pytest.mark.parametrize("softmax,size", [(False, 3), (True, 2), (False, 7)])
+def test_chunks_of_long_lines_match_brute_force(spark, softmax, size):
+    """Chunks hardly longer than the window, so that changes run through many of them; short lines beside."""
+    occ, neg, model, o, n, vec = world(spark, seed=8, lines=5, length=24)
+    cfg = replace(CFG, softmax=softmax, chunk_tokens=size, group_tokens=30, max_passes=4)
+    cut = occ.filter("line_id < 3 OR pos < 2")
+    noise_rows = neg.filter("line_id < 3 OR pos < 2")
+    rows = training.assign_senses(training.grouped_sample(cut, noise_rows, 3, cfg), model, cfg, with_loss=True).collect()
+    got = {(r["line_id"], r["pos"]): r for r in rows}
+    lines, noise = as_lines([x for x in o if x[0] < 3 or x[1] < 2], [x for x in n if x[0] < 3 or x[1] < 2])
+    assert len(rows) == sum(map(len, lines.values()))
+    for line, toks in lines.items():
+        want, changing = sequential_senses(vec, toks, noise[line], softmax, passes=4)
+        assert [(got[line, p]["word_id"], got[line, p]["sense"]) for p in range(len(toks))] == want
+        assert [got[line, p]["passes"] for p in range(len(toks))] == [changing] + [0] * (len(toks) - 1)
+        for p, (w, s) in enumerate(want):
+            assert got[line, p]["loss"] == pytest.approx(centre_loss(vec, want, noise[line], p, w, s, softmax), abs=1e-6)
+
+
+def test_a_line_of_100_000_tokens_in_20_chunks(spark):
+    rng = np.random.default_rng(21)
+    n, words = 100_000, 400
+    model_rows = [(t, w, s, rng.normal(size=4).tolist()) for t in ("in", "out") for w in range(words) for s in range(3)]
+    model = spark.createDataFrame(model_rows, "tbl string, word_id int, sense int, vec array<float>").cache()
+    word, sense = rng.integers(0, words, n), rng.integers(0, 3, n)
+    place = np.arange(n) % 5_000  # words with several senses: around all cuts, and here and there
+    several = (place < 25) | (place >= 4_975) | (place % 50 < 3)
+    occ = spark.createDataFrame(pd.DataFrame({"line_id": 1, "pos": np.arange(n, dtype=np.int32), "word_id": word.astype(np.int32),
+                                              "n_senses": np.where(several, 3, 1).astype(np.int32), "sense": sense.astype(np.int32)}))
+    neg = occ.select("line_id", "pos", F.explode(F.array(F.lit(0), F.lit(1))).alias("k")).selectExpr(
+        "line_id", "pos", "k", f"cast((pos * 7919L + k * 104729) % {words} AS int) AS neg_word_id", "cast((pos + k) % 3 AS int) AS neg_sense")
+    found = []
+    for size in (1_000_000, 5_000):
+        cfg = replace(CFG, chunk_tokens=size)
+        found.append(training.assign_senses(training.grouped_sample(occ, neg, 1, cfg), model, cfg).toPandas().sort_values("pos", ignore_index=True))
+    whole, cut = found
+    assert (whole["sense"] == cut["sense"]).all() and (whole["passes"] == cut["passes"]).all() and whole["passes"][0] > 2
+    assert (whole["sense"].to_numpy() != sense)[several].mean() > 0.3
+
+
 def test_converged_senses_do_not_move_again(spark):
     occ, neg, model, *_ = world(spark, seed=4)
     first = training.assign_senses(training.grouped_sample(occ, neg, 2, CFG), model, CFG)
@@ -214,7 +255,7 @@ def test_one_visit_moves_against_the_gradient(spark):
     occ = spark.createDataFrame([(0, 0, 3, 1, 0), (0, 1, 4, 1, 0)], occ.schema)
     sample = training.grouped_sample(occ, neg, 1, CFG).withColumn("own", F.col("pos") == 0)
     moved = {(r["tbl"], r["word_id"]): r["delta"] for r in training.learn_shard(sample, model, 0.01, CFG).collect()}
-    scored = loss.scored_pairs(occ, neg, model, 4, 2).filter("pos = 0")
+    scored = loss.scored_pairs(occ.withColumn("own", F.col("pos") == 0), neg, model, 4, 2)
     for r in gradients.batch_gradient_sigmoid(scored, 4, exact=False).collect():
         assert np.allclose(moved[r["tbl"], r["word_id"]], -0.01 * np.array(r["grad"]), atol=1e-6)
 

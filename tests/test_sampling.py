@@ -88,10 +88,31 @@ def test_negatives_avoid_the_own_word_and_follow_the_weights(spark):
     assert abs(share - want) < 0.02
 
 
+def test_searched_and_bucketed_noise_words_agree(spark, monkeypatch):
+    vocab = spark.range(300).select(F.col("id").cast("int").alias("word_id"), F.lit("w").alias("word"), (100_000 / (F.col("id") + 1)).cast("bigint").alias("cn"),
+                                    (F.col("id") % 3 + 1).cast("int").alias("n_senses"))
+    table = noise.noise_distribution(vocab)
+    occ = spark.range(3000).select((F.col("id") * 7_000_000_000).alias("line_id"), (F.col("id") % 50).cast("int").alias("pos"), (F.col("id") % 300).cast("int").alias("word_id"),
+                                   F.lit(1).alias("n_senses"), F.lit(0).alias("sense"))
+    for turn in (0, 3):
+        rows = noise.negative_samples(occ, table, 4, 42, turn)
+        packed = noise.with_noise_words(occ, table, 4, 42, turn)
+        monkeypatch.setattr(noise, "TABLE_BYTES", 0)
+        bucketed, joined = noise.negative_samples(occ, table, 4, 42, turn), noise.with_noise_words(occ, table, 4, 42, turn)
+        monkeypatch.undo()
+        assert rows.dtypes == bucketed.dtypes and packed.dtypes[-1] == joined.dtypes[-1] == ("noise", "array<bigint>")
+        found = set(map(tuple, rows.collect()))
+        assert len(found) == 12_000 and found == set(map(tuple, bucketed.collect()))
+        lists = {(r["line_id"], r["pos"]): r["noise"] for r in packed.collect()}
+        assert lists == {(r["line_id"], r["pos"]): r["noise"] for r in joined.collect()}
+        assert {(i, p, k, c // 100, c % 100) for (i, p), codes in lists.items() for k, c in enumerate(codes)} == found
+
+
 def test_one_word_vocabulary_has_no_negatives(spark):
     occ = spark.createDataFrame([(0, 0, 0, 1, 0)], "line_id bigint, pos int, word_id int, n_senses int, sense int")
     table = noise.noise_distribution(vocab_of(spark, [(0, "a", 5, 1)]))
     assert noise.negative_samples(occ, table, 5, 1).count() == 0
+    assert noise.with_noise_words(occ, table, 5, 1).first()["noise"] == []
 
 
 def test_weighted_choice_follows_the_weights(spark):
