@@ -102,7 +102,7 @@ NEG_CTE = f""", neg AS (
       SELECT line_id, pos, k, wt, lo, ds, floor((dw::DOUBLE + {u('dx')}) / {float(P)}::DOUBLE * (total - wt))::BIGINT AS r FROM
         {second_draw(draw(draw(_NEG_ROWS, 'dw', SEED + draws.SEED_NEG_WORD, 'line_id', 'pos', 'k'), 'ds',
               SEED + draws.SEED_NEG_SENSE, 'line_id', 'pos', 'k'), 'dx', 'dw')} WHERE total > wt)) d
-  JOIN noise n ON n.lo <= d.hit AND d.hit < n.hi)"""
+  ASOF JOIN noise n ON d.hit >= n.lo)"""
 NEG = OCC + NOISE_CTE + NEG_CTE
 SLOTS = ", slots AS (SELECT word_id, unnest(range(n_senses))::INTEGER AS sense FROM vocab)"
 
@@ -133,24 +133,21 @@ PAIRS_CTE = f""", pairs AS (
   FROM (SELECT *, pos + off AS at FROM occ, {NEAR}) a JOIN occ b ON a.line_id = b.line_id AND a.at = b.pos)"""
 
 
-def scored_cte(occ: str = "occ", all_senses: bool = False) -> str:
+def scored_cte(occ: str = "occ") -> str:
     """Every (centre, context, item) with its dot product ``x``."""
-    if all_senses:
-        centre = f"(SELECT line_id, pos, word_id, unnest(range(n_senses))::INTEGER AS sense FROM {occ} WHERE n_senses > 1)"
-    else:
-        centre = occ
-    return f""", targets AS (
+    return f""", vecs AS (SELECT tbl, word_id, sense, vec::DOUBLE[{DIM}] AS vec FROM model),
+targets AS (
   SELECT t.*, m.vec AS t_vec FROM (
     SELECT line_id, pos AS ctx_pos, 0 AS item, word_id AS t_word, sense AS t_sense FROM {occ} UNION ALL
     SELECT n.line_id, n.pos, n.k + 1, n.neg_word_id, n.neg_sense FROM neg n
       SEMI JOIN {occ} o ON n.line_id = o.line_id) t
-  JOIN model m ON m.tbl = 'out' AND m.word_id = t.t_word AND m.sense = t.t_sense),
+  JOIN vecs m ON m.tbl = 'out' AND m.word_id = t.t_word AND m.sense = t.t_sense),
 centres AS (
   SELECT c.line_id, c.pos, c.word_id, c.sense, m.vec, c.pos + off AS ctx_pos
-  FROM {centre} c JOIN model m ON m.tbl = 'in' AND m.word_id = c.word_id AND m.sense = c.sense, {NEAR}),
+  FROM {occ} c JOIN vecs m ON m.tbl = 'in' AND m.word_id = c.word_id AND m.sense = c.sense, {NEAR}),
 scored AS (
   SELECT c.line_id, c.pos, c.ctx_pos, c.word_id, c.sense, c.vec, t.item, t.t_word, t.t_sense, t.t_vec,
-         {dot('c.vec', 't.t_vec')} AS x
+         array_inner_product(c.vec, t.t_vec) AS x
   FROM centres c JOIN targets t ON c.line_id = t.line_id AND c.ctx_pos = t.ctx_pos),
 bins AS (
   SELECT *, CASE WHEN x > 6 THEN 99999.0 WHEN x < -6 THEN 0.0
@@ -165,8 +162,36 @@ losses AS (
 SCORED = NEG + MODEL_CTE + scored_cte()
 SOFT_CTE = """, tops AS (SELECT *, max(x) OVER (PARTITION BY line_id, pos, ctx_pos) AS top FROM scored),
 soft AS (SELECT *, exp(x - top) / sum(exp(x - top)) OVER (PARTITION BY line_id, pos, ctx_pos) AS p FROM tops)"""
-CANDIDATES = NEG + MODEL_CTE + scored_cte(all_senses=True) + """, candidates AS (
-  SELECT line_id, pos, word_id, sense, sum(item_loss) AS loss, count(*) AS n FROM losses
+
+
+def _table_loss(x: str, true: bool) -> str:
+    """Loss of one score by the sigmoid table."""
+    at = f"CASE WHEN {x} > 6 THEN 99999.0 WHEN {x} < -6 THEN 0.0 ELSE floor(({x} + 6.0::DOUBLE) * 8333.0::DOUBLE) END::DOUBLE"
+    e = f"exp(({at} * 2.0::DOUBLE / 100000 - 1.0::DOUBLE) * 6.0::DOUBLE)"
+    p = f"({e} / ({e} + 1.0::DOUBLE))"
+    return f"-ln({p if true else f'1.0::DOUBLE - {p}'})"
+
+
+_WIDE = ", ".join(f"n{k}.vec AS t{k + 1}" for k in range(K))
+_WIDE_JOINS = "".join(f"""
+  LEFT JOIN (SELECT n.line_id, n.pos, m.vec FROM neg n JOIN vecs m ON m.tbl = 'out' AND m.word_id = n.neg_word_id AND m.sense = n.neg_sense
+             WHERE n.k = {k}) n{k} ON n{k}.line_id = o.line_id AND n{k}.pos = o.pos""" for k in range(K))
+_SCORES = ", ".join(f"array_inner_product(c.vec, t.t{k}) AS x{k}" for k in range(K + 1))
+# one row per (candidate, context), all targets of a context side by side
+CANDIDATES = NEG + MODEL_CTE + f""", vecs AS (SELECT tbl, word_id, sense, vec::DOUBLE[{DIM}] AS vec FROM model),
+wide AS (
+  SELECT o.line_id, o.pos AS ctx_pos, v.vec AS t0, {_WIDE}
+  FROM occ o JOIN vecs v ON v.tbl = 'out' AND v.word_id = o.word_id AND v.sense = o.sense{_WIDE_JOINS}),
+centres AS (
+  SELECT c.line_id, c.pos, c.word_id, c.sense, m.vec
+  FROM (SELECT line_id, pos, word_id, unnest(range(n_senses))::INTEGER AS sense FROM occ WHERE n_senses > 1) c
+  JOIN vecs m ON m.tbl = 'in' AND m.word_id = c.word_id AND m.sense = c.sense),
+scores AS (
+  SELECT c.line_id, c.pos, c.word_id, c.sense, {_SCORES}
+  FROM (SELECT *, pos + off AS ctx_pos FROM centres, {NEAR}) c JOIN wide t ON c.line_id = t.line_id AND c.ctx_pos = t.ctx_pos),
+candidates AS (
+  SELECT line_id, pos, word_id, sense, sum({' + '.join(f"coalesce({_table_loss(f'x{k}', k == 0)}, 0)" for k in range(K + 1))}) AS loss,
+         {' + '.join(f'count(x{k})' for k in range(K + 1))} AS n FROM scores
   GROUP BY line_id, pos, word_id, sense)"""
 ASSIGNED = CANDIDATES + """, best AS (
   SELECT line_id, pos, sense FROM candidates
@@ -285,7 +310,7 @@ SIGNED = {
 
 
 #: tables that a statement uses several times are computed once
-REUSED = re.compile(r"\b(vocab|occ|noise|neg|candidates) AS \(")
+REUSED = re.compile(r"\b(vocab|occ|noise|neg|vecs|candidates) AS \(")
 
 
 def statements() -> dict[str, str]:
@@ -303,6 +328,7 @@ def _statements() -> dict[str, str]:
     soft_gradient = f"""WITH {SCORED} {SOFT_CTE} {gradient(f'p - {LABEL}', 'soft')} {long('grads', keys, 'grad', 4)}"""
     return {
         "corpus_lines": f"WITH {LINES} SELECT line_id, line FROM lines",
+        "text_lines": f"WITH {LINES} SELECT line, count(*) AS n_lines, count(DISTINCT line_id) AS n_ids FROM lines GROUP BY line",
         "corpus_summary": f"""WITH {LINES} SELECT count(*) AS n_lines, sum(length(line))::BIGINT AS n_chars,
             min(line_id) AS first_line_id, arg_min(line, line_id) AS first_line FROM lines""",
         "first_lines": f"WITH {LINES} SELECT line_id, line FROM lines ORDER BY line_id LIMIT 2",

@@ -72,6 +72,15 @@ def corpus_lines(spark, sf_dir):
     return check_corpus(spark, sf_dir).lines
 
 
+@_register
+def text_lines(spark, sf_dir):
+    """The documents written as text files and read back as lines."""
+    path = scratch_path(spark, "text")
+    source.read_table(spark, sf_dir, "documents").select("text").write.text(path)
+    lines = source.text_lines(spark, path)
+    return lines.groupBy("line").agg(F.count("*").alias("n_lines"), F.count_distinct("line_id").alias("n_ids"))
+
+
 @_register
 def corpus_summary(spark, sf_dir):
     return source.corpus_summary(check_corpus(spark, sf_dir).lines)

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import sys
+
+import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 LINES_PER_DOC = 1 << 24
+FILE_BITS = 40  # lines of a text file
 SMALL_SPLIT = 16 << 20
 
 
@@ -30,9 +35,41 @@ def corpus_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ).select(line_key(F.col("_doc"), F.col("_no")).alias("line_id"), "line")
 
 
+def _numbered(batches):
+    """Each line's number within its block: the lines of a block come one after another."""
+    block, at = None, 0
+    for batch in batches:
+        file, start = (batch.column(c).to_pylist() for c in ("file", "start"))
+        number = []
+        for here in zip(file, start):
+            if here != block:
+                block, at = here, 0
+            number.append(at)
+            at += 1
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(number, pa.int64())], [*batch.schema.names, "number"])
+
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # tasks need no copy of this package
+
+
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of plain-text files -> ``(line_id, line)``; ids are unique, not dense."""
-    return spark.read.text(path).select(F.monotonically_increasing_id().alias("line_id"), F.col("value").alias("line"))
+    """Lines of plain-text files -> ``(line_id, line)``, lines ending at a newline alone.
+
+    ``line_id`` is the number of the file, by path, above 40 bits of the line's number in it,
+    so ids and the draws they key depend neither on how files are split nor on the
+    number of tasks. Files are read twice: to count the lines of each block of a file,
+    which gives the number its first line has, and to number the lines. Only a row per
+    block is joined.
+    """
+    read = spark.read.option("lineSep", "\n").text(path)
+    read = read.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    before = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = read.groupBy("file", "start").agg(F.count("*").alias("n")).withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    files = blocks.select("file").distinct().withColumn("file_no", F.row_number().over(Window.orderBy("file")) - 1)  # a row per file
+    firsts = blocks.select("file", "start", "first").join(files, "file")
+    numbered = read.mapInArrow(_numbered, "value string, file string, start bigint, number bigint")
+    return numbered.join(firsts, ["file", "start"]).select(
+        (F.shiftleft(F.col("file_no").cast("bigint"), FILE_BITS) + F.col("first") + F.col("number")).alias("line_id"), F.col("value").alias("line"))
 
 
 def first_lines(lines: DataFrame, n: int = 2) -> DataFrame:

@@ -106,3 +106,26 @@ def test_empty_corpus(spark):
     toks = tokenized(spark, "1 2")
     assert vocabulary.build_vocab(vocabulary.word_count(toks), 1, []).count() == 0
     assert vocabulary.count_spectrum_thinned(vocabulary.word_count(toks)).count() == 0
+
+
+def test_ids_of_text_lines_do_not_depend_on_splits(spark, sf_dir, tmp_path):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("text")
+    docs.repartition(3).write.text(str(tmp_path / "t"))
+    (tmp_path / "t" / "empty.txt").write_text("")
+    (tmp_path / "t" / "last.txt").write_text("\n\ra\r\nno newline at the end")
+    found = []
+    for size in ("128m", "20k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+        lines = corpus.text_lines(spark, str(tmp_path / "t"))
+        found.append({(r["line_id"], r["line"]) for r in lines.collect()})
+        parts = spark.read.text(str(tmp_path / "t")).rdd.getNumPartitions()
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert parts > 20 and found[0] == found[1]
+    by_file = {}
+    for line_id, line in sorted(found[0]):
+        by_file.setdefault(line_id >> 40, []).append(line)
+    want = sorted((p.name, p.read_bytes().decode().removesuffix("\n").split("\n")) for p in (tmp_path / "t").glob("*.txt") if p.stat().st_size)
+    assert list(by_file.values()) == [lines for _, lines in want]
+    assert len({i for i, _ in found[0]}) == sum(len(lines) for _, lines in want)
