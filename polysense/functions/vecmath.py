@@ -64,11 +64,6 @@ def plus(u: Column, v: Column) -> Column:
     return F.zip_with(u, v, lambda a, b: a.cast("double") + b.cast("double"))
 
 
-def axpy(a: Column, x: Column, y: Column) -> Column:
-    """``a * x + y``."""
-    return F.zip_with(x, y, lambda p, q: a * p.cast("double") + q.cast("double"))
-
-
 def cosine(u: Column, v: Column, dim: int | None = None) -> Column:
     """Cosine similarity, 0.0 when either vector is zero."""
     lengths = norm(u, dim) * norm(v, dim)
@@ -77,14 +72,3 @@ def cosine(u: Column, v: Column, dim: int | None = None) -> Column:
 
 def as_floats(u: Column) -> Column:
     return u.cast("array<float>")
-
-
-def element_sums(vec: Column, dim: int, weight: Column | None = None) -> list[Column]:
-    """One partial-aggregable sum per component, named ``_s0 ..``."""
-    items = [vec[i].cast("double") for i in range(dim)]
-    return [F.sum(weight * x if weight is not None else x).alias(f"_s{i}") for i, x in enumerate(items)]
-
-
-def packed(dim: int) -> Column:
-    """The columns of :func:`element_sums` as one array."""
-    return F.array(*[F.col(f"_s{i}") for i in range(dim)])

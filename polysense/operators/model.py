@@ -12,7 +12,8 @@ from polysense.functions.draws import (
     unit_array,
     with_draw,
 )
-from polysense.functions.vecmath import as_floats, dot, element_sums, packed, scaled
+from polysense.functions.vecmath import as_floats, dot, scaled
+from polysense.functions.vecsum import vector_sums
 
 SHRINK = 0.99  # a limited row ends at this share of the allowed squared norm
 
@@ -87,14 +88,14 @@ def limit_norm(model: DataFrame, max_sq_norm: float, dim: int) -> DataFrame:
     return model.withColumn("_sq", square).select("tbl", "word_id", "sense", vec.alias("vec"), over.alias("limited"))
 
 
-def average_models(model: DataFrame, deltas: DataFrame, num_models: int, dim: int) -> DataFrame:
+def average_models(model: DataFrame, deltas: DataFrame, num_models: int) -> DataFrame:
     """Mean of ``num_models`` copies of ``model`` that changed by ``deltas``.
 
     ``deltas`` ``(tbl, word_id, sense, delta)`` holds only the rows a copy touched; the
-    mean is ``base + sum(delta) / num_models``. Component sums combine before the shuffle.
+    mean is ``base + sum(delta) / num_models``. Sums combine before the shuffle.
     """
     keys = ["tbl", "word_id", "sense"]
-    total = deltas.groupBy(*keys).agg(*element_sums(F.col("delta"), dim)).select(*keys, packed(dim).alias("_delta"))
+    total = vector_sums(deltas, keys, "delta").select(*keys, F.col("delta").alias("_delta"))
     moved = F.zip_with("vec", "_delta", lambda v, d: v.cast("double") + d / F.lit(float(max(1, num_models))))
     vec = F.when(F.col("_delta").isNull(), F.col("vec")).otherwise(as_floats(moved))
     return model.join(total, keys, "left").select(*keys, vec.alias("vec"))

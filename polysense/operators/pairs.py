@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from polysense.operators.joins import head_size, rank_lookup
-from polysense.operators.tokens import SENSE_BASE
 
 
 def offsets(window: int) -> list[int]:
@@ -44,7 +43,8 @@ def attach_vectors(
     vectors = model.filter(F.col("tbl") == table).select(
         F.col("word_id").alias(word), F.col("sense").alias(sense), F.col("vec").alias(name)
     )
-    return rank_lookup(rows, vectors, [word, sense], word, head_size(4 * dim + 32, SENSE_BASE // 10))
+    senses = vectors.agg(F.max(sense)).first()[0] or 0  # one row
+    return rank_lookup(rows, vectors, [word, sense], word, head_size(4 * dim + 32, senses + 1))
 
 
 def pair_vectors(pairs: DataFrame, model: DataFrame, dim: int) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 from polysense.config import TrainConfig
 from polysense.functions import kernels
 from polysense.functions.draws import SEED_GROUP, below, with_draw
-from polysense.functions.vecmath import element_sums, packed
+from polysense.functions.vecsum import vector_sums
 from polysense.operators.noise import with_words
 from polysense.operators.tokens import SENSE_BASE, encode_ws
 from polysense.sources.store import Versions, materialize
@@ -293,8 +293,7 @@ def gradient_parts(sample: DataFrame, model: DataFrame, dim: int, window: int, w
         return pa.concat_tables(out)
 
     parts = per_group(sample, model, False, run, "tbl string, word_id int, sense int, grad array<double>", groups)
-    keys = ["tbl", "word_id", "sense"]
-    return parts.groupBy(*keys).agg(*element_sums(F.col("grad"), dim)).select(*keys, packed(dim).alias("grad"))
+    return vector_sums(parts, ["tbl", "word_id", "sense"], "grad").drop("n")
 
 
 def batch_gradient_by_group(sample: DataFrame, model: DataFrame, cfg: TrainConfig, groups: int | None = None) -> DataFrame:

@@ -6,7 +6,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from polysense.functions.vecmath import dot, element_sums, norm, packed, scaled
+from polysense.functions.vecmath import dot, norm, scaled
+from polysense.functions.vecsum import vector_sums
 from polysense.operators.similarity import top_scores
 from polysense.sources.store import materialize
 
@@ -33,21 +34,18 @@ def limit_length(df: DataFrame, length: float, dim: int) -> DataFrame:
     return df.withColumn("_n", norm(F.col("vec"), dim)).withColumn("vec", scaled(F.col("vec"), factor)).drop("_n")
 
 
-def vector_sum(df: DataFrame, dim: int, by: list[str] | None = None) -> DataFrame:
-    """Component sums and row count per group -> ``(by.., n, vec)``."""
-    by = by or []
-    sums = df.groupBy(*by).agg(F.count("*").alias("n"), *element_sums(F.col("vec"), dim))
-    return sums.select(*by, "n", packed(dim).alias("vec"))
+def vector_sum(df: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Component sums and number of vectors per group -> ``(by.., n, vec)``."""
+    return vector_sums(df, by or [], "vec")
 
 
-def vector_mean(df: DataFrame, dim: int, by: list[str] | None = None) -> DataFrame:
-    sums = vector_sum(df, dim, by).filter(F.col("n") > 0)
-    return sums.withColumn("vec", F.transform("vec", lambda x: x / F.col("n")))
+def vector_mean(df: DataFrame, by: list[str] | None = None) -> DataFrame:
+    return vector_sum(df, by).withColumn("vec", F.transform("vec", lambda x: x / F.col("n")))
 
 
-def center_vectors(df: DataFrame, dim: int) -> DataFrame:
+def center_vectors(df: DataFrame) -> DataFrame:
     """``x - mean``; the mean is one row and enters as a scalar subquery."""
-    mean = vector_mean(df, dim).select("vec").scalar()
+    mean = vector_mean(df).select("vec").scalar()
     moved = F.zip_with("vec", "_mean", lambda x, m: x.cast("double") - m)
     return df.withColumn("_mean", mean).withColumn("vec", moved).drop("_mean")
 

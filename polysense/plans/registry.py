@@ -408,7 +408,7 @@ def average_models(spark, sf_dir):
     deltas = c.model.join(counts, ["word_id", "sense"]).select(
         "tbl", "word_id", "sense", scaled(F.col("vec"), F.col("n") * STEP).alias("delta")
     )
-    done = model.average_models(c.model, deltas, SHARDS, CHECK.dim)
+    done = model.average_models(c.model, deltas, SHARDS)
     return long_vectors(done, ["tbl", "word_id", "sense"], digits=4)
 
 
@@ -593,17 +593,17 @@ def limit_length(spark, sf_dir):
 
 @_register
 def vector_sum(spark, sf_dir):
-    return long_vectors(vectors.vector_sum(embeddings(spark, sf_dir), EMBEDDING_DIM), ["n"])
+    return long_vectors(vectors.vector_sum(embeddings(spark, sf_dir)), ["n"])
 
 
 @_register
 def vector_mean_by_label(spark, sf_dir):
-    return long_vectors(vectors.vector_mean(embeddings(spark, sf_dir), EMBEDDING_DIM, ["label"]), ["label", "n"])
+    return long_vectors(vectors.vector_mean(embeddings(spark, sf_dir), ["label"]), ["label", "n"])
 
 
 @_register
 def center_vectors(spark, sf_dir):
-    return long_vectors(vectors.center_vectors(embeddings(spark, sf_dir), EMBEDDING_DIM), ["vec_id"])
+    return long_vectors(vectors.center_vectors(embeddings(spark, sf_dir)), ["vec_id"])
 
 
 @_register

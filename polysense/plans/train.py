@@ -131,7 +131,7 @@ def _iterate(run: Run, cfg: TrainConfig, facts: dict, iterations: int) -> tuple:
     learned = run.put("learned", training.learn_shard(sample(2 * it + 2, "learn-sample"), model, alpha, cfg, groups))
     done = learned.filter("tbl = 'group'").agg(F.count("*"), F.sum("loss"), F.sum("n"), F.sum("words")).first()
     deltas = learned.filter("tbl <> 'group'").select("tbl", "word_id", "sense", "delta")
-    averaged = models.average_models(model, deltas, done[0], cfg.dim)
+    averaged = models.average_models(model, deltas, done[0] or 0)
     model = run.put("model", models.limit_norm(averaged, cfg.max_sq_norm, cfg.dim))
     limited = model.filter("limited").count()
     facts["words_seen"] += done[3] or 0

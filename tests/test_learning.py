@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from polysense.config import TrainConfig
-from polysense.functions import kernels
+from polysense.functions import kernels, vecsum
 from polysense.operators import gradients, loss, model as models, pairs, senses, training
 
 CFG = TrainConfig(dim=4, window=2, num_negative=2, sense_thresholds="2_3", max_passes=10)
@@ -241,7 +241,7 @@ def test_descent_matches_brute_force(spark, softmax):
     occ, neg, model, o, n, vec = world(spark, seed=6)
     cfg = replace(CFG, softmax=softmax)
     learned = training.learn_shard(training.grouped_sample(occ, neg, 1, cfg), model, 0.05, cfg)
-    got = models.average_models(model, learned.filter("tbl <> 'group'").select("tbl", "word_id", "sense", "delta"), 1, 4)
+    got = models.average_models(model, learned.filter("tbl <> 'group'").select("tbl", "word_id", "sense", "delta"), 1)
     want = descend(vec, *as_lines(o, n), 0.05, softmax)
     for r in got.collect():
         assert np.allclose(r["vec"], want[r["tbl"], r["word_id"], r["sense"]], atol=2e-5)
@@ -267,7 +267,7 @@ def test_lockstep_keeps_the_predictions_and_lowers_the_loss(spark):
     for lockstep in (1, 8):
         cfg = replace(CFG, lockstep=lockstep)
         learned = training.learn_shard(sample, model, 0.02, cfg)
-        after = models.average_models(model, learned.filter("tbl <> 'group'"), 1, 4)
+        after = models.average_models(model, learned.filter("tbl <> 'group'"), 1)
         info[lockstep] = learned.filter("tbl = 'group'").first()["n"]
         before = loss.loss_summary(loss.sentence_loss(loss.scored_pairs(occ, neg, model, 4, 2))).first()["loss"]
         now = loss.loss_summary(loss.sentence_loss(loss.scored_pairs(occ, neg, after, 4, 2))).first()["loss"]
@@ -287,6 +287,25 @@ def test_long_lines_stay_whole(spark):
     assert [got[p] for p in range(9000)] == want and max(r["passes"] for r in rows) == changing
 
 
+@pytest.mark.parametrize("dim,size", [(8, 1 << 20), (8, 700), (300, 30_000)])
+def test_vector_sums_of_any_dimension(spark, monkeypatch, dim, size):
+    monkeypatch.setattr(vecsum, "TABLE_BYTES", size)  # tasks hand their sums on many times
+    rng = np.random.default_rng(5)
+    rows = [(None if i % 7 == 0 else f"k{min(i % 40, 20)}", i % 3, None if i % 50 == 0 else rng.normal(size=dim).tolist()) for i in range(600)]
+    df = spark.createDataFrame(rows, "a string, b int, v array<float>").repartition(6)
+    want = {}
+    for a, b, v in rows:
+        if v is not None:
+            n, total = want.get((a, b), (0, 0))
+            want[a, b] = n + 1, total + np.array(v, np.float32).astype(float)
+    found = vecsum.vector_sums(df, ["a", "b"], "v").collect()
+    assert {(r["a"], r["b"]): r["n"] for r in found} == {k: n for k, (n, _) in want.items()} and len(found) == len(want)
+    assert all(np.allclose(r["v"], want[r["a"], r["b"]][1]) for r in found)
+    whole = vecsum.vector_sums(df, [], "v").collect()
+    assert len(whole) == 1 and whole[0]["n"] == 588 and np.allclose(whole[0]["v"], sum(t for _, t in want.values()))
+    assert vecsum.vector_sums(df.limit(0), ["a"], "v").count() == 0
+
+
 def test_turns_of_repeated_rows():
     assert [t.tolist() for t in kernels.turns(np.array([4, 2, 4, 4, 2, 1]))] == [[0, 1, 5], [2, 4], [3]]
 
