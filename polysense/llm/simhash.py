@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from polysense.llm.common import EDGE, Forest, batch_of, byte_texts, components, edge_batch, rows_of
@@ -194,18 +195,40 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def _placed(docs: DataFrame) -> tuple[DataFrame, Column, Column]:
+    """``docs`` with what tells each of its rows apart: its file and its number there.
+
+    A table that is not read from files is written first.
+    """
+    try:
+        meta = docs.metadataColumn("_metadata")
+        docs.select(meta["row_index"]).schema
+    except AnalysisException:
+        docs = materialize(docs, "rows")
+        meta = docs.metadataColumn("_metadata")
+    return docs, F.xxhash64(meta["file_path"]), meta["row_index"]
+
+
 def one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE_WORDS,
                       max_distance: int = MAX_DISTANCE) -> DataFrame:
     """One row of ``docs`` for each component of ``near_duplicates``, with all its columns.
 
     It is the row of the smallest id, and one without an id only if no member has one.
-    Rows of an id are told apart by a digest of their plain columns, then by their place,
-    which tells rows apart that are equal in all of them.
+    Rows of an id are told apart by a digest of their plain columns, then by their place
+    (file and row number), which tells rows apart that are equal in all of them. Only
+    the places of the rows that go are joined back: while those are few they are broadcast
+    and no text is shuffled.
     """
+    docs, file, row = _placed(docs)
     plain = [F.col(f"`{f.name}`") for f in docs.schema if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
-    rows = materialize(docs.select(F.struct("*").alias("row"), F.xxhash64(*plain).alias("digest"), F.monotonically_increasing_id().alias("place")), "rows")
-    fps = materialize(fingerprints(rows, f"row.{id_col}", f"row.{text_col}", k, digest="digest", place="place"), "fingerprints")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest", "place")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(*plain).alias("digest"), file.alias("file"), row.alias("row"))
+    fps = materialize(fingerprints(rows, "id", "text", k, digest="digest", file="file", row="row"), "fingerprints")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest", "file", "row")
     rooted = _rooted(fps.groupBy("fp").agg(F.min(order).alias("first")), max_distance)
-    kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.place").alias("place"))
-    return rows.join(kept, "place", "left_semi").select("row.*")
+    best = rooted.groupBy("root").agg(F.min("first").alias("best"))
+    heads = materialize(rooted.select("fp", "root", "first").join(best, "root").select(
+        "fp", F.when(F.col("first") == F.col("best"), F.col("best")).alias("kept")), "heads")
+    mine = F.struct(F.col("file").alias("f"), F.col("row").alias("r"))
+    keeps = F.coalesce(mine == F.struct("kept.file", "kept.row"), F.lit(False))
+    gone = materialize(fps.join(heads, "fp").filter(~keeps).select(F.col("file").alias("_gone_file"), F.col("row").alias("_gone_row")), "gone")
+    return docs.join(gone, (file == F.col("_gone_file")) & (row == F.col("_gone_row")), "left_anti")
