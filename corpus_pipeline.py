@@ -13,7 +13,11 @@ from polysense.sources.store import materialize
 
 
 def toxic_documents_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents scored 0.5 or more; labels of all documents teach."""
+    """Rejects documents scored 0.5 or more; a bounded sample of the labelled documents teaches.
+
+    Null and empty texts stay, as do null ids; each row is judged by its own text, so
+    repeated rows share a verdict. Without labels of both kinds nothing is rejected.
+    """
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.without_toxic(docs, model)
 
@@ -28,17 +32,28 @@ def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def personal_data_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Redacts personal data in the text; ``n_chars`` follows."""
+    """Redacts personal data in the text; ``n_chars`` follows.
+
+    No row goes. A null text stays null, with null ``n_chars``; rows without ids and
+    repeated rows are redacted like any other.
+    """
     return pii.redact(docs, pii.fit(docs)).withColumn("n_chars", F.length("text").cast("bigint"))
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Draws documents so that sources, languages and topics get their target shares."""
+    """Draws documents so that sources, languages and topics get their target shares.
+
+    Null sources and languages are groups of their own. A row is drawn by its id and its
+    text: rows equal in both share their fate, other rows of an id, or without one, do not.
+    """
     return mixing.sampled(docs)
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs all tokens of the documents into training sequences; one row per piece."""
+    """Packs all tokens of the documents into training sequences; one row per piece.
+
+    A null or empty text is its end token alone; rows that repeat an id are packed apart.
+    """
     path, pattern = queries.vocabulary()
     return packing.pack(packing.token_lengths(docs, path, pattern, queries.SPECIAL))
 
