@@ -2,9 +2,10 @@
 
 Words get log-odds of toxic against other labelled texts, smoothed by Dirichlet priors:
 a word's prior is its stem's rate, a stem's prior the overall rate, so unseen endings
-of a known stem still count. A linear scan over a text finds every maximal segment of
-positive total. The best total is calibrated as an extreme value: ``lambda * S - ln(K n)``
-of the Gumbel law fitted to the best segments of texts labelled clean.
+of a known stem still count. Words that say little all pull a segment down by the same
+small drift. A linear scan over a text finds every maximal segment of positive total. The
+best total is calibrated as an extreme value: ``lambda * S - ln(K n)`` of the Gumbel law
+fitted to the best segments of texts labelled clean.
 """
 
 from __future__ import annotations
@@ -27,14 +28,12 @@ STEM = 5
 WORD_PRIOR, STEM_PRIOR = 8.0, 8.0
 #: a word or stem enters the model if its log-odds are this many standard deviations above zero
 MIN_Z = 3.0
-#: bounds of the model: stems, and words of them
-MAX_STEMS, MAX_WORDS = 5_000, 50_000
 #: every other word pulls a segment down by this much
 DRIFT = 0.05
 #: a segment is significant from this calibrated value on (E-value of e^-3)
 SIGNIFICANT = 3.0
-#: bound of the sample that calibration is fitted on
-CALIBRATION_ROWS = 20_000
+#: bounds of the samples: labelled ids that teach, and those of them that calibration is fitted on
+LABELLED_ROWS, CALIBRATION_ROWS = 60_000, 20_000
 _STRIP = string.punctuation + "…“”„«»¿¡’‘"
 
 
@@ -82,10 +81,12 @@ class ToxicityModel:
     def segments(self, words: list[str]) -> list[tuple[int, int, float]]:
         """Maximal-scoring segments ``(first word, end, total)``, all disjoint, in linear time.
 
-        Only words of the model can start a segment; candidates are merged on a stack while
-        the one on the left keeps the larger total reachable.
+        Open segments lie on a stack; each knows the nearest one before it that starts lower, so
+        the search for it skips what cannot be it. If none starts lower, all open ones are final.
         """
-        stems, stack, total, last = self.stems, [], 0.0, 0
+        stems, total, last = self.stems, 0.0, 0
+        done: list[tuple[int, int, float, float, int]] = []
+        stack: list[tuple[int, int, float, float, int]] = []  # start, end, sum before, sum after, nearest lower start
         for i, word in enumerate(words):
             if word[:STEM] not in stems:
                 continue
@@ -95,19 +96,19 @@ class ToxicityModel:
             if w <= 0:
                 total += w
                 continue
-            low, total = total, total + w
-            start = i
-            # (start, end, sum before, sum after)
-            while stack:
-                j = len(stack) - 1
-                while j >= 0 and stack[j][2] >= low:
-                    j -= 1
-                if j < 0 or stack[j][3] >= total:
-                    break
-                start, low = stack[j][0], stack[j][2]
+            start, low, total = i, total, total + w
+            j = len(stack) - 1
+            while j >= 0 and stack[j][2] >= low:
+                j = stack[j][4]
+            while j >= 0 and stack[j][3] < total:
+                start, _, low, _, before = stack[j]
                 del stack[j:]
-            stack.append((start, i + 1, low, total))
-        return [(a, b, after - before) for a, b, before, after in stack]
+                j = before
+            if j < 0:
+                done += stack
+                stack.clear()
+            stack.append((start, i + 1, low, total, j))
+        return [(a, b, after - before) for a, b, before, after, _ in done + stack]
 
     def value(self, best: float, n: int) -> float:
         """Calibrated value of a best total among ``n`` words: minus the log of its expected count in clean text."""
@@ -118,7 +119,7 @@ class ToxicityModel:
 
 
 def _weights(counts: DataFrame, n_toxic: int, n_total: int) -> tuple[dict[str, float], dict[str, float]]:
-    """The strongest stems and their words; only these, bounded in number, reach the driver."""
+    """Significant stems, their words, and significant words, of at most ``LABELLED_ROWS`` ids; only these reach the driver."""
     rate = (n_toxic + 0.5) / (n_total + 1.0)
     base = math.log(rate / (1 - rate))
 
@@ -132,8 +133,8 @@ def _weights(counts: DataFrame, n_toxic: int, n_total: int) -> tuple[dict[str, f
     stems = stems.withColumn("rate", (F.col("toxic") + rate * STEM_PRIOR) / (F.col("total") + STEM_PRIOR))
     joined = odds(words.join(stems.select("stem", "rate", F.col("w").alias("stem_w"), F.col("z").alias("stem_z")), "stem"), F.col("rate"), WORD_PRIOR)
     strong = joined.filter(((F.col("z") >= MIN_Z) & (F.col("w") > 1.0)) | ((F.col("stem_z") >= MIN_Z) & (F.col("stem_w") > 1.0) & (F.col("total") >= 3)))
-    rows = strong.orderBy(F.desc("z"), "word").limit(MAX_WORDS).select("word", "w").collect()
-    top = stems.filter((F.col("z") >= MIN_Z) & (F.col("w") > 1.0)).orderBy(F.desc("z"), "stem").limit(MAX_STEMS).select("stem", "w").collect()
+    rows = strong.select("word", "w").collect()
+    top = stems.filter((F.col("z") >= MIN_Z) & (F.col("w") > 1.0)).select("stem", "w").collect()
     found = {r["word"]: r["w"] for r in rows}
     # a stem of a strong word must be looked at, even if the stem alone says nothing
     return {w[:STEM]: -DRIFT for w in found} | {r["stem"]: r["w"] for r in top}, found
@@ -142,16 +143,27 @@ def _weights(counts: DataFrame, n_toxic: int, n_total: int) -> tuple[dict[str, f
 _BEST = pa.schema([("best", pa.float64()), ("n", pa.int64()), ("label", pa.int32())])
 
 
-def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic") -> ToxicityModel:
-    """Learn from every labelled row; only the two calibration curves use a bounded sample.
+def taught_ids(labels: DataFrame, id_col: str, label_col: str, bound: int) -> DataFrame:
+    """``(id, label)`` of at most ``bound`` labelled ids, drawn by a hash; an id that is labelled both ways is 1."""
+    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).filter("label in (0, 1) AND id IS NOT NULL")
+    n = known.count()
+    share = 1.0 if n <= bound else 0.95 * bound / n  # the limit then cuts nothing, but is sure
+    drawn = known.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    return materialize(drawn.groupBy("id").agg(F.max("label").alias("label")).limit(bound), "taughtids")
 
-    Null labels, ids or texts teach nothing, nor do labels other than 0 and 1. Without
-    labelled rows of both kinds, the model knows no words and every text scores low.
+
+def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic",
+        bound: int = LABELLED_ROWS) -> ToxicityModel:
+    """Learn from the documents of at most ``bound`` labelled ids; calibration uses a part of them.
+
+    The ids are broadcast, so no text is shuffled: each task picks its labelled texts, and only
+    counts of words travel. Null labels, ids or texts teach nothing, nor do labels other
+    than 0 and 1. Without labelled rows of both kinds, the model knows no words and every
+    text scores low.
     """
-    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).filter("label in (0, 1)")
-    known = known.groupBy("id").agg(F.max("label").alias("label"))
+    known = taught_ids(labels, id_col, label_col, bound)
     rows = rows_of(docs, id=id_col, text=text_col).filter(F.col("text").isNotNull())
-    taught = materialize(rows.join(known, "id").select("id", "text", "label"), "taught")
+    taught = materialize(rows.join(F.broadcast(known), "id").select("id", "text", "label"), "taught")
     size = taught.agg(F.count("*").alias("n"), F.sum("label").alias("t")).first()
     if not size["t"] or size["t"] == size["n"]:
         return ToxicityModel()
