@@ -82,7 +82,7 @@ def touched_rows(sample: DataFrame, model: DataFrame, all_senses: bool) -> DataF
     """
     own = F.array(encode_ws(F.col("word_id"), F.col("sense")))
     if all_senses:
-        own = F.transform(F.sequence(F.lit(0), F.col("n_senses") - 1), lambda s: encode_ws(F.col("word_id"), s))
+        own = F.concat(own, F.transform(F.sequence(F.lit(0), F.col("n_senses") - 1), lambda s: encode_ws(F.col("word_id"), s)))
     wanted = F.array(F.struct(F.lit("in").alias("tbl"), own.alias("codes")), F.struct(F.lit("out").alias("tbl"), F.concat(own, "noise").alias("codes")))
     needed = sample.select("grp", F.explode(wanted).alias("_w")).select("grp", "_w.tbl", F.explode("_w.codes").alias("code")).distinct()
     rows = model.select("tbl", encode_ws(F.col("word_id"), F.col("sense")).alias("code"), "vec")

@@ -20,6 +20,7 @@ from polysense.plans.registry import (
     MAX_LINES,
     MIX,
     RATIO,
+    RUN,
     SHARDS,
     STEP,
     SYNONYM_WORD,
@@ -199,6 +200,21 @@ ASSIGNED = CANDIDATES + """, best AS (
 assigned AS (
   SELECT o.line_id, o.pos, o.word_id, o.sense AS old_sense, coalesce(b.sense, o.sense) AS sense
   FROM occ o LEFT JOIN best b ON o.line_id = b.line_id AND o.pos = b.pos)"""
+_FREE = "(SELECT * FROM occ WHERE n_senses > 1 QUALIFY row_number() OVER (PARTITION BY line_id ORDER BY pos) = 1)"
+# without a context every sense costs nothing, and the lowest is taken
+SINGLE = CANDIDATES.replace("FROM occ WHERE n_senses > 1)", f"FROM {_FREE})") + f""", best AS (
+  SELECT line_id, pos, sense FROM candidates QUALIFY row_number() OVER (PARTITION BY line_id, pos ORDER BY loss, sense) = 1)
+  SELECT o.line_id, o.pos, o.word_id, CASE WHEN f.pos IS NULL THEN o.sense ELSE coalesce(b.sense, 0) END AS sense
+  FROM occ o LEFT JOIN {_FREE} f ON o.line_id = f.line_id AND o.pos = f.pos LEFT JOIN best b ON o.line_id = b.line_id AND o.pos = b.pos"""
+SCHEDULE = f"""{OCC}, ratio AS (SELECT least({RUN.validation_ratio}::DOUBLE, {float(RUN.max_validation_lines)}::DOUBLE / count(*)) AS ratio FROM lines),
+  sizes AS (SELECT (s % {RUN.num_shards})::INTEGER AS shard, count(*) AS words
+    FROM {draw(draw('occ', 'v', SEED + draws.SEED_SPLIT, 'line_id'), 's', SEED + draws.SEED_SHARD, 'line_id')}, ratio
+    WHERE {u('v')} >= ratio GROUP BY ALL),
+  its AS (SELECT i::INTEGER AS it, (i // {RUN.num_shards})::INTEGER AS epoch, (i % {RUN.num_shards})::INTEGER AS shard FROM (SELECT unnest(range({RUN.iterations})) AS i)),
+  seen AS (SELECT it, epoch, shard, words, coalesce(sum(words) OVER (ORDER BY it ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS before,
+                  (SELECT sum(words) FROM sizes)::DOUBLE * {RUN.num_epochs} AS total FROM its JOIN sizes USING (shard))
+  SELECT it, epoch, shard, words, round(greatest({RUN.learn_rate}::DOUBLE * (1.0::DOUBLE - before / total), {RUN.learn_rate}::DOUBLE * 1e-4::DOUBLE), 12) AS lr,
+         it % {RUN.validate_every} = 0 OR it = {RUN.iterations - 1} AS validated FROM seen"""
 SENSE_COUNTS_CTE = """, cnts AS (
   SELECT s.word_id, s.sense, count(o.pos) AS cnt FROM slots s
   LEFT JOIN occ o ON o.word_id = s.word_id AND o.sense = s.sense GROUP BY s.word_id, s.sense)"""
@@ -389,6 +405,8 @@ def _statements() -> dict[str, str]:
         "loss_summary": f"WITH {SCORED} {SENTENCES} {SUMMARY}",
         "validation_loss": HELD_OUT_LOSS,
         "validation_loss_by_group": HELD_OUT_LOSS,
+        "assign_senses_single": f"WITH {SINGLE}",
+        "train_schedule": f"WITH {SCHEDULE}",
         "candidate_sense_loss": f"""WITH {CANDIDATES}
             SELECT line_id, pos, word_id, sense, round(loss, 6) AS loss, n FROM candidates""",
         "assign_senses_sync": f"WITH {ASSIGNED} SELECT line_id, pos, word_id, old_sense, sense FROM assigned",

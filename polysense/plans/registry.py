@@ -31,6 +31,7 @@ from polysense.sources.store import materialize, scratch_path
 # start vectors in +-1, so that losses differ far above rounding noise
 CHECK = TrainConfig(min_count=20, num_negative=2, window=2, dim=8, sense_thresholds="100_400")
 CHECK_SD = (16.0, 16.0)
+RUN = replace(CHECK, num_shards=2, num_epochs=1, validate_every=1, lockstep=32)
 EMBEDDING_DIM = 64
 RATIO, MAX_LINES, SHARDS, FLOOR, STEP = 0.1, 500, 4, 0.33, 0.001
 TOP_K, LIMIT_SQ, LIMIT_LEN, MIX = 5, 3.0, 0.9, 0.25
@@ -318,6 +319,18 @@ def assign_senses(spark, sf_dir):
 # ---- sense statistics
 
 
+@_register
+def assign_senses_single(spark, sf_dir):
+    """Sequential assignment of lines in which only the first ambiguous token may change."""
+    c = check_corpus(spark, sf_dir)
+    first = c.occurrences.filter("n_senses > 1").groupBy("line_id").agg(F.min("pos").alias("_first"))
+    free = c.with_noise_words().join(first, "line_id", "left")
+    free = free.withColumn("n_senses", F.when(F.col("pos") == F.col("_first"), F.col("n_senses")).otherwise(1)).drop("_first")
+    groups = num_groups(c.occurrences.count(), CHECK)
+    sample = materialize(training.grouped_sample(free, None, groups, CHECK), "sample")
+    return training.assign_senses(sample, c.model, CHECK, groups=groups).select("line_id", "pos", "word_id", "sense")
+
+
 @_register
 def sense_counts(spark, sf_dir):
     c = check_corpus(spark, sf_dir)
@@ -519,8 +532,15 @@ def learn_shard_softmax(spark, sf_dir):
 
 
 def _trained(spark, sf_dir):
-    cfg = replace(CHECK, num_shards=2, num_epochs=1, validate_every=1, lockstep=32)
-    return train(spark, check_corpus(spark, sf_dir).lines, cfg, scratch_path(spark, "run"))
+    return train(spark, check_corpus(spark, sf_dir).lines, RUN, scratch_path(spark, "run"))
+
+
+@_register
+def train_schedule(spark, sf_dir):
+    """What the history of a run owes to the corpus and the parameters alone."""
+    cfg = replace(RUN, one_sense=True)
+    done = train(spark, check_corpus(spark, sf_dir).lines, cfg, scratch_path(spark, "run"))
+    return done.history.select("it", "epoch", "shard", "words", F.round("lr", 12).alias("lr"), F.col("vali_loss").isNotNull().alias("validated"))
 
 
 @_register

@@ -144,7 +144,7 @@ def test_every_query_has_its_twin_or_is_sequential():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", ["corpus_summary", "count_spectrum_thinned", "build_vocab", "negative_samples",
+@pytest.mark.parametrize("name", ["text_lines", "corpus_summary", "count_spectrum_thinned", "build_vocab", "negative_samples",
                                   "sentence_loss", "assign_senses_sync", "reset_low_prob_senses", "gradient_step",
                                   "warm_start", "find_synonyms", "affinity_normalize", "word_index_round_trip",
                                   "word2vec_text_round_trip"])
