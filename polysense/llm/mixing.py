@@ -2,7 +2,7 @@
 
 Token totals of cells (source, language, topic) are raked until their marginals match the
 targets, never above what a cell holds. A cell's raked share of its tokens is the
-probability of its documents; a document is drawn by a digest of its id.
+probability of its documents; a document is drawn by a digest of its id and its text.
 """
 
 from __future__ import annotations
@@ -21,14 +21,18 @@ ROUNDS = 16
 #: rounds between writes of the cell table
 _STRETCH = 4
 NONE = "(none)"
+_COLUMNS = {"id_col": "doc_id", "text_col": "text", "source_col": "source", "lang_col": "lang", "topic_col": None}
 SYMBOLS = "#*$%&|<>{}=;"
 
 
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang",
-             topic_col: str | None = None) -> DataFrame:
-    """``(doc_id, source, lang, topic, n_tokens)``: words of whole texts and, without a topic column, a topic by the form of the text.
+             topic_col: str | None = None, carried: tuple[str, ...] = ()) -> DataFrame:
+    """``(doc_id, source, lang, topic, n_tokens, drawn)``: words of whole texts, a number in [0, 1) that
+    draws the row and, without a topic column, a topic by the form of the text.
 
-    Null keys form a group of their own; a null text has no tokens.
+    Null keys form a group of their own; a null text has no tokens. Rows are drawn by id and
+    text: other texts of an id, or other rows without one, are drawn on their own, while
+    rows that are equal in both are drawn alike.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     size = F.length(text)
@@ -37,28 +41,28 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     tokens = F.regexp_count(text, F.lit(f"[^{SPACE}]+")).cast("bigint")
     key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(NONE))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), key(source_col).alias("source"), key(lang_col).alias("lang"),
-                       tokens.alias("n_tokens"), size.alias("_size"), lines.alias("_lines"), symbols.alias("_symbols"),
+                       tokens.alias("n_tokens"), size.alias("_size"), lines.alias("_lines"), symbols.alias("_symbols"), draw(F.col(id_col), text).alias("drawn"),
+                       *[F.col(c) for c in carried],
                        *([key(topic_col).alias("topic")] if topic_col else []))
     form = (F.when(F.col("n_tokens") < 50, "short").when(F.col("_symbols") * 50 > F.col("_size"), "markup")
             .when(F.col("_lines") * 25 > F.col("n_tokens"), "lines").otherwise("prose"))
-    return rows.select("doc_id", "source", "lang", (F.col("topic") if topic_col else form.alias("topic")), "n_tokens")
+    return rows.select("doc_id", "source", "lang", (F.col("topic") if topic_col else form.alias("topic")), "n_tokens", "drawn", *carried)
 
 
 def _targets(cells: DataFrame, targets: dict[str, dict[str, float]] | None, keep: float, temper: float) -> DataFrame:
     """Adds ``target_<dimension>``: tokens the group of each cell should get."""
-    total = Window.partitionBy("all")
-    out = cells.withColumn("all", F.lit(1)).withColumn("total", F.sum("tokens").over(total))
+    out = cells
+    total = cells.agg(F.sum("tokens")).scalar()
     for d in DIMENSIONS:
-        group = Window.partitionBy(d)
-        out = out.withColumn("_group", F.sum("tokens").over(group)).withColumn("_first", F.row_number().over(group.orderBy(*DIMENSIONS)))
+        groups = cells.groupBy(d).agg(F.sum("tokens").alias("_group"))
         if targets and d in targets:
             given = F.element_at(F.create_map(*[F.lit(x) for k, v in targets[d].items() for x in (k, float(v))]), F.col(d))
-            out = out.withColumn("_lifted", F.coalesce(given, F.lit(0.0)))
+            groups = groups.withColumn("_lifted", F.coalesce(given, F.lit(0.0)))
         else:
-            out = out.withColumn("_lifted", F.pow(F.col("_group").cast("double"), F.lit(temper)))
-        share = F.col("_lifted") / F.sum(F.when(F.col("_first") == 1, F.col("_lifted"))).over(total)
-        out = out.withColumn(f"target_{d}", share * F.col("total") * keep)
-    return out.drop("_group", "_first", "_lifted", "all", "total")
+            groups = groups.withColumn("_lifted", F.pow(F.col("_group").cast("double"), F.lit(temper)))
+        lifted = groups.agg(F.sum("_lifted")).scalar()
+        out = out.join(groups.select(d, (F.col("_lifted") / lifted * total * keep).alias(f"target_{d}")), d)
+    return out
 
 
 def raked_cells(rows: DataFrame, targets: dict[str, dict[str, float]] | None = None, keep: float = KEEP, temper: float = TEMPER,
@@ -69,7 +73,7 @@ def raked_cells(rows: DataFrame, targets: dict[str, dict[str, float]] | None = N
     nothing. The others are tempered shares of what is there. Only the cell table is raked;
     its size follows the number of groups, not of documents. The last round rakes sources last.
     """
-    cells = rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs"))
+    cells = materialize(rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs")), "cells")
     current = materialize(_targets(cells, targets, keep, temper).withColumn("weight", F.col("tokens").cast("double")), "cells")
     for done in range(rounds):
         for d in reversed(DIMENSIONS):
@@ -82,9 +86,20 @@ def raked_cells(rows: DataFrame, targets: dict[str, dict[str, float]] | None = N
     return current.select(*DIMENSIONS, "tokens", "docs", "weight", chance.alias("probability"))
 
 
-def draw(doc_id: Column) -> Column:
-    """A number in [0, 1) by the digest of an id; equal ids share it."""
-    name = F.coalesce(doc_id.cast("string"), F.lit(NONE))
+def residuals(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, keep: float = KEEP, temper: float = TEMPER) -> DataFrame:
+    """``(dimension, name, tokens, target, weight)``: what raking aimed at and reached, for each group of each dimension.
+
+    A group stays below its target where its cells hold too few tokens.
+    """
+    aimed = materialize(_targets(cells.select(*DIMENSIONS, "tokens", "weight"), targets, keep, temper), "aimed")
+    parts = [aimed.groupBy(F.col(d).alias("name")).agg(F.sum("tokens").alias("tokens"), F.first(f"target_{d}").alias("target"), F.sum("weight").alias("weight")).select(
+        F.lit(d).alias("dimension"), "name", "tokens", "target", "weight") for d in DIMENSIONS]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+def draw(doc_id: Column, text: Column) -> Column:
+    """A number in [0, 1) by the digest of an id and a text."""
+    name = F.concat(F.coalesce(doc_id.cast("string"), F.lit(NONE)), F.lit(":"), F.md5(text.cast("binary")))
     return F.conv(F.substring(F.md5(name.cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
@@ -92,19 +107,26 @@ def mixture(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None,
             rounds: int = ROUNDS, **columns: str) -> DataFrame:
     """``(doc_id, source, lang, topic, n_tokens, weight, probability, kept)`` per row of ``docs``.
 
-    ``weight`` is the cell's raked tokens. Repeated rows are drawn alike. Documents
-    without tokens are kept with probability ``keep`` where their whole cell has none.
-    An empty table gives an empty result. The hottest source stays spread: sums combine
-    before they shuffle, and documents meet only the cell table.
+    ``weight`` is the cell's raked tokens. Rows equal in id and text are drawn alike, others
+    on their own, whether ids repeat or lack. Documents without tokens are kept with
+    probability ``keep`` where their whole cell has none. An empty table gives an empty
+    result. The hottest source stays spread: sums combine before they shuffle, and
+    documents meet only the cell table.
     """
     rows = materialize(measured(docs, **columns), "measured")
     cells = raked_cells(rows, targets, keep, temper, rounds).select(*DIMENSIONS, "weight", "probability")
-    return rows.join(cells, list(DIMENSIONS)).withColumn("kept", draw(F.col("doc_id")) < F.col("probability")).select(
+    return rows.join(cells, list(DIMENSIONS)).withColumn("kept", F.col("drawn") < F.col("probability")).select(
         "doc_id", *DIMENSIONS, "n_tokens", "weight", "probability", "kept")
 
 
-def sampled(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that the mixture keeps, with their own columns."""
-    chosen = mixture(docs, **options).filter("kept").select(F.col("doc_id").alias("_chosen")).distinct()
-    key = options.get("id_col", "doc_id")
-    return docs.join(chosen, F.col(key).eqNullSafe(F.col("_chosen")), "left_semi")
+def sampled(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, keep: float = KEEP, temper: float = TEMPER,
+            rounds: int = ROUNDS, **columns: str) -> DataFrame:
+    """The rows of ``docs`` that the mixture keeps, with their own columns, drawn where they stand.
+
+    Each row is measured again and meets the cell table, which is broadcast while it is
+    small; no text is shuffled then.
+    """
+    cells = raked_cells(measured(docs, **columns), targets, keep, temper, rounds).select(*DIMENSIONS, "probability")
+    read = {columns.get(k, v) for k, v in _COLUMNS.items()} - {None}
+    rows = measured(docs.select(*[F.col(f"`{c}`") for c in sorted(read)], F.struct("*").alias("_row")), carried=("_row",), **columns)
+    return rows.join(cells, list(DIMENSIONS)).filter(F.col("drawn") < F.col("probability")).select("_row.*")

@@ -76,10 +76,10 @@ def _mixing() -> str:
     sql = rf"""
       WITH m AS (
         SELECT doc_id, coalesce(source, '{mixing.NONE}') AS source, coalesce(lang, '{mixing.NONE}') AS lang, coalesce(text, '') AS text FROM documents),
-      f AS (SELECT doc_id, source, lang, len(regexp_extract_all(text, '{_WORD}'))::BIGINT AS n_tokens, length(text) AS size,
+      f AS (SELECT doc_id, source, lang, md5(coalesce(doc_id::VARCHAR, '{mixing.NONE}') || ':' || md5(text)) AS digest, len(regexp_extract_all(text, '{_WORD}'))::BIGINT AS n_tokens, length(text) AS size,
                    length(text) - length(replace(text, chr(10), '')) AS lines,
                    length(text) - length(translate(text, '{mixing.SYMBOLS}', '')) AS symbols FROM m),
-      rows AS (SELECT doc_id, source, lang, n_tokens,
+      rows AS (SELECT doc_id, source, lang, n_tokens, digest,
                  CASE WHEN n_tokens < 50 THEN 'short' WHEN symbols * 50 > size THEN 'markup' WHEN lines * 25 > n_tokens THEN 'lines' ELSE 'prose' END AS topic FROM f),
       cells AS (SELECT {keys}, sum(n_tokens)::DOUBLE AS tokens FROM rows GROUP BY {keys})"""
     for d in mixing.DIMENSIONS:
@@ -97,7 +97,7 @@ def _mixing() -> str:
             step += 1
     return sql + f"""
       SELECT doc_id, {keys}, n_tokens, round(weight, 3) AS weight, round(p, 9) AS probability,
-             ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '{mixing.NONE}')), 1, 13))::BIGINT / {float(1 << 52)!r}::DOUBLE < p AS kept
+             ('0x' || substr(digest, 1, 13))::BIGINT / {float(1 << 52)!r}::DOUBLE < p AS kept
       FROM rows JOIN (SELECT {keys}, weight, CASE WHEN tokens > 0 THEN weight / tokens ELSE {mixing.KEEP} END AS p FROM w{step}) USING ({keys})"""
 
 
