@@ -9,6 +9,7 @@ sums over committed batches.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from polysense.llm.common import batch_of, rows_of
 from polysense.llm.packing import load_encoder
-from polysense.sources.store import materialize
+from polysense.sources.store import materialize, move_once, remove
 
 KEYS = ("source", "lang", "tokenizer")
 DELTA = "source string, lang string, tokenizer string, n_docs long, n_tokens long, n_chars long"
@@ -71,7 +72,8 @@ class TokenRollup:
 
         Rows are added up per key before anything is kept, with map-side combining, so
         a source with a third of all rows is no hot key. The sums are written aside and
-        become the batch by one rename; what a lost driver left aside is written over.
+        become the batch by one rename, which refuses a batch that is there: of two committers
+        of an id, one adds its rows. What a lost driver left aside is never read.
         """
         if not batch or set(batch) - set("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789-_."):
             raise ValueError("a batch id is made of letters, digits and -_.")
@@ -79,14 +81,11 @@ class TokenRollup:
             return False
         rows = changes() if callable(changes) else changes
         sums = rows.groupBy(*KEYS).agg(*[F.sum(c).cast("long").alias(c) for c in ("n_docs", "n_tokens", "n_chars")])
-        files, aside = self._place("aside", f"batch={batch}")
-        sums.write.mode("overwrite").parquet(aside.toString())
-        _, folder = self._place("batches")
-        files.mkdirs(folder)
-        _, place = self._place("batches", f"batch={batch}")
-        if not files.exists(place):
-            return bool(files.rename(aside, place))
-        files.delete(aside, True)
+        aside, target = f"{self.path}/aside/{batch}-{uuid.uuid4().hex}", f"{self.path}/batches/batch={batch}"
+        sums.write.parquet(aside)
+        if move_once(self.spark, aside, target):
+            return True
+        remove(self.spark, aside)
         return False
 
     def totals(self) -> DataFrame:
