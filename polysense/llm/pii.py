@@ -2,9 +2,11 @@
 
 High-recall patterns propose overlapping spans. Boosted trees score each span by its form
 and its surroundings, and a threshold calibrated on held-out candidates selects what is
-redacted, beside the spans that strict rules find. Trees are fitted on a bounded sample
-with Spark's own learner and then written out as plain expressions, so that the main path
-is one narrow projection over whole texts, without Python, shuffle or join.
+redacted, beside the spans that strict rules find. What is personal is taught by planting:
+made-up data of many forms, and look-alikes, are set into contexts of the corpus, so
+labels do not follow from the features. Trees are fitted on a bounded sample with Spark's
+own learner and then written out as plain expressions, so that the main path is one narrow
+projection over whole texts, without Python, shuffle or join.
 """
 
 from __future__ import annotations
@@ -48,8 +50,8 @@ CANDIDATES = {
 }
 #: code points of context on either side of a candidate
 CONTEXT = 16
-#: bound, in expectation, of the texts that the fitting sample is drawn from
-SAMPLE_TEXTS = 60_000
+#: bounds of the fitting sample: texts it is drawn from, in expectation, and distinct candidates of them
+SAMPLE_TEXTS, SAMPLE_CANDIDATES = 60_000, 200_000
 TREES, DEPTH = 10, 3
 #: precision on held-out candidates that the threshold is set for
 PRECISION = 0.9
@@ -153,31 +155,88 @@ def _tree(node):
     return FEATURES[split.featureIndex()], float(split.threshold()), _tree(node.leftChild()), _tree(node.rightChild())
 
 
-def fit(docs: DataFrame, text_col: str = "text", texts: int = SAMPLE_TEXTS) -> PiiModel:
+def _planted(h: str) -> list[tuple[int, str]]:
+    """``(label, SQL of a text)``: made-up personal data and look-alikes from a string ``h`` of 128 hexadecimal digits."""
+    word = lambda at, n: f"translate(substr({h}, {at}, {n}), '0123456789', 'ghijklmnop')"
+    digits = lambda at, n: f"translate(substr({h}, {at}, {n}), 'abcdef', '012345')"
+    number = lambda at, below: f"cast(conv(substr({h}, {at}, 4), 16, 10) AS int) % {below}"
+    pick = lambda at, *items: f"element_at(array({', '.join(items)}), {number(at, len(items))} + 1)"
+    quoted = lambda *items: [f"'{x}'" for x in items]
+    mixed = f"translate(base64(unhex({h})), '+/=', 'xYz')"
+    key = pick(100, *quoted("password", "passwd", "pwd", "token", "Token", "secret", "SECRET", "api_key", "api-key", "apikey"))
+    colon = pick(104, *quoted(": ", "=", " = ", ":"))
+    grouped = lambda d: pick(108, d, rf"regexp_replace({d}, '([0-9]{{4}})(?=[0-9])', '$1 ')", rf"regexp_replace({d}, '([0-9]{{4}})(?=[0-9])', '$1-')")
+    check = lambda d, good: f"concat({d}, filter(transform(sequence(0, 9), x -> cast(x AS string)), x -> {'' if good else 'NOT '}{luhn(f'concat({d}, x)')})[0])"
+    area = f"concat(substr('23456789', {number(60, 8)} + 1, 1), {digits(64, 2)})"
+    host = f"concat({word(20, 7)}, {pick(112, *quoted('.com', '.org', '.example.net', '.io'))})"
+    return [
+        (1, f"concat({word(1, 6)}, {pick(116, *quoted('.', '_', ''))}, {word(8, 5)}, '@', {host})"),
+        (1, f"concat({word(1, 6)}, {pick(116, *quoted(' (at) ', '(at)', ' [at] ', ' @ '))}, {word(20, 7)}, {pick(120, *quoted(' (dot) ', '(dot)', '[dot]', ' . '))}, 'com')"),
+        (1, f"concat_ws('.', {number(1, 254)} + 1, {number(5, 256)}, {number(9, 256)}, {number(13, 256)})"),
+        (1, grouped(check(digits(1, 15), True))),
+        (1, f"concat('+', {number(80, 98)} + 1, ' ', {area}, {pick(84, *quoted(' ', '-', '.'))}, {digits(30, 3)}, {pick(88, *quoted(' ', '-', '.'))}, {digits(34, 4)})"),
+        (1, f"concat('(', {area}, ') ', {digits(30, 3)}, '-', {digits(34, 4)})"),
+        (1, f"concat({area}, {pick(84, *quoted('-', '.', ' '))}, {digits(30, 3)}, {pick(84, *quoted('-', '.', ' '))}, {digits(34, 4)})"),
+        (1, f"concat({key}, {colon}, substr({h}, 1, 8 + {number(40, 57)}))"),
+        (1, f"concat({key}, {colon}, substr({mixed}, 1, 12 + {number(40, 53)}))"),
+        (1, f"concat({key}, {colon}, substr({mixed}, 1, 16 + {number(40, 49)}))"),
+        (1, f"concat('AKIA', upper(substr({mixed}, 3, 16)))"),
+        (1, f"substr({mixed}, 5, 32 + {number(44, 25)})"),
+        (0, grouped(check(digits(1, 15), False))),
+        (0, f"concat_ws('.', {number(1, 700)} + 300, {number(5, 256)}, {number(9, 256)}, {number(13, 999)})"),
+        (0, digits(1, 10)),
+        (0, f"concat({key}, {colon}, {pick(92, *quoted('mandatory', 'undefined', 'required', 'something', 'expired.', 'ingredients', 'forgotten', 'validation'))})"),
+        (0, f"concat({word(1, 9)}, {pick(96, word(10, 8), f'initcap({word(10, 9)})')}, {word(30, 6)})"),
+        (0, f"concat({word(1, 5)}, ' @ ', {word(8, 5)}, ' , ', {word(14, 4)})"),
+    ]
+
+
+def planted(found: DataFrame) -> DataFrame:
+    """``(label, c)``: candidates around made-up texts that take the places of the candidates ``c`` of ``found``."""
+    forms = _planted("h")
+    turn = f"cast(conv(substr(h, 125, 4), 16, 10) AS int) % {len(forms)}"
+    rows = found.select("c", F.expr("sha2(concat_ws('|', c.hit, c.before, c.after), 512)").alias("h"))
+    made = rows.select("c", F.expr(f"CASE {turn} " + " ".join(f"WHEN {i} THEN {sql}" for i, (_, sql) in enumerate(forms)) + " END").alias("hit"),
+                       F.expr(f"CASE {turn} " + " ".join(f"WHEN {i} THEN {label}" for i, (label, _) in enumerate(forms)) + " END").alias("label"),
+                       F.expr("concat(regexp_replace(c.before, r'[\\w@.+/-]$', ''), ' ')").alias("left"),
+                       F.expr("concat(element_at(array(' ', '. ', ', ', '\n', ') '), cast(conv(substr(h, 121, 4), 16, 10) AS int) % 5 + 1), c.after)").alias("right"))
+    whole = made.select("label", F.length("left").cast("bigint").alias("first"), F.expr("cast(length(left) + length(hit) AS bigint)").alias("end"),
+                        F.expr("concat(left, hit, right)").alias("text"))
+    seen = whole.select("label", "first", "end", F.explode(F.expr(candidates("text"))).alias("c"))
+    return seen.filter("c.start < end AND c.end > first").select(F.col("label").cast("double").alias("label"), "c")
+
+
+def fit(docs: DataFrame, text_col: str = "text", texts: int = SAMPLE_TEXTS, distinct: int = SAMPLE_CANDIDATES) -> PiiModel:
     """Boost trees on candidates of a bounded sample of texts.
 
-    A candidate teaches "personal" if it overlaps a strict span of its kind or keeps that
-    kind's rule by itself (a strict match may have swallowed it with its neighbours and
-    failed), a secret if its key word is beside it; others teach "other". If only one of the two
-    occurs, nothing is learned and only strict spans are found.
+    Candidates are made distinct with their contexts, so a popular text teaches once. Half of
+    them are seen as they are: "personal" if they overlap a strict span of their kind,
+    "other" if not, and left out if a key word stands in them. In the places of the rest stand
+    made-up data and look-alikes, whose labels are known. The threshold is the lowest,
+    not under one half, that holds ``PRECISION`` on a third that the trees have not
+    seen. If only one label occurs, nothing is learned and only strict spans are found.
     """
     share = min(1.0, texts / max(docs.count(), 1))
     rows = docs.select(F.col(text_col).cast("string").alias("text"))
     drawn = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(share * (1 << 30))
     some = rows.filter(F.col("text").isNotNull() & drawn & F.regexp_like("text", F.lit("[0-9@]")))
     found = some.select(F.expr(base_spans("text")).alias("base"), F.explode(F.expr(candidates("text"))).alias("c"))
-    named = features("c")
-    whole = {"email": f"{named['at']} > 0 AND {named['separators']} > 0 AND NOT contains(c.hit, ' ')", "ip": f"{named['octets']} > 0",
-             "card": f"{named['luhn']} > 0 AND {named['digits']} >= 16", "phone": f"{named['plus']} > 0", "secret": f"{named['keyed']} > 0"}
-    rules = " OR ".join(f"(c.kind = {n} AND {whole[k]})" for n, k in enumerate(KINDS))
-    label = f"cast({_overlaps('base', 'c', True)} OR {rules} AS double)"
-    table = found.select(F.expr(label).alias("label"), *[F.expr(v).alias(k) for k, v in named.items()], F.xxhash64("c").alias("_at"))
+    strict = F.expr(f"cast({_overlaps('base', 'c', True)} AS double)")
+    found = found.select(strict.alias("label"), F.expr("named_struct('kind', c.kind, 'hit', c.hit, 'before', c.before, 'after', c.after)").alias("c"))
+    found = materialize(found.groupBy("c").agg(F.max("label").alias("label")), "found")
+    n = found.count()
+    if n > distinct:
+        found = found.filter(F.pmod(F.xxhash64("c"), F.lit(1 << 30)) < int(0.95 * distinct / n * (1 << 30))).limit(distinct)
+    half = F.pmod(F.xxhash64("c"), F.lit(2)) == 0
+    keyed = F.expr(f"c.kind = {KINDS.index('secret')} AND {features('c')['keyed']} > 0")
+    columns = lambda df: df.select("label", *[F.expr(v).alias(k) for k, v in features("c").items()], F.xxhash64("c.hit", "c.before").alias("_at"))
+    table = columns(found.filter(half & ~keyed)).unionByName(columns(planted(found.filter(~half))))
     table = materialize(table.withColumn("held", F.pmod("_at", F.lit(3)) == 0), "candidates")
     counts = {(r["held"], r["label"]): r["count"] for r in table.groupBy("held", "label").count().collect()}
     if not counts.get((False, 1.0)) or not counts.get((False, 0.0)):
         return PiiModel()
     learner = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.4, seed=5, maxBins=64)
-    fitted = learner.fit(VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(table.filter("NOT held").coalesce(2)))
+    fitted = learner.fit(VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(table.filter("NOT held")))
     model = PiiModel([_tree(t._call_java("rootNode")) for t in fitted.trees], list(fitted.treeWeights))
     bins = table.filter("held").select("label", F.floor(F.expr(model.probability('')) * 200).alias("bin"))
     seen = {r["bin"]: (r["hits"], r["n"]) for r in bins.groupBy("bin").agg(F.sum("label").alias("hits"), F.count("*").alias("n")).collect()}
