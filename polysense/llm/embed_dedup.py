@@ -1,7 +1,8 @@
 """Near-duplicate embeddings by spherical k-means cells.
 
 Unit vectors are assigned to the nearest of the cells' centres, which are fitted on a
-bounded sample; every vector also visits the next nearest cells. Equal vectors are one
+bounded sample; every vector also visits the next nearest cells. Vectors of each length
+have cells of their own. Equal vectors are one
 class, compared once by its smallest id and weighed by its copies, so a large group of
 copies costs no products. Inside a cell, blocks of classes meet pairwise in matrix
 products, so tasks stay bounded whatever the size of a cell, and only counts and spanning
@@ -30,22 +31,17 @@ BLOCK = 2048
 ROUNDS = 10
 
 
-def unit_rows(values: list[list[float] | None], dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """Unit vectors in double precision, and which rows are usable: not null, of length ``dim``, finite and not zero."""
-    rows = np.zeros((len(values), dim))
-    good = np.zeros(len(values), bool)
-    for i, v in enumerate(values):
-        if v is not None and len(v) == dim and all(x is not None for x in v):
-            rows[i] = v
-            good[i] = True
+def usable(value: list[float] | None) -> bool:
+    """Not null, not empty, no null or non-finite component, not zero."""
+    if not value or any(x is None for x in value):
+        return False
     with np.errstate(all="ignore"):
-        top = np.abs(rows).max(axis=1, initial=0.0)
-        good &= np.isfinite(top) & (top > 0)
-        rows[~good] = 0.0
-        rows[good] /= top[good, None]  # no overflow in the squares
-        norm = np.linalg.norm(rows, axis=1)
-    rows[good] /= norm[good, None]
-    return rows, good
+        top = np.abs(np.array(value, float)).max()
+    return bool(np.isfinite(top) and top > 0)
+
+
+#: rows whose products with all centres are held at a time
+_SLICE = 512
 
 
 def spherical_kmeans(sample: np.ndarray, cells: int, rounds: int = ROUNDS, seed: int = 7) -> np.ndarray:
@@ -53,9 +49,11 @@ def spherical_kmeans(sample: np.ndarray, cells: int, rounds: int = ROUNDS, seed:
     rng = np.random.default_rng(seed)
     centres = sample[rng.choice(len(sample), cells, replace=False)]
     for _ in range(rounds):
-        near = sample @ centres.T
-        home = near.argmax(axis=1)
-        fit = near[np.arange(len(sample)), home]
+        home, fit = np.empty(len(sample), np.int64), np.empty(len(sample))
+        for at in range(0, len(sample), _SLICE):
+            near = sample[at : at + _SLICE] @ centres.T
+            home[at : at + _SLICE] = best = near.argmax(axis=1)
+            fit[at : at + _SLICE] = near[np.arange(len(near)), best]
         sums = np.zeros_like(centres)
         np.add.at(sums, home, sample)
         size = np.linalg.norm(sums, axis=1)
@@ -68,37 +66,47 @@ def spherical_kmeans(sample: np.ndarray, cells: int, rounds: int = ROUNDS, seed:
 
 
 def _unpacked(column: pa.ChunkedArray | pa.Array, kind: type, dim: int) -> np.ndarray:
-    """Unit rows in double precision of packed usable vectors."""
+    """Unit rows in double precision of packed usable vectors of one length."""
     rows = np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, dim).astype(np.float64)
     rows /= np.abs(rows).max(axis=1, keepdims=True)
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
-def _pack(kind: type, dim: int):
-    """Usable vectors as bytes, in the precision they came in."""
-    schema = pa.schema([("vec_id", pa.int64()), ("vec", pa.binary())])
+def _pack(kind: type):
+    """Usable vectors as bytes, in the precision they came in, with their length."""
+    schema = pa.schema([("vec_id", pa.int64()), ("vec", pa.binary()), ("dim", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = batch.column(1).to_pylist()
-            good = np.flatnonzero(unit_rows(values, dim)[1])
-            yield batch_of(schema, batch.column(0).take(pa.array(good)), [np.array(values[i], kind).tobytes() for i in good])
+            good = [i for i, v in enumerate(values) if usable(v)]
+            yield batch_of(schema, batch.column(0).take(pa.array(good, pa.int64())), [np.array(values[i], kind).tobytes() for i in good], [len(values[i]) for i in good])
     return run
 
 
-ASSIGNED = "vec_id long, vec binary, copies long, cells array<int>"
-_ASSIGNED = pa.schema([("vec_id", pa.int64()), ("vec", pa.binary()), ("copies", pa.int64()), ("cells", pa.list_(pa.int32()))])
+ASSIGNED = "vec_id long, vec binary, dim int, copies long, cells array<int>"
+_ASSIGNED = pa.schema([("vec_id", pa.int64()), ("vec", pa.binary()), ("dim", pa.int32()), ("copies", pa.int64()), ("cells", pa.list_(pa.int32()))])
+
 
+def _assign(centres: dict[int, np.ndarray], probes: int, kind: type):
+    """The nearest cells of each vector among those of its length; a length without centres is one cell."""
+    def nearest(part: pa.RecordBatch, dim: int) -> list[np.ndarray]:
+        own = centres.get(dim)
+        if own is None or len(own) == 1:
+            return [np.zeros(1, np.int32)] * part.num_rows
+        near = -(_unpacked(part.column(1), kind, dim) @ own.T)
+        top = np.argpartition(near, probes - 1, axis=1)[:, :probes] if probes < near.shape[1] else np.argsort(near, axis=1)
+        top = np.take_along_axis(top, np.argsort(np.take_along_axis(near, top, axis=1), axis=1, kind="stable"), axis=1)
+        return list(top.astype(np.int32))
 
-def _assign(centres: np.ndarray, probes: int, kind: type):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
-                near = -(_unpacked(part.column(1), kind, centres.shape[1]) @ centres.T)
-                top = np.argpartition(near, probes - 1, axis=1)[:, :probes] if probes < near.shape[1] else np.argsort(near, axis=1)
-                top = np.take_along_axis(top, np.argsort(np.take_along_axis(near, top, axis=1), axis=1, kind="stable"), axis=1)
-                yield batch_of(_ASSIGNED, *part.columns, list(top.astype(np.int32)))
+            dims = batch.column(2).to_numpy()
+            for dim in np.unique(dims).tolist():
+                same = batch.take(pa.array(np.flatnonzero(dims == dim)))
+                for at in range(0, same.num_rows, _SLICE):
+                    part = same.slice(at, _SLICE)
+                    yield batch_of(_ASSIGNED, *part.columns, nearest(part, dim))
     return run
 
 
@@ -106,7 +114,7 @@ FOUND = "u long, v long, n long"
 _FOUND = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("n", pa.int64())])
 
 
-def _compare(min_cosine: float, kind: type, dim: int):
+def _compare(min_cosine: float, kind: type):
     """Counts and spanning edges of one pair of blocks of a cell; a row is at home or visits.
 
     A row stands for its copies: it gives its partner that many links.
@@ -114,7 +122,7 @@ def _compare(min_cosine: float, kind: type, dim: int):
     A pair is counted in the smaller of the cells where it meets with one side at home.
     """
     def run(key, table):
-        cell, low, high = (x.as_py() for x in key)
+        dim, cell, low, high = (x.as_py() for x in key)
         ids = table.column("vec_id").to_numpy()
         rows = _unpacked(table.column("vec"), kind, dim)
         copies = table.column("copies").to_numpy()
@@ -167,45 +175,42 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     """``(vec_id, n_links, component_id, kept)``, one row per input row.
 
     Links are pairs of different ids with a cosine of ``min_cosine`` or more, taken in
-    double precision. Vectors that are null, zero, not finite or of another length than
-    most link with nothing, nor do rows without an id. Rows that repeat an id share its
-    result; of different vectors under one id, one is compared. An empty table gives an
-    empty result.
+    double precision, between vectors of one length; each length has cells of its own. Vectors
+    that are null, empty, zero or not finite link with nothing, nor do rows without an id.
+    Rows that repeat an id share its result; of different usable vectors under one id, the
+    smallest is compared. An empty table gives an empty result.
     """
     rows = rows_of(vectors, vec_id=id_col, vec=vec_col)
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("vec").cast("array<double>").alias("vec"))
-    usable = rows.filter("vec IS NOT NULL AND vec_id IS NOT NULL")
-    shape = usable.agg(F.count("*").alias("n"), F.mode(F.size("vec")).alias("dim")).first()
-    base = rows.groupBy("vec_id").agg(F.count("*").alias("copies"))
-    if not shape["n"] or not shape["dim"]:
-        return base.select("vec_id", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(
-            "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
     element = vectors.schema[vec_col].dataType.elementType
-    kind, dim = (np.float32 if isinstance(element, T.FloatType) else np.float64), shape["dim"]
-    one = usable.groupBy("vec_id").agg(F.min("vec").alias("vec"))
-    packed = one.mapInArrow(_pack(kind, dim), "vec_id long, vec binary").withColumn("digest", F.unhex(F.sha2("vec", 256)))
-    packed = materialize(packed, "vectors")
-    first = F.min(F.struct("vec_id", "vec"))
+    kind = np.float32 if isinstance(element, T.FloatType) else np.float64
+    every = rows.filter("vec_id IS NOT NULL").mapInArrow(_pack(kind), "vec_id long, vec binary, dim int")
+    one = every.groupBy("vec_id").agg(F.min(F.struct("dim", "vec")).alias("v")).select("vec_id", "v.vec", "v.dim")
+    packed = materialize(one.withColumn("digest", F.unhex(F.sha2("vec", 256))), "vectors")
+    first = F.min(F.struct("vec_id", "vec", "dim"))
     classes = packed.groupBy("digest").agg(first.alias("first"), F.count("*").alias("copies"))
-    classes = materialize(classes.select("digest", "first.vec_id", "first.vec", "copies"), "classes")
-    n = classes.count()
+    classes = materialize(classes.select("digest", "first.vec_id", "first.vec", "first.dim", "copies"), "classes")
+    counts = {r["dim"]: r["count"] for r in classes.groupBy("dim").count().collect()}  # a row per length
+    n = sum(counts.values())
     cut = min(1.0, 1.1 * sample / max(n, 1))
-    drawn = classes.filter(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int(cut * (1 << 30))).limit(sample).select("vec").toArrow()
-    points = _unpacked(drawn.column("vec"), kind, dim) if drawn.num_rows else np.eye(1, dim)
-    cells = max(1, min(MAX_CELLS, -(-n // cell), len(points) // 4 or 1))
-    centres = spherical_kmeans(points, cells)
-    assigned = materialize(classes.select("vec_id", "vec", "copies").mapInArrow(_assign(centres, min(probes, cells), kind), ASSIGNED), "assigned")
-    sizes = assigned.select(F.explode("cells").alias("cell")).groupBy("cell").count()  # at most MAX_CELLS rows, so it may be broadcast
-    sizes = sizes.select("cell", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    met = assigned.select("*", F.explode("cells").alias("cell")).join(F.broadcast(sizes), "cell")
+    drawn = classes.filter(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int(cut * (1 << 30))).limit(sample).select("vec", "dim").toArrow()
+    dims, centres = drawn.column("dim").to_numpy(), {}
+    for dim in np.unique(dims).tolist():
+        points = _unpacked(drawn.column("vec").take(pa.array(np.flatnonzero(dims == dim))), kind, dim)
+        centres[dim] = spherical_kmeans(points, max(1, min(MAX_CELLS, -(-counts[dim] // cell), len(points) // 4)))
+    assigned = materialize(classes.select("vec_id", "vec", "dim", "copies").mapInArrow(_assign(centres, probes, kind), ASSIGNED), "assigned")
+    # at most MAX_CELLS rows a length, and never more than a quarter of the sample beside a cell for each length
+    sizes = assigned.select("dim", F.explode("cells").alias("cell")).groupBy("dim", "cell").count()
+    sizes = sizes.select("dim", "cell", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
+    met = assigned.select("*", F.explode("cells").alias("cell")).join(F.broadcast(sizes), ["dim", "cell"])
     met = met.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).drop("other", "blocks")
-    found = materialize(met.groupBy("cell", "low", "high").applyInArrow(_compare(min_cosine, kind, dim), FOUND), "cosines")
-    counts = found.filter("n > 0").groupBy(F.col("u").alias("vec_id")).agg(F.sum("n").alias("n_links"))
+    found = materialize(met.groupBy("dim", "cell", "low", "high").applyInArrow(_compare(min_cosine, kind), FOUND), "cosines")
+    counted = found.filter("n > 0").groupBy(F.col("u").alias("vec_id")).agg(F.sum("n").alias("n_links"))
     roots = components(found.filter("n = 0").select("u", "v")).select(F.col("node").alias("vec_id"), "root")
     # the smallest id of a component is its root, as the smallest of a class stands for it
-    judged = classes.select("digest", "vec_id", "copies").join(counts, "vec_id", "left").join(roots, "vec_id", "left").select(
+    judged = classes.select("digest", "vec_id", "copies").join(counted, "vec_id", "left").join(roots, "vec_id", "left").select(
         "digest", (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "vec_id").alias("root"))
     members = packed.select("vec_id", "digest").join(judged, "digest").drop("digest")
     out = rows.select("vec_id").join(members, "vec_id", "left")

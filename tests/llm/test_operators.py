@@ -4,6 +4,7 @@ import base64
 import collections
 import hashlib
 import re
+import time
 import zlib
 
 import duckdb
@@ -78,6 +79,9 @@ def test_components_of_chains_stars_and_loops(spark):
     found = {r["node"]: r["root"] for r in common.components(spark.createDataFrame([tuple(map(int, x)) for x in links], "u long, v long").repartition(7)).collect()}
     nodes = {x for a, b in links if a != b for x in (a, b)}
     assert found == brute_components(nodes, [x for x in links if x[0] != x[1]])
+    table = spark.createDataFrame([tuple(map(int, x)) for x in links], "u long, v long").repartition(7)
+    for bound in (0, 150):  # distributed rounds to the end, and until few edges are left
+        assert {r["node"]: r["root"] for r in common.components(table, bound).collect()} == found
     assert common.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
@@ -349,6 +353,48 @@ def test_segments_are_the_maximal_ones():
         assert np.allclose([x[2] for x in got], [x[2] for x in want])
 
 
+def scanned_back(model, words):
+    """The same segments by looking through all open ones for each hit."""
+    stack, total = [], 0.0
+    for i, word in enumerate(words):
+        w = model.weight(word)
+        low, total = total, total + w
+        start = i
+        while w > 0:
+            j = next((j for j in range(len(stack) - 1, -1, -1) if stack[j][2] < low), -1)
+            if j < 0 or stack[j][3] >= total:
+                stack.append((start, i + 1, low, total))
+                break
+            start, low = stack[j][0], stack[j][2]
+            del stack[j:]
+    return [(a, b, after - before) for a, b, before, after in stack]
+
+
+def test_segments_in_linear_time():
+    model = toxicity.ToxicityModel(stems={"bad": 1.5, "worse": 2.5}, drift=0.05)
+    rng = np.random.default_rng(3)
+    for rare in (0.01, 0.03, 0.1, 0.3):
+        words = [str(w) for w in rng.choice(["bad", "worse", "fine"], 3000, p=[rare / 2, rare / 2, 1 - rare])]
+        got, want = model.segments(words), scanned_back(model, words)
+        assert [x[:2] for x in got] == [x[:2] for x in want] and np.allclose([x[2] for x in got], [x[2] for x in want])
+    falling = (["bad"] + ["fine"] * 40) * 20_000  # every hit opens a segment that starts lower than all before it
+    begin = time.perf_counter()
+    assert len(model.segments(falling)) == 20_000
+    rising = (["worse"] * 2 + ["fine"] * 40) * 20_000
+    assert len(model.segments(rising)) == 1
+    assert time.perf_counter() - begin < 4.0  # both together, 1.6 million words; the search alone is a few hundredths
+
+
+def test_bounded_ids_teach(spark, docs, sf_dir):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    n = labels.filter("toxic in (0, 1)").count()
+    assert toxicity.taught_ids(labels, "doc_id", "toxic", n).count() == n
+    assert 0 < toxicity.taught_ids(labels, "doc_id", "toxic", n // 2).count() <= n // 2
+    twice = labels.union(labels.select("doc_id", "quality", (1 - F.col("toxic")).alias("toxic")))
+    assert {r["label"] for r in toxicity.taught_ids(twice, "doc_id", "toxic", 2 * n).collect()} == {1}
+    assert toxicity.fit(docs, labels, bound=n // 2).words
+
+
 def test_held_out_toxicity(spark):
     found = queries.registered()["op6_toxicity"](spark, "/root/testdata/sf0.1").filter("held_out")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").select("doc_id", "toxic")
@@ -440,13 +486,32 @@ def test_embedding_copies_are_compared_once(spark, monkeypatch):
     assert got == {i: (count[i], root[i]) for i in ids}
 
 
-def test_embedding_links_whole_table(spark):
-    table = spark.read.parquet("/root/testdata/check_s/embeddings.parquet")
-    got = {r["vec_id"]: r for r in embed_dedup.near_duplicates(table).collect()}
-    source = table.collect()
-    count, root = brute_cosine([r["vec_id"] for r in source], [r["embedding"] for r in source])
-    assert sum(r["n_links"] for r in got.values()) >= 0.99 * sum(count.values())
-    assert sum(got[i]["component_id"] == root[i] for i in got) >= 0.99 * len(got)
+def test_embedding_links_of_many_cells(spark):
+    """Recall over links of distinct vectors, in some hundred cells."""
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(60, 24)) * 2
+    seeds = centres[rng.integers(0, 60, 4000)] + rng.normal(size=(4000, 24))
+    vectors = np.concatenate([seeds, seeds[:3000] + rng.normal(size=(3000, 24)) * 0.25]).astype(np.float32)
+    ids = [int(x) for x in rng.permutation(len(vectors))]
+    table = spark.createDataFrame([(i, [float(v) for v in x]) for i, x in zip(ids, vectors)], "vec_id long, embedding array<float>")
+    got = {r["vec_id"]: r for r in embed_dedup.near_duplicates(table, cell=24).collect()}
+    count, root = brute_cosine(ids, vectors)
+    assert sum(count.values()) > 4000
+    recall = sum(r["n_links"] for r in got.values()) / sum(count.values())
+    print(f"recall {recall:.4f} of {sum(count.values()) // 2} links")
+    assert recall >= 0.97 and all(r["n_links"] <= count[i] for i, r in got.items())
+    assert sum(got[i]["component_id"] == root[i] for i in ids) >= 0.9 * len(ids)
+
+
+def test_embeddings_of_several_lengths(spark):
+    rng = np.random.default_rng(2)
+    a, b = rng.normal(size=7), rng.normal(size=5)
+    rows = [(i, []) for i in range(9)] + [(10 + i, list(map(float, a))) for i in range(5)] + [(20 + i, list(map(float, b + i * 1e-3))) for i in range(3)]
+    rows += [(30, [1.0]), (31, [2.0]), (32, [-1.0])]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embed_dedup.near_duplicates(
+        spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == ({i: (0, i) for i in range(9)} | {10 + i: (4, 10) for i in range(5)} | {20 + i: (2, 20) for i in range(3)}
+                   | {30: (1, 30), 31: (1, 30), 32: (0, 32)})
 
 
 def test_embeddings_of_hard_cases(spark):
@@ -540,6 +605,40 @@ def test_added_spans(spark):
     assert "card:18:34" in found[1] and "secret:" in found[1] and found[2] == ""
 
 
+def test_precision_and_recall_of_added_spans(spark):
+    """Made-up data of forms, lengths and contexts of its own, none of which the strict rules find."""
+    model = pii.fit(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
+    rng = np.random.default_rng(17)
+    pick = lambda letters, n: "".join(rng.choice(list(letters), n))
+    contexts = ["we found {} in the log", "Please use {}, he said.", "line one\n{}\nline two", "({}) and so on", "12 of 40: {} done"]
+    hexes, base64s, letters = "0123456789abcdef", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", "abcdefghijklmnopqrstuvwxyz"
+    rows, truth = [], {}
+
+    def add(kind, hit):
+        left, right = str(rng.choice(contexts)).split("{}")
+        truth[len(rows)] = (kind, len(left), len(left) + len(hit))
+        rows.append((len(rows), left + hit + right))
+    for n in range(16, 65):
+        for alphabet in (hexes, base64s, letters + letters.upper() + "0123456789"):
+            add("secret", f"{rng.choice(['token', 'password', 'API_KEY', 'secret'])}{rng.choice([': ', '=', ' = '])}{pick(alphabet, n)}")
+    for _ in range(60):
+        add("email", f"{pick(letters, 7)} (at) {pick(letters, 6)} (dot) org")
+        add("phone", f"({rng.integers(200, 999)}) {rng.integers(200, 999)}-{rng.integers(1000, 9999)}")
+        add("none", f"{rng.choice(['password', 'token', 'secret'])}: {rng.choice(['required', 'mandatory', 'whatever'])}")
+        add("none", pick(letters, int(rng.integers(16, 30))))
+        add("none", ".".join(str(x) for x in rng.integers(300, 900, 4)))
+        add("none", pick("123456789", 10))
+    found = {r["doc_id"]: r["spans"] for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    hits, n = collections.Counter(), collections.Counter()
+    for i, (kind, start, end) in truth.items():
+        n[kind] += 1
+        hits[kind] += any(int(s.split(":")[1]) <= start and int(s.split(":")[2]) >= end for s in filter(None, found[i].split(","))) if kind != "none" else bool(found[i])
+    assert hits["secret"] >= 0.97 * n["secret"] and hits["email"] >= 0.9 * n["email"] and hits["phone"] >= 0.8 * n["phone"], (hits, n)
+    assert hits["none"] <= 0.05 * n["none"], (hits, n)
+    one = spark.createDataFrame([(1, "token: abcdef0123456789abcdef01 is set")], "doc_id long, text string")
+    assert pii.redact(one, model).first()["text"] == "[SECRET] is set"
+
+
 def test_long_secrets_are_redacted_whole(spark):
     model = pii.fit(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
     rng = np.random.default_rng(8)
@@ -584,6 +683,39 @@ def test_mixture_of_hard_cases(hard, empty):
     assert len(same) == 1
 
 
+def test_mixture_draws_rows(spark, docs):
+    """Ids that occur in two sources, rows without ids, and columns named like helpers."""
+    rows = [(i, f"text {i} of {s} with some more words", "en", s, j) for s, n in (("small", 1000), ("big", 4)) for i in range(1000) for j in range(n if s == "big" else 1)]
+    rows = [(i, f"{t} {j}", lang, s, j) for i, t, lang, s, j in rows] + [(None, f"no id {j} and words", "en", "none", j) for j in range(400)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, _chosen int").selectExpr("*", "1 AS _row", "2 AS drawn", "0.5 AS probability")
+    found = mixing.mixture(table).toPandas()
+    cells = found.groupby("source").agg(p=("probability", "first"), kept=("kept", "sum"), n=("kept", "size"))
+    assert (np.abs(cells.kept - cells.p * cells.n) < 5 * np.sqrt(cells.n * cells.p * (1 - cells.p)) + 1).all()
+    got = mixing.sampled(table)
+    assert got.columns == table.columns and got.filter("_row != 1 OR drawn != 2").count() == 0
+    kept = got.toPandas()
+    assert kept.groupby("source").size().to_dict() == found[found.kept].groupby("source").size().to_dict()
+    assert "Exchange" not in str(docs._jdf.queryExecution().executedPlan()) and _text_free_exchanges(mixing.sampled(docs))
+
+
+def _text_free_exchanges(df):
+    """No shuffle of the plan carries whole rows."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return "SortMergeJoin" not in plan
+
+
+def test_residuals_of_all_marginals(spark, docs):
+    cells = mixing.raked_cells(mixing.measured(docs), keep=0.2)
+    left = mixing.residuals(cells, keep=0.2).toPandas()
+    assert set(left.dimension) == set(mixing.DIMENSIONS)
+    total = left[left.dimension == "lang"].tokens.sum()
+    for d in mixing.DIMENSIONS:
+        part = left[left.dimension == d]
+        assert abs(part.target.sum() - 0.2 * total) < 1e-6 * total
+        short = np.maximum(part.target - part.weight, 0) * (part.weight < 0.999 * part.tokens)
+        assert short.sum() < 0.02 * total, (d, part)
+
+
 # ---- helpers and the pipeline
 
 
