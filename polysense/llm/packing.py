@@ -21,6 +21,7 @@ from polysense.sources.store import materialize
 
 WINDOW = 2048
 END_ID = 1
+TEXTS = 1024
 
 
 def load_encoder(ranks_path: str, pattern: str, special: dict[str, int]):
@@ -39,13 +40,18 @@ _DOC = pa.schema([("doc_id", pa.int64()), ("doc_tokens", pa.int64()), ("crcs", p
 def _encode(ranks_path: str, pattern: str, special: dict[str, int], window: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = load_encoder(ranks_path, pattern, special)
+        end = np.array([end_id], "<u4")
         for batch in batches:
-            sizes, crcs = [], []
-            for text in batch.column(1).to_pylist():
-                ids = np.append(encode(text or ""), end_id).astype("<u4")
-                sizes.append(len(ids))
-                crcs.append([zlib.crc32(ids[i : i + window].tobytes()) for i in range(0, len(ids), window)])
-            yield batch_of(_DOC, batch.column(0).cast(pa.int64()), sizes, crcs)
+            for s in range(0, batch.num_rows, TEXTS):  # so many texts are Python objects at a time
+                part = batch.slice(s, TEXTS)
+                sizes, crcs = [], []
+                for text in part.column(1):
+                    ids = np.concatenate([encode(text.as_py() or "").astype("<u4", copy=False), end])
+                    sizes.append(len(ids))
+                    crcs.append([zlib.crc32(ids[i : i + window].data) for i in range(0, len(ids), window)])
+                yield batch_of(_DOC, part.column(0).cast(pa.int64()), sizes, crcs)
+                del part
+            del batch
     return run
 
 
