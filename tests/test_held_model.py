@@ -1,6 +1,7 @@
 """Steps over a corpus whose tasks hold the model, against those that bring its rows to groups of tokens."""
 
 import random
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -84,3 +85,19 @@ def test_part_of_rows():
     assert part.code.tolist() == [5, 7] and part.vec.ravel().tolist() == [5.0, 7.0] and part.place.tolist() == [1, 2]
     with pytest.raises(KeyError):
         part.of(np.array([9]))
+
+
+@pytest.mark.parametrize("softmax,lockstep,room", [(False, 1, None), (True, 1, None), (False, 4, None), (True, 4, 1), (False, 1, 1)])
+def test_groups_side_by_side_learn_as_each_alone(tables, monkeypatch, softmax, lockstep, room):
+    """Forty groups in eight tasks, all of a task at once or one at a time, against a task per group."""
+    occ, model, table = tables
+    more = occ.crossJoin(occ.sparkSession.range(12).select(F.col("id").alias("_i"))).withColumn("line_id", F.col("line_id") + 7 * F.col("_i")).drop("_i")
+    cfg, draw = replace(CFG, softmax=softmax, lockstep=lockstep), noise.in_place(table, 3, 42)
+    if room:
+        monkeypatch.setattr(training, "SIDE_BYTES", room)
+    sample = training.grouped_sample(more, None, 40, cfg, draw)
+    beside = training.learn_shard(sample, model, 0.05, cfg, 40, draw)
+    assert "FlatMapGroups" not in _plan(beside)
+    got = _rows(beside)
+    monkeypatch.setattr(training, "MODEL_BYTES", 0)
+    assert got == _rows(training.learn_shard(sample, model, 0.05, cfg, 40, draw))
