@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 import math
+import sys
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from polysense.functions.vecmath import dot, norm
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # tasks need no copy of this package
+
 BLOCK_ROWS = 131_072  # vectors of one side that one task holds
 SLICE_ROWS = 256       # queries scored at once inside a task
-SCORE_DIGITS = 9      # scores are compared at this precision, so equal vectors tie exactly
+SLICE_COLUMNS = 4096   # against so many vectors, so that scores stay in the processor's cache
+SCORE_DIGITS = 9       # scores are compared at this precision, so equal vectors tie exactly
 
 
 def get_vectors(vectors: DataFrame) -> DataFrame:
@@ -51,6 +56,43 @@ def find_synonyms_vector(vectors: DataFrame, query: list[float], n: int) -> Data
     )
 
 
+def top_columns(u: np.ndarray, m: np.ndarray, mine: np.ndarray, k: int):
+    """The ``k`` best columns of each row of ``u @ m.T``, without column ``mine``; among equal scores the lower column wins.
+
+    Columns are scored a few at a time. Those that may still round up to the k-th best score found so
+    far are kept, so memory does not grow with the columns and few scores are looked at twice.
+    """
+    keep = min(k, len(m))
+    rows, cols, scores = np.empty(0, int), np.empty(0, int), np.empty(0)
+    if keep == 0:
+        return rows, cols, scores
+    edge, slack = np.empty(0), 2 * 10.0**-SCORE_DIGITS
+    step = max(SLICE_COLUMNS, keep)
+    for s in range(0, len(m), step):
+        x = u @ m[s : s + step].T
+        own = np.flatnonzero((mine >= s) & (mine < s + step))
+        x[own, mine[own] - s] = -np.inf
+        if s == 0:
+            edge = np.partition(x, -keep, axis=1)[:, -keep]
+        r, c = np.divmod(np.flatnonzero((x >= (edge - slack)[:, None])), x.shape[1])
+        near = x[r, c]
+        some = near > -np.inf
+        if not some.any():
+            continue
+        rows, cols, scores = (np.concatenate(p) for p in ((rows, r[some]), (cols, c[some] + s), (scores, near[some])))
+        order = np.lexsort((-scores, rows))
+        rows, cols, scores = rows[order], cols[order], scores[order]
+        full = np.flatnonzero(np.bincount(rows, minlength=len(u)) >= keep)
+        edge[full] = np.maximum(edge[full], scores[np.searchsorted(rows, full) + keep - 1])
+        stay = scores >= (edge - slack)[rows]
+        rows, cols, scores = rows[stay], cols[stay], scores[stay]
+    near = np.round(scores, SCORE_DIGITS)
+    order = np.lexsort((cols, -near, rows))
+    rows, cols, near = rows[order], cols[order], near[order]
+    best_ones = np.arange(len(rows)) - np.searchsorted(rows, rows) < keep
+    return rows[best_ones], cols[best_ones], near[best_ones]
+
+
 def top_scores(queries: DataFrame, vectors: DataFrame, query_key: list[str], key: list[str], k: int,
                unit_query: bool = False, skip_self: bool = False) -> DataFrame:
     """The ``k`` best rows of ``vectors`` for every row of ``queries``, exactly
@@ -84,49 +126,43 @@ def top_scores(queries: DataFrame, vectors: DataFrame, query_key: list[str], key
 
     query_names = [f"q_{f}" for f in query_key]
 
-    def matrix(column: pd.Series) -> np.ndarray:
-        return np.array(column.tolist(), dtype=np.float64)
-
-    def best(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or v.empty:
-            return pd.DataFrame(columns=names)
-        v = v.sort_values(key, ignore_index=True)
-        m = matrix(v["vec"])
+    def matrix(column: pa.ChunkedArray) -> np.ndarray:
+        lists = column.combine_chunks()
+        sizes = lists.value_lengths()
+        if sizes.null_count or len(sizes.unique()) > 1:
+            raise ValueError("vectors of a table must have one length")
+        return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1)
+
+    def keys_of(table: pa.Table, names: list[str]):
+        return zip(*[table.column(n).to_pylist() for n in names])
+
+    def best(q: pa.Table, v: pa.Table) -> pa.Table:
+        u, m = (matrix(t.column(c)) if t.num_rows else None for t, c in ((q, "q_vec"), (v, "vec")))
+        if u is None or m is None:
+            return pa.table({**{n: q.column(n)[:0] for n in query_names}, **{n: v.column(n)[:0] for n in key}, "score": pa.array([], pa.float64())})
+        q = q.select(query_names)
+        v = v.select(key).append_column("_at", pa.array(np.arange(len(m)))).sort_by([(n, "ascending") for n in key])
         length = np.linalg.norm(m, axis=1)
-        v, m = v[length > 0].reset_index(drop=True), m[length > 0] / length[length > 0, None]
-        u = matrix(q["q_vec"])
+        at = v.column("_at").to_numpy()
+        real = length[at] > 0
+        v, at = v.filter(pa.array(real)), at[real]
+        m = m[at]
+        m /= length[at, None]
         if unit_query:
             size = np.linalg.norm(u, axis=1, keepdims=True)
             u = np.divide(u, size, out=np.zeros_like(u), where=size > 0)
         mine = np.full(len(u), -1)
         if skip_self:
-            place = {t: i for i, t in enumerate(v[key].itertuples(index=False, name=None))}
-            mine = np.array([place.get(t, -1) for t in q[query_names].itertuples(index=False, name=None)])
-        found = [pick(u[s : s + SLICE_ROWS], m, mine[s : s + SLICE_ROWS], s) for s in range(0, len(u), SLICE_ROWS)]
-        rows, cols, scores = (np.concatenate(x) for x in zip(*found, strict=True))
-        left_part = q[query_names].iloc[rows].reset_index(drop=True)
-        right_part = v[key].iloc[cols].reset_index(drop=True)
-        return pd.concat([left_part, right_part], axis=1).assign(score=scores)[names]
-
-    def pick(u: np.ndarray, m: np.ndarray, mine: np.ndarray, start: int):
-        """The k best columns of each row; among equal scores the lower key wins."""
-        scores = u @ m.T
-        scores[np.flatnonzero(mine >= 0), mine[mine >= 0]] = -np.inf
-        keep = min(k, scores.shape[1])
-        if keep == 0:
-            return np.empty(0, int), np.empty(0, int), np.empty(0)
-        edge = np.partition(scores, -keep, axis=1)[:, [-keep]]
-        # everything that may round up to the k-th score, then the exact choice among those
-        rows, cols = np.nonzero((scores >= edge - 2 * 10.0**-SCORE_DIGITS) & (scores > -np.inf))
-        near = np.round(scores[rows, cols], SCORE_DIGITS)
-        order = np.lexsort((cols, -near, rows))
-        rows, cols, near = rows[order], cols[order], near[order]
-        rank = np.arange(len(rows)) - np.searchsorted(rows, rows)
-        best_ones = rank < keep
-        return rows[best_ones] + start, cols[best_ones], near[best_ones]
+            place = {t: i for i, t in enumerate(keys_of(v, key))}
+            mine = np.array([place.get(t, -1) for t in keys_of(q, query_names)])
+        found = [top_columns(u[s : s + SLICE_ROWS], m, mine[s : s + SLICE_ROWS], k) for s in range(0, len(u), SLICE_ROWS)]
+        rows = np.concatenate([r + i * SLICE_ROWS for i, (r, _, _) in enumerate(found)])
+        cols, scores = (np.concatenate(x) for x in list(zip(*found, strict=True))[1:])
+        left_part, right_part = q.take(pa.array(rows)), v.select(key).take(pa.array(cols))
+        return pa.table([*left_part.columns, *right_part.columns, pa.array(scores)], names=names)
 
     pairs = left.groupBy("_own", "_other").cogroup(right.groupBy("_other", "_own"))
-    local = pairs.applyInPandas(best, schema)
+    local = pairs.applyInArrow(best, schema)
     order = Window.partitionBy(*query_names).orderBy(F.col("score").desc(), *key)
     return local.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
