@@ -20,6 +20,8 @@ TEMPER = 0.5
 ROUNDS = 16
 #: rounds between writes of the cell table
 _STRETCH = 4
+#: so many cells are raked by one task, where no group has to be brought together by a shuffle; more are dealt by group
+LOCAL_CELLS = 1 << 16
 NONE = "(none)"
 _COLUMNS = {"id_col": "doc_id", "text_col": "text", "source_col": "source", "lang_col": "lang", "topic_col": None}
 SYMBOLS = "#*$%&|<>{}=;"
@@ -66,16 +68,22 @@ def _targets(cells: DataFrame, targets: dict[str, dict[str, float]] | None, keep
 
 
 def raked_cells(rows: DataFrame, targets: dict[str, dict[str, float]] | None = None, keep: float = KEEP, temper: float = TEMPER,
-                rounds: int = ROUNDS) -> DataFrame:
+                rounds: int = ROUNDS, local_cells: int | None = None) -> DataFrame:
     """``(source, lang, topic, tokens, docs, weight, probability)``, one row per cell of measured ``rows``.
 
     ``targets`` gives shares by group name for some dimensions; groups it leaves out get
     nothing. The others are tempered shares of what is there. Only the cell table is raked;
     its size follows the number of groups, not of documents. The last round rakes sources last.
+    Up to ``local_cells`` cells are raked by one task: the driver then plans the rounds without
+    a shuffle for each of their windows. More cells are shuffled by group.
     """
     cells = materialize(rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs")), "cells")
-    current = materialize(_targets(cells, targets, keep, temper).withColumn("weight", F.col("tokens").cast("double")), "cells")
+    few = cells.count() <= (LOCAL_CELLS if local_cells is None else local_cells)
+    together = lambda df: df.coalesce(1) if few else df
+    current = materialize(_targets(together(cells), targets, keep, temper).withColumn("weight", F.col("tokens").cast("double")), "cells")
     for done in range(rounds):
+        if done % _STRETCH == 0:
+            current = together(current)
         for d in reversed(DIMENSIONS):
             now = F.sum("weight").over(Window.partitionBy(d))
             raked = F.when(now > 0, F.col("weight") * F.col(f"target_{d}") / now).otherwise(F.lit(0.0))

@@ -1,4 +1,8 @@
-"""Column helpers for operators made of built-in functions alone."""
+"""Column helpers for operators made of built-in functions alone.
+
+Long SQL is put into ``if(...)``, not into CASE or CAST: to tell those from functions of the same
+name the parser looks ahead over all of it, and keeps what it saw in the driver's heap for good.
+"""
 
 from __future__ import annotations
 
@@ -43,7 +47,7 @@ def sql_running(values: str) -> str:
 
     def of_values(v: str) -> str:
         runs = f"transform(sequence(0, cast(floor((size({v}) - 1) / {_RUN}) AS int)), i -> slice({v}, i * {_RUN} + 1, {_RUN}))"
-        return f"CASE WHEN size({v}) = 0 THEN cast(array() AS array<bigint>) ELSE {sql_let(runs, of_runs)} END"
+        return f"if(size({v}) = 0, cast(array() AS array<bigint>), {sql_let(runs, of_runs)})"
 
     return sql_let(values, of_values)
 
@@ -67,4 +71,4 @@ def sql_matches(text: str, pattern: str) -> str:
         return sql_let(sizes, build)
 
     found = sql_let(f"named_struct('gaps', split({text}, {p}, -1), 'hits', regexp_extract_all({text}, {p}, 0))", place)
-    return f"CASE WHEN regexp_like({text}, {p}) THEN {found} ELSE cast(array() AS array<struct<start:bigint,end:bigint,hit:string>>) END"
+    return f"if(regexp_like({text}, {p}), {found}, cast(array() AS array<struct<start:bigint,end:bigint,hit:string>>))"

@@ -90,7 +90,7 @@ def base_spans(text: str) -> str:
     for number, kind in enumerate(BASE_KINDS):
         found = f"filter({sql_matches(text, BASE[kind])}, m -> {_VALID[kind]('m.hit')})"
         spans_ = f"transform({found}, m -> named_struct('kind', {number}, 'start', m.start, 'end', m.end))"
-        parts.append(f"CASE WHEN {_HINT[kind].format(text)} THEN cast({spans_} AS {_SPAN}) ELSE cast(array() AS {_SPAN}) END")
+        parts.append(f"if({_HINT[kind].format(text)}, {spans_}, cast(array() AS {_SPAN}))")
     return f"concat({', '.join(parts)})"
 
 
@@ -142,7 +142,7 @@ class PiiModel:
             if isinstance(node, float):
                 return f"{node!r}D"
             name, threshold, low, high = node
-            return f"CASE WHEN {f}{name} <= {threshold!r}D THEN {case(low)} ELSE {case(high)} END"
+            return f"if({f}{name} <= {threshold!r}D, {case(low)}, {case(high)})"
         margin = " + ".join(f"{weight!r}D * ({case(tree)})" for tree, weight in zip(self.trees, self.weights)) or "0D"
         return f"(1D / (1D + exp(-2D * ({margin}))))"
 
@@ -261,11 +261,11 @@ def spans(text: str, model: PiiModel) -> str:
         named = lambda: "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in features("c").items()) + ")"
         score = sql_let(named(), lambda f: model.probability(f + "."))
         passed = f"filter({candidates(text)}, c -> NOT {_overlaps(b, 'c', False)} AND {score} >= {model.threshold}D)"
-        extra = f"cast(transform({passed}, c -> named_struct('kind', c.kind, 'start', c.start, 'end', c.end)) AS {_SPAN})"
+        extra = f"transform({passed}, c -> named_struct('kind', c.kind, 'start', c.start, 'end', c.end))"
         return f"named_struct('base', {b}, 'all', array_sort(array_distinct(concat({b}, {extra}))))"
     none = f"cast(array() AS {_SPAN})"
     some = rf"regexp_like({text}, r'[0-9@]|\(at\)|\[at\]|(?i:{KEYS})')"
-    return f"CASE WHEN {some} THEN {sql_let(base_spans(text), chosen)} ELSE named_struct('base', {none}, 'all', {none}) END"
+    return f"if({some}, {sql_let(base_spans(text), chosen)}, named_struct('base', {none}, 'all', {none}))"
 
 
 def _listed(spans_: Column) -> Column:
