@@ -5,6 +5,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from polysense.operators import pairs
+from polysense.operators.chunks import line_chunks
 from polysense.plans import registry
 
 
@@ -35,3 +36,16 @@ def test_a_pair_and_its_mirror_image_are_one_group(spark, sf_dir):
         total[tuple(key)] += v
     got = {tuple(r)[:5]: tuple(r)[5:] for r in found.collect()}
     assert got == {k: (n[k], total[k]) for k in n}
+
+
+def test_pairs_of_chunks_are_found_where_they_stand(spark, sf_dir):
+    sizes = [1, 2, 9, 31]
+    tokens = [(line, pos, (7 * line + pos) % 11, 2, (line + pos) % 2) for line, size in enumerate(sizes) for pos in range(size)]
+    occ = spark.createDataFrame(tokens, "line_id bigint, pos int, word_id int, n_senses int, sense int").coalesce(1).sortWithinPartitions("line_id", "pos")
+    chunks = line_chunks(occ, 3, 4)  # most chunks have neighbours on both sides
+    for window in (2, 3):
+        found = pairs.skipgram_pairs(chunks, window)
+        assert "Window" not in _plan(found)
+        want = pairs.skipgram_pairs(occ, window)
+        assert found.dtypes == want.dtypes and sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
+    assert "Window" not in _plan(registry.skipgram_pairs(spark, sf_dir))
